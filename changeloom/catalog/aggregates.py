@@ -102,7 +102,7 @@ def _stages(spark, sf):
 @query("agg_10_flow_stats", """
     WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, epoch_us(min(ts)) AS a, epoch_us(max(ts)) - epoch_us(min(ts)) AS span
                FROM events GROUP BY 1),
-    s AS (SELECT day, n, (a + floor(span * 0 / 5)) // 1000 AS s0, CAST(a + floor(span * 1 / 5) AS BIGINT) // 1000 AS s1,
+    s AS (SELECT day, n, a // 1000 AS s0, CAST(a + floor(span * 1 / 5) AS BIGINT) // 1000 AS s1,
             CAST(a + floor(span * 2 / 5) AS BIGINT) // 1000 AS s2, CAST(a + floor(span * 3 / 5) AS BIGINT) // 1000 AS s3,
             CAST(a + floor(span * 4 / 5) AS BIGINT) // 1000 AS s4, CAST(a + floor(span * 5 / 5) AS BIGINT) // 1000 AS s5 FROM d)
     SELECT CAST(day AS VARCHAR) AS day, CAST((s2 - s0) // 1000 AS BIGINT) AS data_to_main, (s2 - s1) // 1000 AS batch_to_main,
@@ -176,12 +176,12 @@ def srt_02(spark, sf):
 
 @query("stm_14_heartbeat_stats", f"""{W}
     SELECT namespace, CAST(0 AS BIGINT) AS n, max(ums_ts_) AS ums_ts_ FROM (
-      SELECT value1 || '_' || CAST(k % 10 AS VARCHAR) AS namespace, ums_ts_, ums_op_ FROM changes) t
-    WHERE ums_op_ = 'd' AND namespace NOT IN (SELECT value1 || '_' || CAST(k % 10 AS VARCHAR) FROM changes
+      SELECT value1 || '_' || CAST(k AS VARCHAR) AS namespace, ums_ts_, ums_op_ FROM changes) t
+    WHERE ums_op_ = 'd' AND namespace NOT IN (SELECT value1 || '_' || CAST(k AS VARCHAR) FROM changes
       WHERE ums_op_ <> 'd' AND value2 > 60) GROUP BY namespace""")
 def stm_14(spark, sf):
     c = changes(spark, sf).withColumn("namespace", F.concat_ws(
-        "_", "value1", (F.col("k") % 10).cast("string")))
+        "_", "value1", F.col("k").cast("string")))
     beats = c.withColumn("protocol", F.when(F.col("ums_op_") == "d", "data_increment_heartbeat")
                          .otherwise("data_increment_data"))
     return heartbeat_stats(beats, c.filter("ums_op_ <> 'd' AND value2 > 60"))

@@ -165,7 +165,7 @@ def cdc_10(spark, sf):
 @query("cdc_11_ts_not_before", """
     SELECT event_id, CASE WHEN b = '' THEN TRUE WHEN length(a) < length(b) THEN a > substr(b, 1, length(a))
         ELSE substr(a, 1, length(b)) >= b END AS ok
-    FROM (SELECT event_id, strftime(ts, CASE WHEN user_id % 2 = 0 THEN '%Y%m%d%H' ELSE '%Y%m%d%H%M%S' END) AS a,
+    FROM (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y%m%d%H') ELSE strftime(ts, '%Y%m%d%H%M%S') END AS a,
             CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN '20240115' ELSE '2024011512' || '3000' END AS b FROM events) t""")
 def cdc_11(spark, sf):
     e = table(spark, sf, "events")

@@ -130,12 +130,12 @@ def map_to_string(col: Column | str) -> Column:
 
 
 def to_b64(col: Column | str) -> Column:
-    """ENC-01."""
-    return F.base64(_col(col).cast(T.BinaryType()))
+    """ENC-01: base64 text on one line."""
+    return F.translate(F.base64(_col(col).cast(T.BinaryType())), "\r\n", "")
 
 
 def from_b64(col: Column | str) -> Column:
-    """ENC-01."""
+    """ENC-01: the bytes of a base64 text."""
     return F.unbase64(_col(col))
 
 

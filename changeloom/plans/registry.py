@@ -31,7 +31,12 @@ def register_udf(spark: SparkSession, name: str, fn: Callable, returns: str | T.
     Arrow batches.  Registering a name again replaces it.
     """
     dt = return_type(returns)
-    udf = F.pandas_udf(fn, dt) if vectorized else F.udf(fn, dt, useArrow=True)
+
+    def series(*args: pd.Series) -> pd.Series:
+        return fn(*args)
+
+    series.__annotations__ = {"args": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(series, dt) if vectorized else F.udf(fn, dt, useArrow=True)
     return spark.udf.register(name, udf)
 
 

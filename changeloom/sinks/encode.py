@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.casts import decimal_text
 from ..model import (ACTIVE, BATCH, DELETE, INCREMENT, OP, SYSTEM_PREFIX, UID, declared_type)
 from ..functions.hashes import murmur3_utf16
+from ..functions.text import to_b64
 from ..sources.messages import match_namespace
 
 MESSAGE_ROWS = 50
@@ -20,7 +21,7 @@ def cell_text(field: T.StructField) -> Column:
     """A cell as the text a message tuple carries; null stays null."""
     c, dt = F.col(f"`{field.name}`"), field.dataType
     if isinstance(dt, T.BinaryType):
-        return F.base64(c)
+        return to_b64(c)
     if isinstance(dt, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(c, {"ignoreNullFields": "false"})
     if isinstance(dt, T.DecimalType):

@@ -113,7 +113,7 @@ def running_agg(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str
 class _InOrder(StatefulProcessor):
     """Feeds each key's rows to ``fold`` in event order once the watermark has passed them.
 
-    Rows wait in a list state; a timer per distinct millisecond releases them.
+    Rows wait in a list state; one timer per key stands at the earliest of them.
     """
 
     def __init__(self, fold, columns, ts_index, order_index, idle_ms):
@@ -127,30 +127,29 @@ class _InOrder(StatefulProcessor):
         self.folded = handle.getValueState("folded", "blob binary", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        times, new = set(), []
+        new = []
         for pdf in rows:
             for row in pdf[self.columns].itertuples(index=False, name=None):
                 # released only after the whole millisecond is behind the watermark
                 ms = int(row[self.ts_index].value // 1_000_000) + 1
                 new.append((ms, pickle.dumps(row)))
-                times.add(ms)
         self.waiting.appendList(new)
-        for ms in times:
-            self.handle.registerTimer(ms)
+        self.handle.registerTimer(min(ms for ms, _ in new))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due_ms = expiredTimerInfo.getExpiryTimeInMs()
+        passed = timerValues.getCurrentWatermarkInMs()
         due, later = [], []
         for ms, blob in self.waiting.get():
-            (due if ms <= due_ms else later).append((ms, bytes(blob)))
-        if not due:
-            yield from ()
-            return
+            (due if ms <= passed else later).append((ms, bytes(blob)))
         if later:
             self.waiting.put(later)
+            self.handle.registerTimer(min(ms for ms, _ in later))
         else:
             self.waiting.clear()
+        if not due:
+            yield from ()
+            return
         rows = sorted((pickle.loads(b) for _, b in due),
                       key=lambda r: tuple(r[i] for i in self.order_index))
         stored = self.folded.get() if self.folded.exists() else None

@@ -19,7 +19,8 @@ W = "WITH " + SQL_CHANGES
 
 def event_stream(spark, sf, lateness: int = 0):
     """The events table as a stream, in the columns of the change log, with a watermark."""
-    raw = file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    # a glob, so that the table may be one file or a folder
+    raw = file_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
     last = F.col("event_id") % 10
     rows = raw.select(
         F.col("event_id").alias("ums_id_"), F.col("ts").cast("timestamp").alias("ums_ts_"),
@@ -29,7 +30,8 @@ def event_stream(spark, sf, lateness: int = 0):
     return with_event_time(rows, "event", lateness)
 
 
-_AGGS = {"n": F.count(F.lit(1)), "top": F.max("value2")}
+def _aggs():
+    return {"n": F.count(F.lit(1)), "top": F.max("value2")}
 
 
 def _tumble(extra: str = "") -> str:
@@ -49,19 +51,19 @@ def stm_01(spark, sf):
 
 @query("stm_02_ascending_watermark_stream", _tumble(_CLOSED.format("")))
 def stm_02(spark, sf):
-    return drain(window_agg(event_stream(spark, sf), "tumble", "6 hours", _AGGS, ["value1"])) \
+    return drain(window_agg(event_stream(spark, sf), "tumble", "6 hours", _aggs(), ["value1"])) \
         .drop("_batch")
 
 
 @query("stm_03_bounded_lateness_stream", _tumble(_CLOSED.format("- INTERVAL 86400 SECOND")))
 def stm_03(spark, sf):
-    return drain(window_agg(event_stream(spark, sf, 86400), "tumble", "6 hours", _AGGS,
+    return drain(window_agg(event_stream(spark, sf, 86400), "tumble", "6 hours", _aggs(),
                             ["value1"])).drop("_batch")
 
 
 @query("stm_04_tumbling_window", _tumble())
 def stm_04(spark, sf):
-    return window_agg(changes(spark, sf), "tumble", "6 hours", _AGGS, ["value1"])
+    return window_agg(changes(spark, sf), "tumble", "6 hours", _aggs(), ["value1"])
 
 
 _HOP = W + """, b AS (SELECT value1, value2, ums_ts_, time_bucket(INTERVAL 2 HOUR, ums_ts_) - o.unnest * INTERVAL 2 HOUR AS window_start
@@ -72,13 +74,13 @@ _HOP = W + """, b AS (SELECT value1, value2, ums_ts_, time_bucket(INTERVAL 2 HOU
 
 @query("stm_05_sliding_window", _HOP)
 def stm_05(spark, sf):
-    return window_agg(changes(spark, sf), "hop", "6 hours", _AGGS, ["value1"], slide="2 hours")
+    return window_agg(changes(spark, sf), "hop", "6 hours", _aggs(), ["value1"], slide="2 hours")
 
 
 @query("stm_05_sliding_window_stream", _HOP + """
     HAVING window_start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ums_ts_)) FROM changes)""")
 def stm_05_stream(spark, sf):
-    return drain(window_agg(event_stream(spark, sf), "hop", "6 hours", _AGGS, ["value1"],
+    return drain(window_agg(event_stream(spark, sf), "hop", "6 hours", _aggs(), ["value1"],
                             slide="2 hours")).drop("_batch")
 
 
@@ -91,13 +93,13 @@ _SESSION = W + """, m AS (SELECT *, CASE WHEN ums_ts_ - lag(ums_ts_) OVER w < IN
 
 @query("stm_06_session_window", _SESSION)
 def stm_06(spark, sf):
-    return window_agg(changes(spark, sf), "session", "4 hours", _AGGS, ["k"])
+    return window_agg(changes(spark, sf), "session", "4 hours", _aggs(), ["k"])
 
 
 @query("stm_06_session_window_stream", _SESSION + """
     HAVING max(ums_ts_) + INTERVAL 4 HOUR <= (SELECT date_trunc('milliseconds', max(ums_ts_)) FROM changes)""")
 def stm_06_stream(spark, sf):
-    return drain(window_agg(event_stream(spark, sf), "session", "4 hours", _AGGS, ["k"])) \
+    return drain(window_agg(event_stream(spark, sf), "session", "4 hours", _aggs(), ["k"])) \
         .drop("_batch")
 
 

@@ -262,13 +262,16 @@ def write_matches(matches: DataFrame, schema: T.StructType, spec: PatternSpec) -
             raise ValueError(f"unknown output function {f.function!r}")
         return matches.select(chosen.alias("_row")).select(
             *[F.col(f"_row.`{n}`").alias(n) for n in names])
-    columns = [F.array_max(F.transform(events, lambda e, c=c: e[c])).alias(c)
-               for c in (ID, TS, OP) if c in names]
+    columns = [F.array_max(_values(events, c)).alias(c) for c in (ID, TS, OP) if c in names]
     columns += [_aggregate(events, f.function, f.field, schema).alias(f.name) for f in fields]
     columns += [F.col(k) for k in (spec.key_by or ())]
     return matches.select(*columns)
 
 
+def _values(events: Column, name: str) -> Column:
+    return F.transform(events, lambda e: e[name])
+
+
 def _aggregate(events: Column, function: str, name: str, schema: T.StructType) -> Column:
     """CEP-16: an aggregate over a match's events.
 
@@ -277,7 +280,7 @@ def _aggregate(events: Column, function: str, name: str, schema: T.StructType) -
     """
     if function == "count":
         return F.size(events)
-    values = F.transform(events, lambda e: e[name])
+    values = _values(events, name)
     if function == "max":
         return F.array_max(values)
     if function == "min":

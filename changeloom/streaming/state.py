@@ -92,44 +92,48 @@ class _RunningAgg(StatefulProcessor):
 
 
 def running_agg(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, str]],
-                message_flag: bool = False, idle_hours: int = MAX_IDLE_HOURS) -> DataFrame:
+                message_flag: bool = False, idle_hours: float | None = None) -> DataFrame:
     """STM-07, STM-09: unwindowed aggregate that emits its changes (output mode update).
 
     ``aggs`` maps names to (count/sum/min/max/avg, column).  With ``message_flag`` each
     input row gives the retracted old row (``message_flag`` false) and the new one
-    (true); without it each batch gives one new row per changed key.  A key idle for
-    ``idle_hours`` is forgotten.
+    (true); without it each batch gives one new row per changed key.
+
+    With ``idle_hours`` (``MAX_IDLE_HOURS`` is the usual value) a key idle that long by
+    the clock is forgotten.  Such a stream needs a processing-time trigger: clock
+    timers keep an ``availableNow`` run from ending.
     """
     processor = _RunningAgg(list(keys), list(aggs.values()), message_flag,
-                            int(idle_hours * 3_600_000))
+                            None if idle_hours is None else int(idle_hours * 3_600_000))
     schema = T.StructType([df.schema[k] for k in keys] + _agg_fields(df, aggs)
                           + [T.StructField("message_flag", T.BooleanType())])
     processor.names = schema.names
     out = df.groupBy(*keys).transformWithStateInPandas(
-        processor, schema, "Update", "ProcessingTime")
+        processor, schema, "Update", "None" if idle_hours is None else "ProcessingTime")
     return out if message_flag else out.drop("message_flag")
 
 
 class _InOrder(StatefulProcessor):
     """Feeds each key's rows to ``fold`` in event order once the watermark has passed them.
 
-    Rows wait in a list state; one timer per key stands at the earliest of them.
+    Rows wait in a list state; one timer per key stands at the earliest of them.  The
+    folded state is dropped once the key was idle for ``idle_ms`` of event time.
     """
 
-    def __init__(self, fold, columns, ts_index, order_index, idle_ms):
-        self.fold, self.columns, self.ts_index = fold, columns, ts_index
+    def __init__(self, fold, ts_index, order_index, idle_ms):
+        self.fold, self.ts_index = fold, ts_index
         self.order_index, self.idle_ms = order_index, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # rows wait for the watermark, however long: no idle limit on them
         self.waiting = handle.getListState("waiting", "ms bigint, row binary")
-        self.folded = handle.getValueState("folded", "blob binary", self.idle_ms)
+        self.folded = handle.getValueState("folded", "blob binary, last_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         new = []
         for pdf in rows:
-            for row in pdf[self.columns].itertuples(index=False, name=None):
+            # by position: names that start with an underscore do not survive the transfer
+            for row in pdf.itertuples(index=False, name=None):
                 # released only after the whole millisecond is behind the watermark
                 ms = int(row[self.ts_index].value // 1_000_000) + 1
                 new.append((ms, pickle.dumps(row)))
@@ -147,15 +151,18 @@ class _InOrder(StatefulProcessor):
             self.handle.registerTimer(min(ms for ms, _ in later))
         else:
             self.waiting.clear()
+        stored = self.folded.get() if self.folded.exists() else None
         if not due:
+            if stored and not later and stored[1] + self.idle_ms <= passed:
+                self.folded.clear()
             yield from ()
             return
         rows = sorted((pickle.loads(b) for _, b in due),
                       key=lambda r: tuple(r[i] for i in self.order_index))
-        stored = self.folded.get() if self.folded.exists() else None
-        state = pickle.loads(bytes(stored[0])) if stored else None
-        state, out = self.fold(key, state, rows)
-        self.folded.update((pickle.dumps(state),))
+        last_ms = max(ms for ms, _ in due)
+        state, out = self.fold(key, pickle.loads(bytes(stored[0])) if stored else None, rows)
+        self.folded.update((pickle.dumps(state), last_ms))
+        self.handle.registerTimer(last_ms + self.idle_ms)
         if out is not None and len(out):
             yield out
         else:
@@ -168,7 +175,7 @@ class _InOrder(StatefulProcessor):
 def _in_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], fold, schema,
               idle_hours: float) -> DataFrame:
     columns = df.columns
-    processor = _InOrder(fold, columns, columns.index(order_by[0]),
+    processor = _InOrder(fold, columns.index(order_by[0]),
                          [columns.index(c) for c in order_by], int(idle_hours * 3_600_000))
     return df.groupBy(*keys).transformWithStateInPandas(
         processor, schema, "Append", "EventTime")

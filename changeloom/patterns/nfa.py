@@ -123,9 +123,9 @@ class Nfa:
             return
         if adjacent and any(conds[c] for c in step.not_next):
             return
+        # an event the greedy loop before could take belongs to the loop
         loop = self.steps[i - 1] if i else None
-        blocked = bool(loop and loop.greedy and p.step == i - 1 and p.count and conds[loop.cond])
-        if not blocked:
+        if not (loop and loop.greedy and conds[loop.cond]):
             if conds[step.cond]:
                 self._took(i, 1, p.start, (*p.events, payload), p.first_len, alive, matches)
             elif not step.strict:

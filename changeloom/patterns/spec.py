@@ -7,8 +7,8 @@ Semantics, fixed here because they decide results:
   anywhere before the next stage's event;
 * inside a quantified stage events need not be adjacent, and each step takes the
   first later event that matches;
-* an open quantifier gives one match per possible length; a greedy one does not let
-  the next stage take an event the loop could take;
+* an open quantifier gives one match per possible length; after a greedy one, an event
+  the loop could take ends the wait for the next stage;
 * the last event is less than ``within_seconds`` after the first;
 * skip strategies work through matches by first event, then by completion.
   ``skip_past_last_event`` drops those that start at or before the last event of a

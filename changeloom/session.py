@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 #: settings the library relies on; a cluster's own values win when present
 DEFAULTS = {
@@ -15,7 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
+    STATE_STORE:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
 }
@@ -33,6 +34,12 @@ def local_session(cores: int = 8, memory: str = "16g", **conf: str) -> SparkSess
     return spark
 
 
+def need_state_store(spark: SparkSession) -> None:
+    """User-defined state runs on the RocksDB store only; choose it unless it is chosen."""
+    if spark.conf.get(STATE_STORE, "") != DEFAULTS[STATE_STORE]:
+        spark.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 

@@ -12,14 +12,14 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import ID, TS
-from ..patterns.match import _condition, _distinct
-from ..patterns.nfa import Nfa
+from ..patterns.match import EVENTS, FIRST_LEN, SEQ, _condition, write_matches
+from ..patterns.nfa import Nfa, Partial
 from ..patterns.spec import PatternSpec, Stage
-from ..patterns.match import EVENTS, FIRST_LEN, SEQ, write_matches
+from ..session import need_state_store
 
 # Default idle-state retention.
 MIN_IDLE_HOURS, MAX_IDLE_HOURS = 12, 24
@@ -108,6 +108,7 @@ def running_agg(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str
     schema = T.StructType([df.schema[k] for k in keys] + _agg_fields(df, aggs)
                           + [T.StructField("message_flag", T.BooleanType())])
     processor.names = schema.names
+    need_state_store(df.sparkSession)
     out = df.groupBy(*keys).transformWithStateInPandas(
         processor, schema, "Update", "None" if idle_hours is None else "ProcessingTime")
     return out if message_flag else out.drop("message_flag")
@@ -175,6 +176,7 @@ class _InOrder(StatefulProcessor):
 def _in_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], fold, schema,
               idle_hours: float) -> DataFrame:
     columns = df.columns
+    need_state_store(df.sparkSession)
     processor = _InOrder(fold, columns.index(order_by[0]),
                          [columns.index(c) for c in order_by], int(idle_hours * 3_600_000))
     return df.groupBy(*keys).transformWithStateInPandas(
@@ -232,7 +234,8 @@ class _PatternFold:
 
     def __call__(self, key, state, rows):
         nfa = Nfa(self.stages, self.within)
-        partials, seq = state or ([], 0)
+        open_matches, seq = state or ([], 0)
+        partials = [Partial(*p) for p in open_matches]
         found = []
         n = len(self.columns) - self.n_conds
         for row in rows:
@@ -242,7 +245,8 @@ class _PatternFold:
             for m in matches:
                 found.append((*key, list(m.events), m.first_len, seq))
                 seq += 1
-        return (partials, seq), pd.DataFrame(
+        # plain tuples: the state must load without this package
+        return ([tuple(p) for p in partials], seq), pd.DataFrame(
             found, columns=[*self.key_names, EVENTS, FIRST_LEN, SEQ])
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..model import ID, OP, TS
@@ -138,7 +139,8 @@ def _window_matches(df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
                              < spec.within_seconds)
     frame = frame.withColumn(EVENTS, F.col("_found.e"))
     first_len = _begin_times(spec)
-    return frame.select(*keys, EVENTS, F.lit(first_len).alias(FIRST_LEN), F.lit(0).alias(SEQ))
+    return frame.select(*keys, EVENTS, F.lit(first_len).alias(FIRST_LEN),
+                        F.lit(0).cast("long").alias(SEQ))
 
 
 def _begin_times(spec: PatternSpec) -> int:
@@ -164,59 +166,74 @@ def _nfa_matches(df: DataFrame, spec: PatternSpec, keys: list[str], order_by: Se
     else:
         frame, by = frame.withColumns({OWN: F.lit(True), BLOCK: F.lit(0).cast("long")}), \
             [*keys, BLOCK]
-    frame = frame.withColumns({
-        "_t": seconds_of(df, order_by[0]),
-        "_row": F.struct(*[F.col(f"`{c}`") for c in df.columns])})
-    ordered = frame.select(*by, *order_by_extra(order_by, by), OWN, "_t", "_row",
-                           F.array(*[f"_c{i}" for i in range(len(conds))]).alias("_conds")) \
-        .repartition(*by).sortWithinPartitions(*by, *order_by)
-    schema = T.StructType([df.schema[k] if k in df.columns else T.StructField(k, T.IntegerType())
-                           for k in keys]
-                          + [T.StructField(EVENTS, T.ArrayType(df.schema)),
-                             T.StructField(FIRST_LEN, T.IntegerType()),
-                             T.StructField(SEQ, T.IntegerType())])
-    stages, within, n_keys = tuple(
-        Stage(s.kind, None, s.quantifier, s.times) for s in spec.stages), \
-        spec.within_seconds, len(keys)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nfa, partials, n = Nfa(stages, within), [], 0
-        found: list[tuple] = []
-        for pdf in batches:
-            for own, ts, row, cond in zip(pdf[OWN], pdf["_t"], pdf["_row"], pdf["_conds"]):
-                partials, matches, late = nfa.feed(partials, cond, ts, row, own)
-                if timeouts:
-                    found += [(list(p.events), p.first_len) for p in _distinct(late)]
-                else:
-                    found += [(list(m.events), m.first_len) for m in matches]
-            if found:
-                yield _to_frame(found, key[:n_keys], n)
-                n, found = n + len(found), []
-        if timeouts and within > 0:
-            found = [(list(p.events), p.first_len) for p in _distinct(partials)]
+    # one sorted pass over each partition; the window marks where a key begins
+    w = Window.partitionBy(*by).orderBy(*order_by)
+    mask = functools.reduce(operator.add, [F.when(F.col(f"_c{i}"), F.lit(1 << i)).otherwise(0)
+                                           for i in range(len(conds))])
+    ordered = frame.select(
+        (F.row_number().over(w) == 1).alias("_new"), OWN, seconds_of(df, order_by[0]).alias("_t"),
+        mask.cast("long").alias("_mask"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    stages = tuple(Stage(s.kind, None, s.quantifier, s.times) for s in spec.stages)
+    schema = T.StructType([T.StructField(EVENTS, T.ArrayType(df.schema)),
+                           T.StructField(FIRST_LEN, T.IntegerType()),
+                           T.StructField(SEQ, T.LongType())])
+    run = _arrow_matcher(stages, spec.within_seconds, timeouts)
+    return ordered.mapInArrow(run, schema) \
+        .select(*[F.col(EVENTS)[0][k].alias(k) for k in keys], EVENTS, FIRST_LEN, SEQ)
+
+
+def _arrow_matcher(stages: Sequence[Stage], within: float, timeouts: bool):
+    """A ``mapInArrow`` function over ordered events.
+
+    Python sees three numbers per event; the events themselves stay Arrow rows and are
+    gathered by position.  From one batch to the next only events of open matches are
+    kept.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nfa, partials, kept, seq = Nfa(stages, within), [], None, 0
+        truth = {m: tuple(bool(m >> i & 1) for i in range(len(stages)))
+                 for m in range(1 << len(stages))} if len(stages) < 12 else None
+        pool = None
+        for batch in batches:
+            rows = batch.column("_row")
+            base = 0 if kept is None else len(kept)
+            pool = pa.concat_arrays([kept, rows]) if base else rows
+            found: list = []
+            for i, (new, own, ts, mask) in enumerate(zip(
+                    *[batch.column(c).to_pylist() for c in ("_new", OWN, "_t", "_mask")])):
+                if new:
+                    if timeouts:
+                        found += _distinct(partials)
+                    partials = []
+                conds = truth[mask] if truth else [mask >> c & 1 for c in range(len(stages))]
+                partials, matches, late = nfa.feed(partials, conds, ts, base + i, own)
+                found += _distinct(late) if timeouts else matches
             if found:
-                yield _to_frame(found, key[:n_keys], n)
-
-    def _to_frame(found: list[tuple], key: tuple, n: int) -> pd.DataFrame:
-        out = pd.DataFrame({EVENTS: [e for e, _ in found], FIRST_LEN: [f for _, f in found],
-                            SEQ: range(n, n + len(found))})
-        for i, (name, value) in enumerate(zip(keys, key)):
-            out.insert(i, name, value)
-        return out
-
-    return ordered.groupBy(*by).applyInPandas(run, schema)
+                yield gather(pool, found, seq)
+                seq += len(found)
+            used = sorted({e for p in partials for e in p.events})
+            place = {e: n for n, e in enumerate(used)}
+            partials = [p._replace(events=tuple(place[e] for e in p.events)) for p in partials]
+            kept = pool.take(pa.array(used, pa.int64())) if used else None
+        if timeouts and partials:
+            yield gather(kept, _distinct(partials), seq)
+
+    def gather(pool: pa.Array, found: list, seq: int) -> pa.RecordBatch:
+        sizes = [len(f.events) for f in found]
+        ends = pa.array([0, *itertools.accumulate(sizes)], pa.int32())
+        events = pool.take(pa.array([e for f in found for e in f.events], pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(ends, events),
+             pa.array([f.first_len for f in found], pa.int32()),
+             pa.array(range(seq, seq + len(found)), pa.int64())], names=[EVENTS, FIRST_LEN, SEQ])
+
+    return run
 
 
 def _distinct(partials: list) -> list:
     """Open matches over the same events count once."""
-    seen: dict[tuple, object] = {}
-    for p in partials:
-        seen.setdefault(tuple(id(e) for e in p.events), p)
-    return list(seen.values())
-
-
-def order_by_extra(order_by: Sequence[str], by: Sequence[str]) -> list[str]:
-    return [c for c in order_by if c not in by]
+    return list({p.events: p for p in partials}.values())
 
 
 # -- skip strategies -----------------------------------------------------------------

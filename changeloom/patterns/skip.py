@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def keep_by_resume_point(matches: DataFrame, keys: Sequence[str], strict: bool) -> DataFrame:
@@ -17,27 +15,22 @@ def keep_by_resume_point(matches: DataFrame, keys: Sequence[str], strict: bool)
     compare in event order; with ``strict`` a start at the resume point is dropped
     too.  Matches are read in order and one resume point per key is held.
     """
-    by = list(keys)
-    ordered = matches.repartition(*by).sortWithinPartitions(*by, "_s", "_seq")
-    columns = matches.columns
+    w = Window.partitionBy(*keys).orderBy("_s", "_seq")
+    ordered = matches.withColumn("_new", F.row_number().over(w) == 1)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, point = None, None
-        for pdf in batches:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = None
+        for batch in batches:
             keep = []
-            for row in zip(*[pdf[k] for k in by], pdf["_s"], pdf["_r"]):
-                *k, start, resume = row
-                start, resume = _plain(start), _plain(resume)
-                if k != key:
-                    key, point = k, None
+            for new, start, resume in zip(*[batch.column(c).to_pylist()
+                                            for c in ("_new", "_s", "_r")]):
+                start, resume = tuple(start.values()), tuple(resume.values())
+                if new:
+                    point = None
                 dropped = point is not None and (start <= point if strict else start < point)
                 keep.append(not dropped)
                 if not dropped:
                     point = resume if point is None else max(point, resume)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    return ordered.mapInPandas(walk, matches.schema).select(*columns)
-
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-def _plain(struct) -> tuple:
-    return tuple(struct.values()) if isinstance(struct, dict) else tuple(struct)
+    return ordered.mapInArrow(walk, ordered.schema).drop("_new")

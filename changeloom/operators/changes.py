@@ -12,16 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import parse_ts
-from ..model import ACTIVE, BEFORE, DELETE, ID, OP, TS
+from ..model import ACTIVE, BEFORE, DELETE, ID, OP, TS, UID
 
 SKIP = "skip"
 
 
 def _version_order(df: DataFrame) -> list[Column]:
-    """Newest first; equal versions are ordered by time, then by a hash of the row."""
+    """Newest first; equal versions are ordered by time, then by the row identity.
+
+    Without an identity column a hash of the row decides, which reads all columns.
+    """
     order = [F.col(ID).desc()]
     if TS in df.columns:
         order.append(F.col(TS).desc())
+    if UID in df.columns:
+        return [*order, F.col(UID).desc()]
     hashable = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
     order.append(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]).desc())
     return order

@@ -37,9 +37,12 @@ def read_ums(df: DataFrame, value_col: str = "value", key_col: str | None = None
     fields = F.transform("_m.schema.fields", lambda f: F.named_struct(
         F.lit("name"), F.lower(f["name"]), F.lit("type"), f["type"],
         F.lit("nullable"), F.coalesce(f["nullable"], F.lit(False))))
+    # Names are lower-cased once per message, below the explode.  The outer form keeps the
+    # optimizer from testing the payload's size first, which would parse the text twice.
     return m.select("protocol", "namespace", *keep, fields.alias("fields"),
-                    F.explode("_m.payload").alias("_t")) \
-        .select("protocol", "namespace", "fields", F.col("_t.tuple").alias("tuple"), *keep)
+                    F.col("_m.payload.tuple").alias("_p")) \
+        .select("protocol", "namespace", "fields", F.explode_outer("_p").alias("tuple"), *keep) \
+        .filter(F.col("tuple").isNotNull())
 
 
 def malformed(df: DataFrame, value_col: str = "value") -> DataFrame:
@@ -58,8 +61,7 @@ def apply_ums_schema(df: DataFrame, fields: Sequence[Field], keep: Sequence[str]
     ``"only"`` returns just such rows (typed columns, ``tuple`` and ``keep``) and
     ``"flag"`` adds a boolean ``_bad``.
     """
-    names = F.transform("fields", lambda f: f["name"])
-    raw = {f.name: F.get(F.col("tuple"), F.array_position(names, F.lit(f.name.lower()))
+    raw = {f.name: F.get(F.col("tuple"), F.array_position("fields.name", F.lit(f.name.lower()))
                          .cast("int") - 1) for f in fields}
     cells = df.select("tuple", *keep, *[c.alias(f"_raw_{n}") for n, c in raw.items()])
     return _typed(cells, [(f.name, f"_raw_{f.name}", f.type) for f in fields], keep, bad,
@@ -72,10 +74,12 @@ def _typed(df: DataFrame, columns: Sequence[tuple[str, str, str]], keep: Sequenc
 
     The type ``event_time`` reads a time given as text or as an epoch number (SRC-09).
     """
-    out = df.select(*extra, *keep, *[raw for _, raw, _ in columns],
-                    *([also_bad.alias("_also")] if also_bad is not None else []),
-                    *[(normalize_ts(raw) if t == "event_time" else try_cast_ums(raw, t))
-                      .alias(name) for name, raw, t in columns])
+    typed = [(normalize_ts(raw) if t == "event_time" else try_cast_ums(raw, t)).alias(name)
+             for name, raw, t in columns]
+    passed = [*extra, *keep, *[raw for _, raw, _ in columns],
+              *([also_bad.alias("_also")] if also_bad is not None else [])]
+    # a generator of one row: a filter is not pushed through it, so each cast runs once
+    out = df.select(*passed, F.inline_outer(F.array(F.struct(*typed))))
     is_bad = F.lit(False) if also_bad is None else F.col("_also")
     for name, raw, t in columns:
         if t != "string":

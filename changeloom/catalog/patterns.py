@@ -76,11 +76,20 @@ _NEXT_OF = """min(CASE WHEN value1 = '{0}' THEN ums_id_ END) OVER (PARTITION BY
       ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"""
 
 
-@query("cep_04_followedby", f"""{W},
+_FOLLOWED = f"""{W},
     f AS (SELECT *, {_NEXT_OF.format('error')} AS nx FROM changes)
-    SELECT k, ums_id_ AS first_id, nx AS last_id, 2 AS n FROM f WHERE value1 = 'purchase' AND nx IS NOT NULL""")
+    SELECT k, ums_id_ AS first_id, nx AS last_id, 2 AS n FROM f WHERE value1 = 'purchase' AND nx IS NOT NULL"""
+_FOLLOWED_STAGES = [Stage("begin", is_("purchase")), Stage("followedby", is_("error"))]
+
+
+@query("cep_04_followedby", _FOLLOWED)
 def cep_04(spark, sf):
-    return _ids(spark, sf, [Stage("begin", is_("purchase")), Stage("followedby", is_("error"))])
+    return _ids(spark, sf, _FOLLOWED_STAGES)
+
+
+@query("cep_04_followedby_split_keys", _FOLLOWED)
+def cep_04_split(spark, sf):
+    return _ids(spark, sf, _FOLLOWED_STAGES, block_rows=16)
 
 
 @query("cep_05_notnext", f"""{W},

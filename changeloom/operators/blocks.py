@@ -38,6 +38,21 @@ class Blocks:
     by: list[str]
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Keys with more than ``block_rows`` rows, as ``_h_*`` columns: a hash aggregate
+    with a map-side step."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
+        .filter(F.col("_n") > block_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+
+
+def same_key(keys: Sequence[str]) -> Column:
+    """Join condition to :func:`hot_keys`; null keys are one key too."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+    return cond
+
+
 def sequence_blocks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
                     before: int = 0, after: int = 0, after_seconds: float | None = None,
                     block_rows: int = BLOCK_ROWS, slot_seconds: int = 60) -> Blocks:
@@ -57,23 +72,16 @@ def sequence_blocks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
         keys = ["_all"]
     by = [*keys, BLOCK]
     ts = order_by[0]
-    # null keys are one key too
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-
+    cond = same_key(keys)
     slot = F.floor(seconds_of(df, ts) / slot_seconds).cast("long")
     # at most total / block_rows keys, so this side may be broadcast
-    hot_keys = F.broadcast(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
-        .select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
-    cold = df.join(hot_keys, cond, "left_anti") \
+    hot_side = F.broadcast(hot_keys(df, keys, block_rows))
+    cold = df.join(hot_side, cond, "left_anti") \
         .withColumns({BLOCK: F.lit(0).cast("long"), OWN: F.lit(True)})
 
     # as a struct a key equals itself also when a part is null, so the rank window and
     # the join to the offsets share one exchange
-    hot = df.join(hot_keys, cond, "left_semi") \
+    hot = df.join(hot_side, cond, "left_semi") \
         .withColumns({KEY: F.struct(*keys), "_slot": slot})
     counts = hot.groupBy(KEY, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(KEY).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

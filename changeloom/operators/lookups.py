@@ -10,7 +10,7 @@ import functools
 import operator
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.casts import try_cast_ums
 from ..functions.text import build_key, json_path
@@ -64,9 +64,27 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], how:
             raise ValueError(f"a lookup without keys takes at most {KEYLESS_ROWS} rows; "
                              "give join keys")
         return df.join(F.broadcast(right), F.lit(True), how)
-    cond = [F.col(s) == F.col(f"_l{i}") for i, (s, _) in enumerate(on)]
-    joined = df.join(right, functools.reduce(operator.and_, cond), how)
-    return joined.select(*df.columns, *picked.values())
+    cond = functools.reduce(operator.and_, [F.col(s) == F.col(f"_l{i}")
+                                            for i, (s, _) in enumerate(on)])
+    if how == "left" and not df.isStreaming:
+        # rows without a key match nothing: spread them instead of hashing them together
+        right = right.withColumn("_spread_l", F.lit(0))
+        cond = cond & (_null_spread(df, [s for s, _ in on]) == F.col("_spread_l"))
+    return df.join(right, cond, how).select(*df.columns, *picked.values())
+
+
+def _null_spread(df: DataFrame, keys: Sequence[str], n: int = 1024) -> Column:
+    """0 for a complete key, otherwise 1..n by a hash of a few columns.
+
+    Only the version column, or the first three columns, are hashed, so that the join
+    does not read columns nobody asked for.
+    """
+    whole = functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
+    plain = [f.name for f in df.schema.fields
+             if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    columns = [ID] if ID in plain else plain[:3]
+    return F.when(whole, F.lit(0)).otherwise(
+        (F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(n)) + 1).cast("int"))
 
 
 def kv_lookup(df: DataFrame, kv: DataFrame, key: str | Column, fields: Mapping[str, tuple[str, str]],
@@ -158,13 +176,12 @@ def pair_before_after(df: DataFrame, prefix: str = "ums_b_") -> DataFrame:
     before = df.filter(F.col("ums_op_") == BEFORE) \
         .groupBy(F.col(ID).alias("_bid")) \
         .agg(F.max(F.struct(*value_columns)).alias("_b"))
-    after = df.filter(F.col("ums_op_").isin(INSERT, UPDATE, DELETE))
-    # only updates look for an image
-    probe = F.when(F.col("ums_op_") == UPDATE, F.col(ID))
-    joined = after.join(before, probe == F.col("_bid"), "left") \
-        .filter((F.col("ums_op_") != UPDATE) | F.col("_bid").isNotNull())
-    return joined.select(*df.columns, *[F.col(f"_b.{c}").alias(f"{prefix}{c}")
-                                        for c in value_columns])
+    updates = df.filter(F.col("ums_op_") == UPDATE).join(before, F.col(ID) == F.col("_bid")) \
+        .select(*df.columns, *[F.col(f"_b.{c}").alias(f"{prefix}{c}") for c in value_columns])
+    others = df.filter(F.col("ums_op_").isin(INSERT, DELETE)).select(
+        *df.columns, *[F.lit(None).cast(df.schema[c].dataType).alias(f"{prefix}{c}")
+                       for c in value_columns])
+    return others.unionByName(updates)
 
 
 def resolve_identity(df: DataFrame, registry: DataFrame, tiers: Sequence[Sequence[tuple[str, str]]],
@@ -179,39 +196,31 @@ def resolve_identity(df: DataFrame, registry: DataFrame, tiers: Sequence[Sequenc
     the others fall to the next tier; rows left over pass.  New ids are a hash of
     the row, so a re-run gives the same ids.
     """
-    out = df
-    found_id, found_version, decided = F.lit(None).cast("string"), F.lit(None).cast("long"), None
-    temporary = []
-    tier_index = F.lit(None).cast("int")
-    for i, tier in reversed(list(enumerate(tiers))):
-        usable = functools.reduce(operator.and_, [F.col(c).isNotNull() for c, _ in tier])
-        tier_index = F.when(usable, F.lit(i)).otherwise(tier_index)
-    out = out.withColumn("_tier", tier_index)
-    for i, tier in enumerate(tiers):
-        # one registered row per key tuple: the newest
-        reg = registry.select(*[F.col(r).alias(f"_r{i}_{j}") for j, (_, r) in enumerate(tier)],
-                              F.struct(F.col(ID).alias("v"), F.col(id_col).alias("id"))
-                              .alias("_reg")) \
-            .groupBy(*[f"_r{i}_{j}" for j in range(len(tier))]) \
-            .agg(F.max("_reg").alias(f"_reg{i}"))
-        # rows another tier decides carry a null key here, which matches nothing
-        cond = [F.when(F.col("_tier") == i, F.col(c)) == F.col(f"_r{i}_{j}")
-                for j, (c, _) in enumerate(tier)]
-        out = out.join(reg, functools.reduce(operator.and_, cond), "left")
-        found_id = F.coalesce(found_id, F.col(f"_reg{i}.id"))
-        found_version = F.coalesce(found_version, F.col(f"_reg{i}.v"))
-        temporary += [f"_reg{i}", *[f"_r{i}_{j}" for j in range(len(tier))]]
+    from .changes import dedup
+
+    def usable(tier) -> Column:
+        return functools.reduce(operator.and_, [F.col(c).isNotNull() for c, _ in tier])
+
     new_id = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002"))
                                            for c in df.columns]))
-    out = out.withColumns({
-        id_col: F.coalesce(found_id, new_id),
-        ID: F.when(found_id.isNotNull(), found_version + 1).otherwise(F.col(ID)),
-    }).drop(*temporary)
-    # a row is reduced within its first usable tier, which is just where the cascade
-    # of "all present, else fall to the next" would take it; rows with no tier stay
-    result = out.filter(F.col("_tier").isNull())
-    from .changes import dedup
+    # each row belongs to its first usable tier, so every tier is one branch with one
+    # join; the cascade of reductions would take the row to the same tier
+    parts = []
+    earlier = F.lit(False)
     for i, tier in enumerate(tiers):
-        result = result.unionByName(
-            dedup(out.filter(F.col("_tier") == i), [c for c, _ in tier], order_by))
-    return result.drop("_tier")
+        rows = dedup(df.filter(usable(tier) & ~earlier), [c for c, _ in tier], order_by)
+        earlier = earlier | usable(tier)
+        # one registered row per key tuple: the newest
+        reg = registry.select(*[F.col(r).alias(f"_r{j}") for j, (_, r) in enumerate(tier)],
+                              F.struct(F.col(ID).alias("v"), F.col(id_col).alias("id"))
+                              .alias("_one")) \
+            .groupBy(*[f"_r{j}" for j in range(len(tier))]).agg(F.max("_one").alias("_reg"))
+        cond = [F.col(c) == F.col(f"_r{j}") for j, (c, _) in enumerate(tier)]
+        joined = rows.join(reg, functools.reduce(operator.and_, cond), "left")
+        found = F.col("_reg").isNotNull()
+        parts.append(joined.select(
+            *[F.when(found, F.col("_reg.v") + 1).otherwise(F.col(ID)).alias(ID) if c == ID
+              else F.col(c) for c in df.columns],
+            F.when(found, F.col("_reg.id")).otherwise(new_id).alias(id_col)))
+    parts.append(df.filter(~earlier).withColumn(id_col, new_id))
+    return functools.reduce(DataFrame.unionByName, parts)

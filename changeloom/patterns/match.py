@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..model import ID, OP, TS
-from ..operators.blocks import BLOCK, BLOCK_ROWS, OWN, seconds_of, sequence_blocks
+from ..operators.blocks import (BLOCK, BLOCK_ROWS, OWN, hot_keys, same_key, seconds_of,
+                                sequence_blocks)
 from ..operators.conditions import pattern_condition
+from ..session import cut_lineage
 from .nfa import Nfa
 from .spec import PatternSpec, Stage
 
@@ -27,9 +29,9 @@ def match_pattern(df: DataFrame, spec: PatternSpec, order_by: Sequence[str] = (T
     Patterns without an open quantifier run as window functions in the JVM; open
     quantifiers and the timeout output run :class:`Nfa` over Arrow batches.
 
-    With a time bound, or with adjacent stages only, a long key is cut into blocks
-    that run in parallel; otherwise a match may span the whole key and the key is
-    read in order by one task, in batches, holding open matches only.
+    A key with more than ``block_rows`` events is cut into blocks that run in
+    parallel.  Only an open quantifier without a time bound reads such a key in one
+    task, in batches, holding open matches only.
     """
     if not spec.key_by:
         df = df.withColumn("_all", F.lit(0))
@@ -78,20 +80,76 @@ def _window_matches(df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
                     keys: list[str], order_by: Sequence[str], block_rows: int) -> DataFrame:
     """Single-event stages: from the last stage back, each row looks up the first later
     row that can continue the match.  One exchange and one sort serve all stages."""
-    adjacent_only = all(s.kind in ("begin", "next", "notnext") for s in stages)
-    if adjacent_only:
+    if all(s.kind in ("begin", "next", "notnext") for s in stages):
         blocks = sequence_blocks(df, keys, order_by, after=len(stages), block_rows=block_rows)
-    elif spec.within_seconds > 0:
+        return _look_ahead(blocks.df, df, spec, stages, keys, order_by, _Ahead(blocks.by, order_by))
+    if spec.within_seconds > 0:
         blocks = sequence_blocks(df, keys, order_by, after_seconds=spec.within_seconds,
                                  block_rows=block_rows)
-    else:
-        blocks = None
-    frame = blocks.df if blocks else df.withColumn(OWN, F.lit(True))
-    by = blocks.by if blocks else keys
-    # newest first: "the first later row" is the last one seen
-    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order_by])
-    later = w.rowsBetween(Window.unboundedPreceding, -1)
+        return _look_ahead(blocks.df, df, spec, stages, keys, order_by, _Ahead(blocks.by, order_by))
+    # a match may span the whole key: long keys hand results from block to block
+    plain = _Ahead(keys, order_by)
+    hot = hot_keys(df, keys, block_rows)
+    if hot.isEmpty():
+        return _look_ahead(df.withColumn(OWN, F.lit(True)), df, spec, stages, keys, order_by, plain)
+    cold = df.join(F.broadcast(hot), same_key(keys), "left_anti").withColumn(OWN, F.lit(True))
+    blocks = sequence_blocks(df.join(F.broadcast(hot), same_key(keys), "left_semi"), keys,
+                             order_by, block_rows=block_rows)
+    return _look_ahead(cold, df, spec, stages, keys, order_by, plain).unionByName(
+        _look_ahead(blocks.df, df, spec, stages, keys, order_by,
+                    _AheadInBlocks(blocks.by, order_by)))
+
+
+class _Ahead:
+    """Looks up a value in the first later row of the same sequence that meets a condition."""
+
+    def __init__(self, by: Sequence[str], order_by: Sequence[str]):
+        self.by, self.order_by = list(by), list(order_by)
+
+    def first(self, frame: DataFrame, name: str, cond: Column | None, value: Column) -> DataFrame:
+        """``name``: the value there, null when no row qualifies."""
+        # newest first, so that the first later row is the last one seen
+        w = Window.partitionBy(*self.by).orderBy(*[F.col(c).desc() for c in self.order_by])
+        if cond is None:
+            return frame.withColumn(name, F.lag(value, 1).over(w))
+        later = w.rowsBetween(Window.unboundedPreceding, -1)
+        return frame.withColumn(name, F.last(F.when(cond, F.struct(value.alias("v"))),
+                                             ignorenulls=True).over(later)["v"])
+
+
+class _AheadInBlocks(_Ahead):
+    """The same across the blocks of a key.
+
+    A row first looks inside its block.  What a block offers to earlier rows is its
+    first qualifying row; from one row per block (at most total / block_rows of them)
+    each block learns what the blocks behind it offer.
+    """
 
+    def first(self, frame, name, cond, value):
+        keys = self.by[:-1]
+        # read twice, and the stages build on each other: write it once
+        frame = cut_lineage(frame.withColumns({"_hit": F.lit(True) if cond is None else cond,
+                                               "_val": F.struct(value.alias("v"))}))
+        position = F.struct(*self.order_by)
+        offered = frame.groupBy(*[F.col(c).alias(f"_b_{c}") for c in self.by]).agg(
+            F.min_by(F.when(F.col("_hit"), F.col("_val")), F.when(F.col("_hit"), position))
+            .alias("_offer"))
+        behind = Window.partitionBy(*[f"_b_{k}" for k in keys]).orderBy(F.col(f"_b_{BLOCK}").desc()) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        carried = offered.withColumn("_carry", F.last("_offer", ignorenulls=True).over(behind)) \
+            .drop("_offer")
+        w = Window.partitionBy(*self.by).orderBy(*[F.col(c).desc() for c in self.order_by]) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        local = F.last(F.when(F.col("_hit"), F.col("_val")), ignorenulls=True).over(w)
+        match = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+                                                 for c in self.by])
+        return frame.withColumn("_local", local).join(F.broadcast(carried), match) \
+            .withColumn(name, F.coalesce("_local", "_carry")["v"]) \
+            .drop("_hit", "_val", "_local", "_carry", *[f"_b_{c}" for c in self.by])
+
+
+def _look_ahead(frame: DataFrame, df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
+                keys: list[str], order_by: Sequence[str], ahead: _Ahead) -> DataFrame:
     frame = frame.withColumns({f"_c{i}": _condition(s, df.schema) for i, s in enumerate(stages)})
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     position = F.struct(*order_by)
@@ -99,23 +157,22 @@ def _window_matches(df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
     guards: list[Column] = []                   # on the row that precedes the stage below
     begin_time = end_time = seconds_of(df, order_by[0])
     for i in range(len(stages) - 1, -1, -1):
-        kind = stages[i].kind
+        kind, holds = stages[i].kind, F.col(f"_c{i}")
         if kind == "notnext":
             # the next event is not of this kind (and there is one)
-            frame = frame.withColumn(f"_g{i}", F.lag(~F.col(f"_c{i}"), 1).over(w))
+            frame = ahead.first(frame, f"_g{i}", None, ~holds)
             guards.append(F.coalesce(F.col(f"_g{i}"), F.lit(False)))
             if rest is None:
-                frame = frame.withColumn("_end", F.lag(end_time, 1).over(w))
+                frame = ahead.first(frame, "_end", None, end_time)
                 end_time = F.col("_end")
             continue
         if kind == "notfollowedby":
-            frame = frame.withColumn(f"_g{i}", F.last(
-                F.when(F.col(f"_c{i}"), position), ignorenulls=True).over(later))
+            frame = ahead.first(frame, f"_g{i}", holds, position)
             # none of this kind up to the event that continues the match
             reached = F.struct(*[rest["e"][0][c].alias(c) for c in order_by])
             guards.append(F.col(f"_g{i}").isNull() | (F.col(f"_g{i}") > reached))
             continue
-        usable = functools.reduce(operator.and_, guards, F.col(f"_c{i}"))
+        usable = functools.reduce(operator.and_, guards, holds)
         if rest is None:
             found = F.struct(F.array(row).alias("e"), end_time.alias("t"))
         else:
@@ -127,20 +184,13 @@ def _window_matches(df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
             break
         # followedby takes the first event that meets the stage's own condition, and
         # fails with it when the rest of the pattern does not continue from there
-        frame = frame.withColumn(f"_m{i}", F.struct(F.when(usable, found).alias("v")))
-        if kind == "next":
-            frame = frame.withColumn(f"_n{i}", F.lag(F.col(f"_m{i}.v"), 1).over(w))
-        else:
-            frame = frame.withColumn(f"_n{i}", F.last(
-                F.when(F.col(f"_c{i}"), F.col(f"_m{i}")), ignorenulls=True).over(later)["v"])
+        frame = ahead.first(frame, f"_n{i}", None if kind == "next" else holds,
+                            F.when(usable, found))
         rest = F.col(f"_n{i}")
     if spec.within_seconds > 0:
-        frame = frame.filter(F.col("_found.t") - begin_time
-                             < spec.within_seconds)
-    frame = frame.withColumn(EVENTS, F.col("_found.e"))
-    first_len = _begin_times(spec)
-    return frame.select(*keys, EVENTS, F.lit(first_len).alias(FIRST_LEN),
-                        F.lit(0).cast("long").alias(SEQ))
+        frame = frame.filter(F.col("_found.t") - begin_time < spec.within_seconds)
+    return frame.select(*keys, F.col("_found.e").alias(EVENTS),
+                        F.lit(_begin_times(spec)).alias(FIRST_LEN), F.lit(0).cast("long").alias(SEQ))
 
 
 def _begin_times(spec: PatternSpec) -> int:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, types as T
 
 from ..session import shared_dir
 
@@ -37,5 +38,9 @@ def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None,
 
     query = start(df, write, checkpoint or shared_dir(spark, "stream-checkpoint"), mode)
     query.awaitTermination()
-    return spark.read.schema(df.schema.add("_batch", "long")).option("basePath", out) \
-        .parquet(f"{out}/_batch=*")
+    # add() changes a schema in place
+    schema = T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])
+    try:
+        return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/_batch=*")
+    except AnalysisException:       # no input, so no batch was written
+        return spark.createDataFrame([], schema)

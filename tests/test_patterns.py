@@ -157,6 +157,13 @@ def test_split_adjacent_without_bound(spark):
         expected(events, SHAPES["strict"], -1)
 
 
+@pytest.mark.parametrize("shape", ["relaxed", "mixed", "not_next", "not_between", "times_next"])
+def test_split_keys_without_bound(spark, shape):
+    events = sample(21, n=90, keys=1) + [(s, i + 100_000, c, 1) for s, i, c, _ in sample(5, n=8)]
+    assert run(spark, events, SHAPES[shape], -1, block_rows=13) == \
+        expected(events, SHAPES[shape], -1)
+
+
 def test_skip_strategies(spark):
     events = [(i, i, "a", 0) for i in range(1, 8)]
     pairs = [("begin", "a", "times", 2)]

@@ -67,8 +67,9 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], how:
     cond = functools.reduce(operator.and_, [F.col(s) == F.col(f"_l{i}")
                                             for i, (s, _) in enumerate(on)])
     if how == "left" and not df.isStreaming:
-        # rows without a key match nothing: spread them instead of hashing them together
-        right = right.withColumn("_spread_l", F.lit(0))
+        # rows without a key match nothing: spread them instead of hashing them together;
+        # the other side's part is always 0, but not a constant that would be folded away
+        right = right.withColumn("_spread_l", F.pmod(F.xxhash64("_l0"), F.lit(1)).cast("int"))
         cond = cond & (_null_spread(df, [s for s, _ in on]) == F.col("_spread_l"))
     return df.join(right, cond, how).select(*df.columns, *picked.values())
 

@@ -19,6 +19,8 @@ DEFAULTS = {
     STATE_STORE:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
+    # no call-site capture per Column call: plans build faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

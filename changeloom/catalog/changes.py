@@ -148,7 +148,9 @@ def cdc_08_meta(spark, sf):
     return apply_split(days(spark, sf), *_split_tables(spark, sf), DAY_KEYS)[1]
 
 
-@query("cdc_09_partition_by_keys")
+@query("cdc_09_partition_by_keys", f"""{W}
+    SELECT k, ums_id_, ums_op_ FROM (
+      SELECT *, row_number() OVER (PARTITION BY k ORDER BY ums_id_ DESC) AS rn FROM changes) t WHERE rn = 1""")
 def cdc_09(spark, sf):
     latest = merge_latest(changes(spark, sf), ["k"])
     return partition_by_keys(latest, ["k"]).select("k", "ums_id_", "ums_op_")

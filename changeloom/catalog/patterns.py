@@ -150,14 +150,30 @@ def cep_09(spark, sf):
     return _ids(spark, sf, [Stage("begin", is_("click"), "timesormore", 2)], within=_HOURS_12)
 
 
-@query("cep_10_timesgreedy")
+@query("cep_10_timesgreedy", f"""{W},
+    r AS (SELECT k, ums_id_, ums_ts_, value1, lead(value1) OVER w AS nv, lead(ums_id_) OVER w AS ni, lead(ums_ts_) OVER w AS nt
+      FROM changes WHERE value1 IN ('click', 'purchase', 'error') WINDOW w AS (PARTITION BY k ORDER BY ums_ts_, ums_id_)),
+    cp AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ums_ts_, ums_id_) AS rn FROM r WHERE value1 <> 'error'),
+    v AS (SELECT c.k, c.ums_id_, c.ums_ts_, min(cp.rn) AS first_rn FROM changes c JOIN cp ON cp.k = c.k AND cp.ums_id_ > c.ums_id_
+      WHERE c.value1 = 'view' GROUP BY c.k, c.ums_id_, c.ums_ts_)
+    SELECT v.k, v.ums_id_ AS first_id, cp.ni AS last_id, CAST(cp.rn - v.first_rn + 3 AS INTEGER) AS n
+    FROM v JOIN cp ON cp.k = v.k AND cp.rn > v.first_rn AND cp.nv = 'error'
+      AND epoch_us(cp.nt) - epoch_us(v.ums_ts_) < {_HOURS_12}000000""")
 def cep_10(spark, sf):
     return _ids(spark, sf, [Stage("begin", is_("view")),
                             Stage("followedby", either("click", "purchase"), "timesgreedy", 2),
                             Stage("followedby", either("purchase", "error"))], within=_HOURS_12)
 
 
-@query("cep_11_timesoptional")
+@query("cep_11_timesoptional", f"""{W},
+    f AS (SELECT *, {_NEXT_OF.format('purchase')} AS nx, {_NEXT_OF.format('click')} AS nc FROM changes),
+    c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ums_ts_, ums_id_) AS rn FROM f WHERE value1 = 'click')
+    SELECT f.k, f.ums_id_ AS first_id, f.nx AS last_id, 2 AS n FROM f JOIN changes p ON p.ums_id_ = f.nx
+      WHERE f.value1 = 'view' AND epoch_us(p.ums_ts_) - epoch_us(f.ums_ts_) < {_HOURS_12}000000
+    UNION ALL
+    SELECT f.k, f.ums_id_, z.nx, CAST(z.rn - a.rn + 3 AS INTEGER) FROM f JOIN c a ON a.ums_id_ = f.nc
+      JOIN c z ON z.k = f.k AND z.rn > a.rn JOIN changes p ON p.ums_id_ = z.nx
+      WHERE f.value1 = 'view' AND epoch_us(p.ums_ts_) - epoch_us(f.ums_ts_) < {_HOURS_12}000000""")
 def cep_11(spark, sf):
     return _ids(spark, sf, [Stage("begin", is_("view")),
                             Stage("followedby", is_("click"), "timesoptional", 2),

@@ -180,11 +180,15 @@ def snk_17(spark, sf):
     return newer_than_stored(days(spark, sf), stored, DAY_KEYS).select("k", "day", "ums_id_")
 
 
-@query("snk_18_to_shards")
+@query("snk_18_to_shards", f"""{W}
+    SELECT k, count(*) AS n, count(CASE WHEN value1 = 'view' THEN 1 END) AS filled, CAST(1 AS BIGINT) AS shards FROM changes GROUP BY k""")
 def snk_18(spark, sf):
     df = changes(spark, sf).withColumn("value1", F.when(F.col("value1") != "view", F.col("value1")))
-    return to_shards(df, ["k"], 4).groupBy("shard").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("value1") == "").cast("int")).alias("filled"))
+    shards = to_shards(df, ["k"], 4).groupBy("k", "shard").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value1") == "").alias("filled"))
+    # a key lives in one shard
+    return shards.groupBy("k").agg(F.sum("n").alias("n"), F.sum("filled").alias("filled"),
+                                   F.count(F.lit(1)).alias("shards"))
 
 
 @query("snk_20_to_requests", """

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.conditions import (compile_condition, filter_events, filter_time, kinds_of,
-                                    lookup_conditions, pattern_condition)
+                                    pattern_condition)
 from ..operators.lookups import lookup
 from ..operators.projections import project_job, project_output, sql_step, with_sys_columns
 from ..operators.query import query as table_query
 from ..operators.rules import (Cast, Exclude, Expression, Include, Where, apply_schema_rules,
                                ensure_columns, tag_events)
-from ..plans.steps import CustomStep, LookupStep, SqlStep, UnionStep, run_steps
+from ..plans.steps import CustomStep, LookupStep, SqlStep, run_steps
 from .base import SQL_CHANGES, changes, query, table
 
 W = "WITH " + SQL_CHANGES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..model import FlowSpec, Namespace, Sink
 from ..operators.projections import project_job, project_output
-from ..sources.messages import (apply_ums_schema, classify_messages, filter_protocol,
-                                match_namespace, read_ums)
+from ..sources.messages import (apply_ums_schema, classify_messages, match_namespace,
+                                read_ums)
 from ..sources.tables import read_source
 from ..sinks.write import SINKS, write_parquet
 from .steps import run_steps

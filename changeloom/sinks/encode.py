@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.casts import decimal_text
-from ..model import (ACTIVE, BATCH, DELETE, INCREMENT, OP, SYSTEM_PREFIX, UID, declared_type)
+from ..model import (ACTIVE, BATCH, DELETE, INCREMENT, OP, SYSTEM_PREFIX, declared_type)
 from ..functions.hashes import murmur3_utf16
 from ..functions.text import to_b64
 from ..sources.messages import match_namespace

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.casts import fill_defaults
 from ..functions.hashes import shard_of
 from ..functions.text import build_key, render_template
-from ..model import ACTIVE, DELETE, ID, OP, UID
+from ..model import ID, OP, UID
 from ..operators.changes import SKIP, merge_latest, plan_upsert, with_active
 
 

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..model import ACTIVE, ID, OP, UID
-from ..operators.changes import SKIP, merge_latest, plan_split_upsert, plan_upsert, with_active
+from ..operators.changes import SKIP, merge_latest, plan_split_upsert, with_active
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",

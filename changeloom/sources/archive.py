@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.times import parse_ts
-from ..model import DATA_PROTOCOLS, INCREMENT, INITIAL, TS, Field, Namespace
+from ..model import INCREMENT, INITIAL, TS, Field, Namespace
 from .messages import ENVELOPE, apply_ums_schema, classify_messages, read_ums
 
 PARTITIONS = ("status", "system", "instance", "db", "tab", "version", "db_partition",

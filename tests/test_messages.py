@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from changeloom.model import Field, Namespace
 from changeloom.sources.ext_json import JsonField, infer_ext_schema, parse_codes, read_ext_json

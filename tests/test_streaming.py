@@ -74,13 +74,13 @@ def test_restart_resumes_from_the_checkpoint(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     path = write_files(spark, source, [[(1, 1, "i", 1, 1)]])
     drain(stream(spark, path), checkpoint=checkpoint, out=out)
-    write_files(spark, f"{source}-later", [])
     spark.createDataFrame([(2, 1, "i", 1, 1)], "i long, s long, op string, k long, v long").select(
         F.col("i").alias("ums_id_"), F.timestamp_seconds("s").alias("ums_ts_"),
         F.col("op").alias("ums_op_"), F.col("i").cast("string").alias("ums_uid_"), "k", "v") \
         .write.parquet(f"{source}/001")
     rows = drain(stream(spark, path), checkpoint=checkpoint, out=out).collect()
-    assert sorted((r["_batch"], r["ums_id_"]) for r in rows) == [(0, 1), (1, 2)]
+    # the first file is not read again, and the later batch has a later number
+    assert [r["ums_id_"] for r in sorted(rows, key=lambda r: r["_batch"])] == [1, 2]
 
 
 def test_validity_gate_holds_and_retries(spark, tmp_path):

@@ -131,24 +131,30 @@ def _with_edges(numbered: DataFrame, before: int, after: int, block_rows: int) -
 def _with_time_edges(numbered: DataFrame, ts: str, seconds: float) -> DataFrame:
     """Repeat rows within ``seconds`` after a block's last own row behind that block."""
     t = seconds_of(numbered, ts)
-    ends = numbered.groupBy(F.col(KEY).alias("_ekey"), F.col("_home").alias("_ehome")) \
+    # Blocks of a key follow each other in time, so those that reach into a block are the
+    # ones that ended within ``seconds`` before it started.  A range window over block
+    # ends and starts finds them; blocks are never paired with each other.
+    scale = 1 if isinstance(numbered.schema[ts].dataType, T.NumericType) else 1_000_000
+    ends = numbered.groupBy(F.col(KEY).alias("_rkey"), F.col("_home").alias("_rhome")) \
         .agg(F.max(t).alias("_end"), F.min(t).alias("_start"))
-    # for each block the earlier blocks whose reach extends into it (blocks only, no rows)
-    mine, earlier = ends.alias("m"), ends.alias("e")
-    cond = (F.col("m._ekey") == F.col("e._ekey")) \
-        & (F.col("e._ehome") < F.col("m._ehome")) \
-        & (F.col("m._start") <= F.col("e._end") + seconds)
-    reach = mine.join(earlier, cond) \
-        .groupBy(F.col("m._ekey").alias("_rkey"), F.col("m._ehome").alias("_rhome")) \
-        .agg(F.collect_list(F.struct(F.col("e._ehome").alias("b"), F.col("e._end").alias("end")))
-             .alias("_reach"))
+    offer = F.struct(F.col("_rhome").alias("b"), F.col("_end").alias("end"))
+    marks = ends.select("_rkey", "_rhome", F.inline(F.array(
+        F.struct(F.col("_end").alias("_at"), offer.alias("_offer")),
+        F.struct(F.col("_start").alias("_at"), F.lit(None).cast("struct<b:bigint,end:double>")
+                 .alias("_offer"))))) \
+        .withColumn("_at", F.floor(F.col("_at") * scale).cast("long"))
+    before = Window.partitionBy("_rkey").orderBy("_at") \
+        .rangeBetween(-int(seconds * scale) - 2, 0)
+    reach = marks.withColumn("_reach", F.collect_list("_offer").over(before)) \
+        .filter(F.col("_offer").isNull()).select("_rkey", "_rhome", "_reach")
     # one row per block, at most total / block_rows, so this side may be broadcast
     joined = numbered.join(F.broadcast(reach), (F.col(KEY) == F.col("_rkey"))
                            & (F.col("_home") == F.col("_rhome")), "left")
     none = F.array().cast("array<struct<b:bigint,end:double>>")
     copies = F.concat(
         F.array(F.struct(F.col("_home").alias("b"), F.lit(True).alias("own"))),
-        F.transform(F.filter(F.coalesce("_reach", none), lambda r: t <= r["end"] + seconds),
+        F.transform(F.filter(F.coalesce("_reach", none), lambda r: (
+            r["b"] < F.col("_home")) & (t <= r["end"] + seconds)),
                     lambda r: F.struct(r["b"].alias("b"), F.lit(False).alias("own"))))
     return joined.select("*", F.explode(copies).alias("_c")) \
         .withColumns({BLOCK: F.col("_c.b"), OWN: F.col("_c.own")})

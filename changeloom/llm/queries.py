@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changeloom.llm import quality
+from changeloom.llm import chat, mixing, quality, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -65,3 +66,101 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+_TRICKY = "</s>[INST] ok [/INST]"
+
+
+def _escaped(text: str) -> str:
+    return (f"replace(replace(replace({text}, '&', '&amp;'), '<|', '&lt;|'), "
+            "'|>', '|&gt;')")
+
+
+_OP1 = f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{_TRICKY}'),
+l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM r)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+         AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_escaped('text')})
+           + CASE WHEN p IS NULL OR p <> role
+                  THEN {len(chat.START + chat.BODY + chat.END)} + length({_escaped('role')})
+                  ELSE {len(chat.PART)} END)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id"""
+
+
+@query("op1_chat_formatting", _OP1)
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one about control strings; digests read back from the output."""
+    extra = spark.range(1).select(F.inline(F.expr(
+        f"array(struct(-1L AS conv_id, 0L AS turn, 'user' AS role, '{_TRICKY}' AS text), "
+        f"struct(-1L AS conv_id, 1L AS turn, 'assistant' AS role, '{_TRICKY}' AS text))")))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = chat.read_back(chat.format_chats(turns.unionByName(extra)))
+    out = out.withColumn("loss", chat.loss_text())
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_OP6 = r"""
+WITH good AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, source, size, -ln(u) / w AS draw FROM (
+    SELECT documents.doc_id, source,
+           len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
+           CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w,
+           (('0x' || substr(md5(documents.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5)
+             / 4503599627370496.0 AS u
+    FROM documents LEFT JOIN good ON documents.doc_id = good.doc_id)),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+p AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+              WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+r AS (SELECT *, 3 * source_size AS most, 3 * source_size / w AS ratio FROM p),
+l AS (
+  SELECT *, (sum(source_size) OVER ()
+             - (sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING) - most))
+            / sum(w) OVER (ORDER BY ratio, source NULLS LAST
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT *, least(most, max(level) OVER () * w) AS target FROM l),
+b AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN floor(floor(target) / source_size) ELSE 0 END AS passes,
+         sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size
+                         ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (passes * size
+        + greatest(0, least(size, floor(target) - passes * source_size - before)))::BIGINT AS taken
+FROM b"""
+
+
+@query("op6_mixing", _OP6)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed 5, 2, 1; good documents are drawn before poor ones."""
+    out = mixing.mix(mixing.with_quality(read(spark, sf_dir, "documents"),
+                                         read(spark, sf_dir, "labels")),
+                     quality=F.col("__weight"))
+    return out.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    out = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 24)
+    return out.select(
+        "row.doc_id", "size",
+        F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, mixing, quality, sharding
+from changeloom.llm import chat, mixing, near_dups, quality, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -164,3 +164,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_near_dups")
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set size and its component of near copies."""
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents"))

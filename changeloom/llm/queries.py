@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, mixing, near_dups, quality, sharding
+from changeloom.llm import chat, mixing, near_dups, quality, sharding, suffixes
 
 QUERIES = {}
 ORACLE = {}
@@ -170,3 +170,32 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its set size and its component of near copies."""
     return near_dups.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+_OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h,
+                  octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 199)) AS i, h FROM d WHERE n >= 200),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM k)
+      WHERE c > 1),
+s AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true)
+             AS first FROM r),
+g AS (SELECT doc_id, i, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM spans),
+parts AS (SELECT e.doc_id, string_agg(substr(h, 2 * coalesce(p, 0) + 1, 2 * (a - coalesce(p, 0))),
+                                      '' ORDER BY a) AS kept, max(b) AS last,
+                 sum(b - a) AS n_removed, count(*) AS n_spans
+          FROM e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts ON d.doc_id = parts.doc_id"""
+
+
+@query("op3_suffix_dedup", _OP3)
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of its repeated 200-byte strings."""
+    out = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, mixing, near_dups, quality, sharding, suffixes
+from changeloom.llm import chat, mixing, near_dups, passages, quality, sharding, suffixes
 
 QUERIES = {}
 ORACLE = {}
@@ -199,3 +199,27 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of its repeated 200-byte strings."""
     out = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+_OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+a AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS m FROM a),
+r AS (SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS n FROM k)
+      WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS i FROM r),
+each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT each.doc_id, string_agg(x, ' ' ORDER BY each.i) AS t, count(*) AS n
+         FROM each ANTI JOIN c ON each.doc_id = c.doc_id AND each.i = c.i GROUP BY each.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+
+@query("op7_passage_dedup", _OP7)
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word passages that came before."""
+    out = passages.remove_passages(read(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, mixing, near_dups, passages, quality, sharding, suffixes
+from changeloom.llm import (chat, mixing, near_dups, packing, passages, quality, sharding,
+                            suffixes, topk)
 
 QUERIES = {}
 ORACLE = {}
@@ -223,3 +224,33 @@ def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 20-word passages that came before."""
     out = passages.remove_passages(read(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as windows of at most 2048 ids; one row per piece."""
+    import public_tokenizers
+    out = packing.pack(read(spark, sf_dir, "documents"),
+                       public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                      "doc_tokens", "sequence_id", "offset")
+
+
+_OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_dot_product(q.x, c.x)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5"""
+
+
+@query("op4_exact_top_k", _OP4)
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every fiftieth vector."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeloom.llm import (chat, mixing, near_dups, packing, passages, quality, sharding,
-                            suffixes, topk)
+                            suffixes, topk, unigram)
 
 QUERIES = {}
 ORACLE = {}
@@ -254,3 +254,12 @@ WHERE rank <= 5"""
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows of every fiftieth vector."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    import public_tokenizers
+    out = unigram.count_tokens(read(spark, sf_dir, "documents"),
+                               public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.withColumnRenamed("id", "doc_id")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: rows of a source that share one key range
 RANGE_ROWS = 10_000
+SALTS = 32
 
 
 def n_words(text: Column) -> Column:
@@ -55,28 +56,38 @@ def targets(sources: DataFrame, weights: Sequence[int], limit: int) -> DataFrame
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3,
-        quality: Column | None = None, key: str = "doc_id", source: str = "source",
-        text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
+        labels: DataFrame | None = None, carry: Sequence[str] | None = None,
+        key: str = "doc_id", source: str = "source", text: str = "text",
+        range_rows: int = RANGE_ROWS) -> DataFrame:
     """``row`` (the input), ``size``, ``source_size``, ``target``, ``taken``.
 
     ``taken`` counts words: whole passes of the document, plus the document itself when it
     is drawn, or its first words when it is the one that the budget ends in; so a source
-    takes its target rounded down.  ``quality``: positive weight of each row, default 1.
-    Null text: no words.  Null source: a source of its own, the last.  Null ids draw one
-    number together; ties go by id and size, and repeated rows are rows of their own.
+    takes its target rounded down.  ``labels`` (key, quality) weigh documents, see
+    :func:`quality_weights`; without them all weigh 1.  ``carry``: columns in ``row``, all by
+    default; only these travel.  Null text: no words.  Null source: a source of its own, the
+    last.  Null ids draw one number together; ties go by id and size, and repeated rows are
+    rows of their own.
     """
-    weight = F.lit(1.0) if quality is None else quality.cast("double")
     rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        F.struct(*[docs[f"`{c}`"] for c in carry or docs.columns]).alias("row"),
         docs[f"`{key}`"].alias("id"), docs[f"`{source}`"].isNull().alias("none"),
         F.coalesce(docs[f"`{source}`"].cast("string"), F.lit("")).alias("source"),
-        n_words(docs[f"`{text}`"]).alias("size"), weight.alias("w"))
+        n_words(docs[f"`{text}`"]).alias("size"))
+    if labels is None:
+        rows = rows.withColumn("w", F.lit(1.0))
+    else:  # labels grow with the documents: never broadcast
+        rows = rows.join(quality_weights(labels, key).hint("merge"), "id", "left")
+        rows = rows.fillna(1.0, ["w"])
     rows = rows.withColumn("draw", -F.log(uniform(F.col("id"))) / F.col("w"))
     per = rows.groupBy("none", "source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n"), F.min("w").alias("low"))
     wanted = per.join(targets(per.select("none", "source", "source_size"), weights, limit)
                       .drop("source_size"), ["none", "source"])
-    rows = rows.join(wanted, ["none", "source"])
+    # rows of a large source meet its target in SALTS places
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
+        salted, ["none", "source", "salt"]).drop("salt")
     # with the lowest weight of its source the keys spread over (0, 1)
     spread = 1 - F.exp(-F.col("draw") * F.col("low"))
     n_ranges = F.floor(F.col("n") / range_rows) + 1
@@ -97,12 +108,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3,
     return out.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``__weight``: 2 for documents labelled good, 0.5 for poor, else 1."""
-    marks = labels.groupBy(labels[f"`{key}`"].alias("__id")).agg(F.max("quality").alias("__good"))
-    weight = F.when(F.col("__good") == 1, 2.0).when(F.col("__good") == 0, 0.5).otherwise(1.0)
-    return (docs.join(marks, docs[f"`{key}`"] == marks["__id"], "left")
-            .withColumn("__weight", weight).drop("__id", "__good"))
+def quality_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``id`` and ``w``: 2 for documents labelled good, 0.5 for poor; good wins a conflict."""
+    return labels.groupBy(labels[f"`{key}`"].alias("id")).agg(
+        F.when(F.max("quality") == 1, 2.0).when(F.max("quality") == 0, 0.5).otherwise(1.0)
+        .alias("w"))
 
 
 def written_out(mixed: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:

@@ -150,9 +150,8 @@ FROM b"""
 @query("op6_mixing", _OP6)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed 5, 2, 1; good documents are drawn before poor ones."""
-    out = mixing.mix(mixing.with_quality(read(spark, sf_dir, "documents"),
-                                         read(spark, sf_dir, "labels")),
-                     quality=F.col("__weight"))
+    out = mixing.mix(read(spark, sf_dir, "documents"), labels=read(spark, sf_dir, "labels"),
+                     carry=["doc_id"])
     return out.select("row.doc_id", "size", "source_size", "target", "taken")
 
 

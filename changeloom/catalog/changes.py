@@ -25,11 +25,10 @@ WT = "WITH " + SQL_TARGET
       SELECT event_id AS id, date_trunc('milliseconds', ts) AS ts, user_id, upper(event_type) AS kind, c_name, n_name,
              row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
       FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
-      WHERE event_type <> 'error') t WHERE rn = 1""")
+      ) t WHERE rn = 1""")
 def flow_messages_to_snapshot(spark, sf):
     rows = apply_ums_schema(read_ums(messages(spark, sf)), FIELDS)
-    rows = sql_step(rows, "SELECT *, upper(value1) AS kind FROM events WHERE value1 <> 'error'",
-                    "events")
+    rows = sql_step(rows, "SELECT *, upper(value1) AS kind FROM events", "events")
     places = lookup(table(spark, sf, "customer"), table(spark, sf, "nation"),
                     [("c_nationkey", "n_nationkey")], "left")
     # the snapshot comes first: it keeps one row per key, so the lookup joins fewer rows

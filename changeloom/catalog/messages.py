@@ -149,7 +149,7 @@ def _mixed_keys(spark, sf):
         F.when(kind == "view", F.lit(None)).when(kind == "click", F.lit("  "))
         .when(kind == "error", F.lit("data_initial_data.a.b.c"))
         .when(kind == "signup", F.concat(F.lit("what."), F.col("key")))
-        .otherwise(F.concat(F.upper("key"), F.lit(".0.wh_placeholder"))).alias("key"),
+        .otherwise(F.concat(F.upper("key"), F.lit(".0.filler"))).alias("key"),
         "value", kind.alias("kind"), F.get_json_object("value", "$.payload[0].tuple[0]")
         .cast("long").alias("event_id"))
 

@@ -140,15 +140,18 @@ def stm_10(spark, sf):
 
 
 @query("stm_11_validity", f"""{W}, j AS (SELECT ums_id_, ums_ts_, c_name, value1 FROM changes
-      LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) c ON k = c_custkey)
+      LEFT JOIN customer ON k = CASE WHEN c_nationkey < 12 THEN c_custkey END)
     SELECT ums_id_, CASE WHEN c_name IS NOT NULL AND value1 <> '' THEN 'send'
-      WHEN date_trunc('second', ums_ts_) <= date_trunc('second', TIMESTAMP '2024-01-18 00:00:30') - INTERVAL 300 SECOND THEN 'alert' ELSE 'hold' END AS fate FROM j""")
+      WHEN date_trunc('second', ums_ts_) <= date_trunc('second', (SELECT min(ums_ts_) FROM j WHERE ums_ts_ >= (SELECT max(ums_ts_) FROM j) - INTERVAL 864000 SECOND)) - INTERVAL 300 SECOND THEN 'alert' ELSE 'hold' END AS fate FROM j""")
 def stm_11(spark, sf):
-    few = table(spark, sf, "customer").filter("c_nationkey < 12")
-    df = lookup(changes(spark, sf), few, [("k", "c_custkey")], "left", columns=["c_name"])
-    # the newest batch's least event time, as when earlier rows were held
+    some = table(spark, sf, "customer").withColumn(
+        "some", F.when(F.col("c_nationkey") < 12, F.col("c_custkey")))
+    df = lookup(changes(spark, sf), some, [("k", "some")], "left", columns=["c_name"])
+    # the newest batch is the last ten days, the rows before it were held
+    newest = df.filter(F.col("ums_ts_") >= df.agg(F.max("ums_ts_").alias("t")).scalar()
+                       - F.expr("INTERVAL 864000 SECONDS"))
     out = validity(df, ["c_name", "value1"], "and", 300, "alert",
-                   min_ts=F.to_timestamp(F.lit("2024-01-18 00:00:30")))
+                   min_ts=newest.agg(F.min("ums_ts_").alias("t")).scalar())
     return out.select("ums_id_", F.col("_fate").alias("fate"))
 
 

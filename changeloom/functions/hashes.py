@@ -1,8 +1,8 @@
 """Hashes whose values must equal those of other systems (STR-03, MTH-03).
 
-Spark's own ``hash`` and ``xxhash64`` use another seed, so these two go through
-Arrow batches.  ``native=True`` keeps the work in the JVM where only an even
-spread matters.
+Spark's own ``hash`` and ``xxhash64`` use another seed.  Murmur3 is column arithmetic;
+the shard number goes by Spark's hash, where only an even spread matters, and by Arrow
+batches where it must equal another system's (``native=False``).
 """
 
 from __future__ import annotations
@@ -37,18 +37,56 @@ def _rotl(x, r: int):
     return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
 
 
-@F.pandas_udf(T.LongType())
-def _string_hash(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: 0 if s is None else murmur3_utf16(s)).astype("int64")
+_MASK = 0xFFFFFFFF
 
 
-def scala_string_hash(col: Column, native: bool = False) -> Column:
-    """STR-03: 32-bit Murmur3 of a string as long, 0 for null."""
-    return F.coalesce(F.hash(col).cast("long"), F.lit(0)) if native else _string_hash(col)
+def _times(x: Column, factor: int) -> Column:
+    """Low 32 bits of a product, by 16-bit halves so that no long overflows."""
+    low = x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor)
+    high = F.shiftright(x, 16) * F.lit(factor)
+    return (low.bitwiseAND(F.lit(_MASK))
+            + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_MASK))
 
 
-def shard_of(keys: list[Column | str], n: int, native: bool = False) -> Column:
-    """MTH-03: unsigned 64-bit xxHash (seed 0) of the ``_``-joined key, modulo ``n``."""
+def _turn(x: Column, r: int) -> Column:
+    return F.shiftleft(x, r).bitwiseAND(F.lit(_MASK)).bitwiseOR(F.shiftright(x, 32 - r))
+
+
+def _xor_down(x: Column, r: int) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, r))
+
+
+def scala_string_hash(col: Column) -> Column:
+    """STR-03: 32-bit Murmur3 of a string's UTF-16 units as long, 0 for null.
+
+    Column arithmetic over pairs of units: the JVM does all of it.
+    """
+    digits = F.hex(F.encode(col, "UTF-16BE"))
+    n = F.floor(F.length(digits) / 4).cast("int")
+
+    def word(at: Column, width: int) -> Column:
+        return F.conv(F.substring(digits, at, F.lit(width)), 16, 10).cast("long")
+
+    def scrambled(x: Column) -> Column:
+        return _times(_turn(_times(x, int(_C1)), 15), int(_C2))
+    pairs = F.floor(n / 2).cast("int")
+    blocks = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), pairs - 1),
+                                           lambda k: scrambled(word(k * 8 + 1, 8)))) \
+        .otherwise(F.array().cast("array<bigint>"))
+    body = F.aggregate(blocks, F.lit(int(_SEED)).cast("long"), lambda h, k: (
+        _times(_turn(h.bitwiseXOR(k), 13), 5) + F.lit(0xE6546B64)).bitwiseAND(F.lit(_MASK)))
+    tail = F.when(n % 2 == 1, scrambled(word(n * 4 - 3, 4))).otherwise(F.lit(0).cast("long"))
+    h = body.bitwiseXOR(tail).bitwiseXOR(n.cast("long"))
+    h = _times(_xor_down(h, 16), 0x85EBCA6B)
+    h = _xor_down(_times(_xor_down(h, 13), 0xC2B2AE35), 16)
+    return F.coalesce(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h), F.lit(0).cast("long"))
+
+
+def shard_of(keys: list[Column | str], n: int, native: bool = True) -> Column:
+    """MTH-03: 64-bit xxHash of the ``_``-joined key, modulo ``n``.
+
+    Spark's hash by default; ``native=False``: unsigned with seed 0, as other stores shard.
+    """
     key = F.concat_ws("_", *[F.col(k) if isinstance(k, str) else k for k in keys])
     if native:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

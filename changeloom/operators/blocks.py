@@ -11,7 +11,7 @@ How a long key is numbered without one task seeing it whole:
 2. running sums over the slots of a key give each slot's offset - a window over
    counts, not rows;
 3. the position of a row is its slot's offset plus its rank inside the slot, ranked
-   in a window partitioned by (key, slot).
+   in a window partitioned by (key, slot).  Rows without a time share the first slot.
 
 Only keys with more than ``block_rows`` rows take that way; there are at most
 ``total / block_rows`` of them.  All others keep the single shuffle by key.
@@ -74,8 +74,7 @@ def sequence_blocks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     ts = order_by[0]
     cond = same_key(keys)
     slot = F.floor(seconds_of(df, ts) / slot_seconds).cast("long")
-    # at most total / block_rows keys, so this side may be broadcast
-    hot_side = F.broadcast(hot_keys(df, keys, block_rows))
+    hot_side = hot_keys(df, keys, block_rows)
     cold = df.join(hot_side, cond, "left_anti") \
         .withColumns({BLOCK: F.lit(0).cast("long"), OWN: F.lit(True)})
 
@@ -91,7 +90,8 @@ def sequence_blocks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     # rows that tie in the order stay in one block when the reach is a time
     rank = F.row_number() if after_seconds is None else F.rank()
     numbered = hot.withColumn("_rank", rank.over(in_slot)) \
-        .join(offsets, (F.col(KEY) == F.col("_okey")) & (F.col("_slot") == F.col("_oslot"))) \
+        .join(offsets, (F.col(KEY) == F.col("_okey"))
+              & F.col("_slot").eqNullSafe(F.col("_oslot"))) \
         .withColumn(POS, F.col("_off") + F.col("_rank") - 1) \
         .withColumn("_home", F.floor(F.col(POS) / block_rows).cast("long")) \
         .drop("_rank", "_off", "_okey", "_oslot")
@@ -147,8 +147,7 @@ def _with_time_edges(numbered: DataFrame, ts: str, seconds: float) -> DataFrame:
         .rangeBetween(-int(seconds * scale) - 2, 0)
     reach = marks.withColumn("_reach", F.collect_list("_offer").over(before)) \
         .filter(F.col("_offer").isNull()).select("_rkey", "_rhome", "_reach")
-    # one row per block, at most total / block_rows, so this side may be broadcast
-    joined = numbered.join(F.broadcast(reach), (F.col(KEY) == F.col("_rkey"))
+    joined = numbered.join(reach, (F.col(KEY) == F.col("_rkey"))
                            & (F.col("_home") == F.col("_rhome")), "left")
     none = F.array().cast("array<struct<b:bigint,end:double>>")
     copies = F.concat(
@@ -187,8 +186,8 @@ def running_total(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], c
         .agg(F.sum(F.col(col).cast(wide)).alias("_sum"))
     earlier = Window.partitionBy(*[f"_t_{k}" for k in blocks.by[:-1]]).orderBy(f"_t_{BLOCK}") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier),
-                                                   F.lit(0).cast(wide)))
+    # null until a value came: a sum over nulls only is null, in one block as in many
+    totals = totals.withColumn("_base", F.sum("_sum").over(earlier))
     w = Window.partitionBy(*blocks.by).orderBy(*order_by) \
         .rowsBetween(Window.unboundedPreceding, 0)
     match = F.lit(True)
@@ -196,7 +195,8 @@ def running_total(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], c
         match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
     return blocks.df.withColumn("_run", F.sum(F.col(col).cast(wide)).over(w)) \
         .join(totals, match) \
-        .select(*df.columns, (F.col("_base") + F.col("_run")).alias(alias))
+        .select(*df.columns, F.coalesce(F.col("_base") + F.col("_run"), "_run", "_base")
+                .alias(alias))
 
 
 def over_range(df: DataFrame, keys: Sequence[str], order_by: str, seconds: int,

@@ -107,7 +107,7 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str],
     """CDC-06, CDC-07: the target after the changes; applying them twice changes nothing.
 
     ``iud``: one row per key; an incoming row replaces the stored one only when its
-    version is greater; a delete keeps the row with live flag 0.  ``i``: blind
+    version is greater or the stored one has none; a delete keeps the row with live flag 0.  ``i``: blind
     append.  ``target`` has the changes' columns with the live flag in place of the
     operation, and one row per key.
     """
@@ -121,7 +121,10 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str],
         *keys, F.struct(*value_columns).alias("_new"))
     old = target.select(*keys, F.struct(*value_columns).alias("_old"))
     both = old.join(new, list(keys), "full_outer")
-    take_new = F.col("_old").isNull() | (F.col(f"_new.{ID}") > F.col(f"_old.{ID}"))
+    # a stored row without a version is always replaced, as in the relational sink
+    take_new = F.col("_new").isNotNull() & (
+        F.col("_old").isNull() | F.col(f"_old.{ID}").isNull()
+        | (F.col(f"_new.{ID}") > F.col(f"_old.{ID}")))
     chosen = F.when(F.coalesce(take_new, F.lit(False)), F.col("_new")).otherwise(F.col("_old"))
     return both.select(*keys, chosen.alias("_v")) \
         .select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in columns])

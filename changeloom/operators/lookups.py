@@ -18,7 +18,7 @@ from ..functions.aggregates import order_struct
 from ..model import BEFORE, DELETE, ID, INSERT, SYSTEM_PREFIX, UPDATE
 from .conditions import lookup_conditions
 
-#: a lookup without keys pairs everything, so its table must be this small
+#: default for the largest table that a lookup without keys takes: it pairs everything
 KEYLESS_ROWS = 10_000
 
 
@@ -31,7 +31,8 @@ def restrict_to_keys(table: DataFrame, df: DataFrame, on: Sequence[tuple[str, st
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner",
            columns: Mapping[str, str] | Sequence[str] | None = None,
-           where: Sequence[tuple] | Column | None = None) -> DataFrame:
+           where: Sequence[tuple] | Column | None = None,
+           keyless_rows: int = KEYLESS_ROWS) -> DataFrame:
     """JON-01..08, JON-12, FLT-11: stream columns first, then the looked-up columns.
 
     ``on`` pairs (frame column, lookup column); any null key part matches nothing:
@@ -41,8 +42,9 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], how:
     restricts the lookup to the frame's keys (JON-03).  The lookup may be any query
     result, aggregated or distinct (JON-07).
 
-    ``on=[]`` pairs every row with every lookup row (JON-06); the lookup's row count
-    is checked and a larger table is refused, never cut.
+    The join is on the plain key; AQE splits the partition where rows without a key
+    gather.  ``on=[]`` pairs every row with every lookup row (JON-06); a lookup of more
+    than ``keyless_rows`` rows is refused, never cut.
     """
     if where is not None:
         table = table.filter(where if isinstance(where, Column) else lookup_conditions(where))
@@ -60,34 +62,15 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], how:
     if not on:
         if how not in ("inner", "left"):
             raise ValueError("a lookup without keys is inner or left")
-        if right.limit(KEYLESS_ROWS + 1).count() > KEYLESS_ROWS:
-            raise ValueError(f"a lookup without keys takes at most {KEYLESS_ROWS} rows; "
-                             "give join keys")
+        if right.limit(keyless_rows + 1).count() > keyless_rows:
+            raise ValueError(f"a lookup without keys takes at most {keyless_rows} rows; "
+                             "give join keys or raise keyless_rows")
         return df.join(F.broadcast(right), F.lit(True), how)
     cond = functools.reduce(operator.and_, [F.col(s) == F.col(f"_l{i}")
                                             for i, (s, _) in enumerate(on)])
-    if how == "left" and not df.isStreaming:
-        # rows without a key match nothing: spread them instead of hashing them together;
-        # the other side's part is always 0, but not a constant that would be folded away
-        right = right.withColumn("_spread_l", F.pmod(F.xxhash64("_l0"), F.lit(1)).cast("int"))
-        cond = cond & (_null_spread(df, [s for s, _ in on]) == F.col("_spread_l"))
     return df.join(right, cond, how).select(*df.columns, *picked.values())
 
 
-def _null_spread(df: DataFrame, keys: Sequence[str], n: int = 1024) -> Column:
-    """0 for a complete key, otherwise 1..n by a hash of a few columns.
-
-    Only the version column, or the first three columns, are hashed, so that the join
-    does not read columns nobody asked for.
-    """
-    whole = functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
-    plain = [f.name for f in df.schema.fields
-             if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    columns = [ID] if ID in plain else plain[:3]
-    return F.when(whole, F.lit(0)).otherwise(
-        (F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(n)) + 1).cast("int"))
-
-
 def kv_lookup(df: DataFrame, kv: DataFrame, key: str | Column, fields: Mapping[str, tuple[str, str]],
               mode: str = "fields", kv_key: str = "key", kv_value: str = "value",
               order_by: Sequence[str] = ()) -> DataFrame:

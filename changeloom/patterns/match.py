@@ -92,8 +92,8 @@ def _window_matches(df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
     hot = hot_keys(df, keys, block_rows)
     if hot.isEmpty():
         return _look_ahead(df.withColumn(OWN, F.lit(True)), df, spec, stages, keys, order_by, plain)
-    cold = df.join(F.broadcast(hot), same_key(keys), "left_anti").withColumn(OWN, F.lit(True))
-    blocks = sequence_blocks(df.join(F.broadcast(hot), same_key(keys), "left_semi"), keys,
+    cold = df.join(hot, same_key(keys), "left_anti").withColumn(OWN, F.lit(True))
+    blocks = sequence_blocks(df.join(hot, same_key(keys), "left_semi"), keys,
                              order_by, block_rows=block_rows)
     return _look_ahead(cold, df, spec, stages, keys, order_by, plain).unionByName(
         _look_ahead(blocks.df, df, spec, stages, keys, order_by,
@@ -121,8 +121,7 @@ class _AheadInBlocks(_Ahead):
     """The same across the blocks of a key.
 
     A row first looks inside its block.  What a block offers to earlier rows is its
-    first qualifying row; from one row per block (at most total / block_rows of them)
-    each block learns what the blocks behind it offer.
+    first qualifying row; from one row per block each block learns what the blocks behind it offer.
     """
 
     def first(self, frame, name, cond, value):
@@ -143,7 +142,7 @@ class _AheadInBlocks(_Ahead):
         local = F.last(F.when(F.col("_hit"), F.col("_val")), ignorenulls=True).over(w)
         match = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_b_{c}"))
                                                  for c in self.by])
-        return frame.withColumn("_local", local).join(F.broadcast(carried), match) \
+        return frame.withColumn("_local", local).join(carried, match) \
             .withColumn(name, F.coalesce("_local", "_carry")["v"]) \
             .drop("_hit", "_val", "_local", "_carry", *[f"_b_{c}" for c in self.by])
 

@@ -75,9 +75,9 @@ def register_udaf(spark: SparkSession, name: str, cls: type[Udaf]):
 
     # a grouped-aggregate UDF has one Series argument per value
     arity = len(inspect.signature(cls.accumulate).parameters) - 2
-    shapes = {1: lambda a: run([a]), 2: lambda a, b: run([a, b]), 3: lambda a, b, c: run([a, b, c])}
-    fn = shapes[arity]
-    fn.__annotations__ = {**{n: pd.Series for n in "abc"[:arity]}, "return": float}
+    names = [f"c{i}" for i in range(arity)]
+    fn = eval(f"lambda {', '.join(names)}: run([{', '.join(names)}])", {"run": run})
+    fn.__annotations__ = {**{n: pd.Series for n in names}, "return": float}
     return spark.udf.register(name, F.pandas_udf(fn, return_type(cls.return_type)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -43,12 +44,14 @@ def to_ums(df: DataFrame, namespace: str, limit: int = MESSAGE_ROWS, protocol: s
     Columns ``key`` and ``value``.  Each tuple becomes JSON text in the JVM; packing
     joins those texts within a partition, so nothing is shuffled and a task holds one
     Arrow batch and one message.  The namespace's version part becomes a hash of
-    the column names.
+    the column names, ``*`` after it becomes 0.  A message's key ends in a hash of its
+    body, so messages spread over a queue's partitions and a repeated task sends the
+    same keys.
     """
     import json
     parts = namespace.split(".")
     parts[4] = str(schema_version([f.name for f in df.schema.fields]))
-    ns = ".".join(parts)
+    ns = ".".join([*parts[:5], *["0" if p == "*" else p for p in parts[5:]]])
     head = json.dumps({"protocol": {"type": protocol}, "schema": {
         "namespace": ns,
         "fields": [{"name": f.name, "type": _wire_type(f.dataType), "nullable": f.nullable}
@@ -69,8 +72,9 @@ def to_ums(df: DataFrame, namespace: str, limit: int = MESSAGE_ROWS, protocol: s
             yield _messages([held])
 
     def _messages(groups: list[list[str]]) -> pd.DataFrame:
-        return pd.DataFrame({"key": message_key,
-                             "value": [head + ",".join(g) + "]}" for g in groups]})
+        values = [head + ",".join(g) + "]}" for g in groups]
+        return pd.DataFrame({"key": [f"{message_key}...{md5(v.encode()).hexdigest()}"
+                                     for v in values], "value": values})
 
     return tuples.mapInPandas(pack, "key string, value string")
 
@@ -198,9 +202,12 @@ def route(df: DataFrame, rules: Sequence[Route], key_col: str = "key", value_col
                 parts.alias("_parts"), old.alias("_old"))
     tail = F.when(F.size("_parts") > 8, F.concat(F.lit("."), F.array_join(
         F.slice("_parts", F.lit(9), F.size("_parts")), "."))).otherwise(F.lit(""))
-    body = F.when(F.col("_old").isNull(), F.col(value_col)).otherwise(F.replace(
-        F.col(value_col), F.concat(F.lit('"namespace":"'), F.col("_old"), F.lit('"')),
-        F.concat(F.lit('"namespace":"'), F.col("_to.ns"), F.lit('"'))))
+    # the first namespace after the schema's brace, blanks or not; nothing else is touched
+    where = F.concat(F.lit(r'(?s)^(.*?"schema"\s*:\s*\{.*?"namespace"\s*:\s*")\Q'), F.col("_old"),
+                     F.lit(r'\E(")'))
+    body = F.when(F.col("_old").isNull(), F.col(value_col)).otherwise(F.regexp_replace(
+        F.col(value_col), where, F.concat(F.lit("$1"), F.replace(
+            F.col("_to.ns"), F.lit("$"), F.lit("\\$")), F.lit("$2"))))
     return hit.select(F.col("_to.topic").alias("topic"),
                       F.concat(F.col("_parts")[0], F.lit("."), F.col("_to.ns"), tail).alias("key"),
                       body.alias("value"))

@@ -85,7 +85,7 @@ def newer_than_stored(df: DataFrame, stored: DataFrame, keys: Sequence[str]) ->
 
 
 def to_shards(df: DataFrame, keys: Sequence[str], n: int, mutation: str = "i",
-              native: bool = False) -> DataFrame:
+              native: bool = True) -> DataFrame:
     """SNK-18: default-filled rows with their ``shard``; insert-only.
 
     Write with ``df.write.partitionBy("shard")`` or one filtered write per shard.

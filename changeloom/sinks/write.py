@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import concurrent.futures
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -78,7 +79,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, keys: Sequence[str], mutatio
         return
     if mutation != "iud":
         raise ValueError(f"unknown mutation {mutation!r}")
-    staging = f"{table}_staging"
+    staging = f"{table}_staging_{uuid.uuid4().hex[:12]}"
     rows.write.jdbc(url, staging, mode="overwrite", properties=options)
     q = '"{}"'.format
     columns = rows.columns
@@ -112,7 +113,7 @@ def write_jdbc_split(df: DataFrame, url: str, master: str, meta: str, keys: Sequ
     plan = plan_split_upsert(df, master_df, meta_df, keys).filter(F.col("action") != SKIP)
     staged = plan.withColumn(ACTIVE, F.when(F.col(OP).isin("i", "u"), 1).otherwise(0)) \
         .drop(OP, UID, "action")
-    staging = f"{master}_staging"
+    staging = f"{master}_staging_{uuid.uuid4().hex[:12]}"
     staged.write.jdbc(url, staging, mode="overwrite",
                       properties={**properties, "batchsize": str(batch_size)})
     q = '"{}"'.format

@@ -13,6 +13,8 @@ from .messages import ENVELOPE, apply_ums_schema, classify_messages, read_ums
 PARTITIONS = ("status", "system", "instance", "db", "tab", "version", "db_partition",
               "table_partition", "protocol")
 RIGHT, WRONG = "right", "wrong"
+#: stands for a cell that is not there; no text of a message holds this control character
+_NO_CELL = "\x00"
 
 
 def write_archive(df: DataFrame, path: str, key_col: str = "key", value_col: str = "value",
@@ -110,7 +112,7 @@ def write_csv_archive(df: DataFrame, path: str, value_col: str = "value",
     """
     decoded = read_ums(df, value_col)
     # a line has as many cells as its table has fields: keep the cells as one CSV text
-    line = F.array_join(F.transform("tuple", lambda c: F.when(c.isNull(), F.lit("")).otherwise(
+    line = F.array_join(F.transform("tuple", lambda c: F.when(c.isNull(), F.lit(_NO_CELL)).otherwise(
         F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))), ",")
     decoded.select("namespace", "protocol", line.alias("line")) \
         .write.mode("append").partitionBy("namespace", "protocol") \
@@ -126,9 +128,10 @@ def read_csv_archive(spark, path: str, namespace: str, fields: Sequence[Field])
     """Rows of one table of a CSV archive, typed."""
     from ..functions.casts import try_cast_ums
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
-    lines = spark.read.schema("value string, namespace string, protocol string") \
-        .text(f"{path}/data").filter(F.col("namespace") == namespace)
-    cells = F.from_csv("value", raw.simpleString()[7:-1].replace(":", " "),
-                       {"escape": '"', "emptyValue": ""})
-    return lines.select(cells.alias("c")).select(
-        *[try_cast_ums(F.col(f"c.`{f.name}`"), f.type).alias(f.name) for f in fields])
+    folders = [T.StructField(c, T.StringType()) for c in ("namespace", "protocol")]
+    # a cell may hold line breaks; an empty one in quotes is a text, without them null
+    cells = spark.read.schema(T.StructType([*raw.fields, *folders])).csv(
+        f"{path}/data", multiLine=True, escape='"', nullValue=_NO_CELL, emptyValue="") \
+        .filter(F.col("namespace") == namespace)
+    return cells.select(
+        *[try_cast_ums(F.col(f"`{f.name}`"), f.type).alias(f.name) for f in fields])

@@ -50,7 +50,7 @@ def flows_writer(flows: Sequence[FlowSpec], on_error: str = UNHANDLE,
                     if failed is not None:
                         failed(flow.label, batch_id, e)
                     if on_error == FEEDBACK and feedback is not None:
-                        feedback(error_records(batch, f"{type(e).__name__}: {e}"[:500],
+                        feedback(error_records(batch, f"{type(e).__name__}: {e}",
                                                flow.source, flow.label, batch_id,
                                                batch.columns), batch_id)
         finally:
@@ -76,4 +76,4 @@ def bad_rows(batch: DataFrame, flow: FlowSpec, batch_id: int | str) -> DataFrame
 def _refuse_bad_rows(batch: DataFrame, flow: FlowSpec) -> None:
     first = bad_rows(batch, flow, "").limit(1).collect()
     if first:
-        raise FlowFailure(f"{first[0]['reason']}: {first[0]['row'][:200]}")
+        raise FlowFailure(f"{first[0]['reason']}: {first[0]['row']}")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.casts import default_for
-from ..functions.times import format_ts, ts_not_before
 from ..model import TS, UID, Validity
 from ..session import shared_dir
 
@@ -38,7 +37,7 @@ def validity(df: DataFrame, columns: Sequence[str], rule: str = "and", timeout_s
     if min_ts is None:
         min_ts = df.agg(F.min(ts_col).alias("t")).scalar()
     limit = min_ts - F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
-    late = ts_not_before(format_ts(limit, "ts_nod_sec"), format_ts(ts_col, "ts_nod_sec"))
+    late = F.date_trunc("second", F.col(ts_col)) <= F.date_trunc("second", limit)
     return df.withColumn(FATE, F.when(is_valid(columns, rule), F.lit(SEND))
                          .when(late, F.lit(action)).otherwise(F.lit(HOLD)))
 
@@ -56,7 +55,12 @@ def settle(new: DataFrame, buffer: DataFrame | None, dedup_cols: Sequence[str],
         rows = new.unionByName(buffer.select(*[
             F.col(f.name) if f.name in have else default_for(f.dataType).alias(f.name)
             for f in new.schema.fields]))
-    rows = rows.dropDuplicates(list(dedup_cols))
+    # of equal rows the earliest stays, then the least in every column: no chance decides
+    order = [F.col(c).asc_nulls_last() for c in (ts_col, *[
+        f.name for f in rows.schema.fields if f.name != ts_col
+        and not isinstance(f.dataType, (T.MapType, T.VariantType))])]
+    first = F.row_number().over(Window.partitionBy(*dedup_cols).orderBy(*order))
+    rows = rows.withColumn("_first", first).filter("_first = 1").drop("_first")
     if duration_seconds <= 0:
         return rows.withColumn("_released", F.lit(True))
     top = new.agg(F.max(ts_col).alias("t"))

@@ -8,20 +8,21 @@ from changeloom.sources.messages import (apply_ums_schema, classify_messages, ma
                                          rename_keys)
 from changeloom.sources.tables import (parquet_table, read_source, register_source)
 
-FIELDS = [("ums_id_", "long"), ("ums_ts_", "datetime"), ("ums_op_", "string"), ("Key", "int"),
-          ("value1", "string"), ("value2", "long")]
+FIELDS = [("ums_id_", "long"), ("ums_ts_", "datetime"), ("ums_op_", "string"),
+          ("Shelf", "int"), ("colour", "string"), ("grams", "long")]
+NAME = "Postgres.north.garden.Seeds.7.p1.t3"
 
 
-def message(rows, namespace="Oracle.oracle01.db.table.v2.dbpar01.tablepar01"):
+def message(rows, namespace=NAME):
     return json.dumps({"protocol": {"type": "data_increment_data"}, "schema": {
         "namespace": namespace,
         "fields": [{"name": n, "type": t} for n, t in FIELDS]},
         "payload": [{"tuple": r} for r in rows]})
 
 
-ROWS = [["1", "2016-04-11 12:23:34.345123", "i", "23", "aa", "45888"],
-        ["2", "2016-04-11 15:23:34.345123", "u", "33", None, "43222"],
-        ["3", "2016-04-11 16:23:34.345123", "d", "53", "cc", "666"]]
+ROWS = [["501", "2023-02-03 04:05:06.789012", "i", "8", "red", "1200"],
+        ["502", "2023-02-03 04:06:00.250000", "u", "9", None, "70"],
+        ["503", "2023-02-04 00:00:00.000001", "d", "10", "dark blue", "3"]]
 
 
 def frame(spark, *values):
@@ -32,21 +33,21 @@ def test_envelope(spark):
     out = read_ums(frame(spark, message(ROWS), message([]), "not json", '{"payload": null}'))
     rows = out.collect()
     assert len(rows) == 3
-    assert rows[0]["namespace"] == "oracle.oracle01.db.table.v2.dbpar01.tablepar01"
-    assert [f["name"] for f in rows[0]["fields"]][3] == "key"
+    assert rows[0]["namespace"] == NAME.lower()
+    assert [f["name"] for f in rows[0]["fields"]][3] == "shelf"
     assert rows[0]["fields"][0]["nullable"] is False
     assert rows[1]["tuple"][4] is None
 
 
 def test_typed_rows_and_bad_rows(spark):
-    fields = [Field("ums_id_", "long"), Field("ums_ts_", "datetime"), Field("key", "int"),
-              Field("value1"), Field("value2", "long"), Field("absent", "int")]
+    fields = [Field("ums_id_", "long"), Field("ums_ts_", "datetime"), Field("shelf", "int"),
+              Field("colour"), Field("grams", "long"), Field("absent", "int")]
     bad = ["x", *ROWS[0][1:]]
     df = read_ums(frame(spark, message([*ROWS, bad])))
     good = apply_ums_schema(df, fields).collect()
-    assert [r["ums_id_"] for r in good] == [1, 2, 3]
-    assert good[0]["ums_ts_"].microsecond == 345000
-    assert good[0]["absent"] is None and good[1]["value1"] is None
+    assert [r["ums_id_"] for r in good] == [501, 502, 503]
+    assert good[0]["ums_ts_"].microsecond == 789000
+    assert good[0]["absent"] is None and good[1]["colour"] is None
     only = apply_ums_schema(df, fields, bad="only").collect()
     assert len(only) == 1 and only[0]["tuple"][0] == "x"
     assert apply_ums_schema(df, fields, bad="flag").filter("_bad").count() == 1
@@ -64,7 +65,7 @@ def test_key_classes(spark):
            .select("protocol", "namespace").collect()]
     assert out == [("data_increment_data", "a.b.c.d.1.0.0"), ("data_initial_data", ""),
                    ("data_increment_heartbeat", ""),
-                   ("data_increment_data", "oracle.oracle01.db.table.v2.dbpar01.tablepar01"),
+                   ("data_increment_data", NAME.lower()),
                    ("data_increment_heartbeat", ""), ("data_increment_data", None)]
 
 
@@ -77,21 +78,22 @@ def test_rename_precedence(spark):
 
 
 def test_extended_json_with_renames(spark):
-    fields = [JsonField("time", "datetime"), JsonField("time", "datetime", rename="ums_ts_"),
-              JsonField("id", "long"), JsonField("id", "long", rename="ums_id_"),
-              JsonField("op", codes=parse_codes("i:ins,u:upd,d:del"), rename="ums_op_"),
-              JsonField("name"),
-              JsonField("after", "jsonobject", (JsonField("manager", rename="after_manager"),))]
-    good = {"time": "2017-12-2210:00:00", "id": 7, "op": "upd", "name": "n",
-            "after": {"manager": "m"}}
-    no_after = {k: v for k, v in good.items() if k != "after"}
-    odd = {**good, "op": "what"}
-    df = frame(spark, *[json.dumps(m) for m in (good, no_after, odd)], "{broken")
+    fields = [JsonField("seen", "datetime"), JsonField("seen", "datetime", rename="ums_ts_"),
+              JsonField("serial", "long"), JsonField("serial", "long", rename="ums_id_"),
+              JsonField("kind", codes=parse_codes("i:new,u:moved,d:gone"), rename="ums_op_"),
+              JsonField("shelf"),
+              JsonField("spot", "jsonobject", (JsonField("row", rename="spot_row"),))]
+    # fixed value: the layout of a day and a time without a blank between them
+    good = {"seen": "2021-07-0908:07:06", "serial": 41, "kind": "moved", "shelf": "s",
+            "spot": {"row": "r2"}}
+    bare = {k: v for k, v in good.items() if k != "spot"}
+    odd = {**good, "kind": "unheard of"}
+    df = frame(spark, *[json.dumps(m) for m in (good, bare, odd)], "{broken")
     rows = read_ext_json(df, "value", fields).collect()
     assert len(rows) == 2
-    assert rows[0]["ums_op_"] == "u" and rows[0]["ums_id_"] == 7 and rows[0]["id"] == 7
-    assert str(rows[0]["ums_ts_"]) == "2017-12-22 10:00:00"
-    assert [r["after_manager"] for r in rows] == ["m", None]
+    assert rows[0]["ums_op_"] == "u" and rows[0]["ums_id_"] == 41 and rows[0]["serial"] == 41
+    assert str(rows[0]["ums_ts_"]) == "2021-07-09 08:07:06"
+    assert [r["spot_row"] for r in rows] == ["r2", None]
     assert read_ext_json(df, "value", fields, bad="only").count() == 2
 
 

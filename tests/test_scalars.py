@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeloom.functions.casts import convert_property, decimal_text, scale_number
-from changeloom.functions.hashes import murmur3_utf16, shard_of
+from changeloom.functions.hashes import murmur3_utf16, scala_string_hash, shard_of
 from changeloom.functions.text import build_key, decrypt_col, padded_hash_mod, sub
 from changeloom.functions.times import (dated_name, day_id, month_id, normalize_ts, parse_ts,
                                         ts_not_before, week_id)
@@ -17,12 +17,13 @@ def one(spark, col, **values):
 def test_string_hash_equals_the_jvm(spark, text):
     jvm = getattr(getattr(spark._jvm.scala.util.hashing, "MurmurHash3$"), "MODULE$")
     assert murmur3_utf16(text) == jvm.stringHash(text)
+    assert one(spark, scala_string_hash(F.col("s")), s=text) == murmur3_utf16(text)
 
 
 def test_shard(spark):
     df = spark.createDataFrame([("",), ("a",)], "k string")
     # published vector: xxh64 of the empty text with seed 0
-    assert df.select(shard_of(["k"], 1000)).first()[0] == 0xEF46DB3751D8E999 % 1000
+    assert df.select(shard_of(["k"], 1000, native=False)).first()[0] == 0xEF46DB3751D8E999 % 1000
 
 
 def test_padded_hash_mod(spark):

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,30 @@ def test_user_aggregate_of_one_hot_key(spark):
     assert len(aggregate_udaf(df, ["k"], Longest, ["s"], "top").first()["top"]) == 96
     with pytest.raises(ValueError):
         aggregate_udaf(df, ["k"], Udaf, ["s"], "top")
+
+
+def test_route_with_blanks_and_tricky_payload(spark):
+    body = ('{"protocol": {"type": "data_increment_data"}, "schema" : { "namespace" : '
+            '"s.i.d.t.1.0.0", "fields": []}, "payload": [{"tuple": '
+            '["\\"namespace\\":\\"s.i.d.t.1.0.0\\"", "$1"]}]}')
+    df = spark.createDataFrame([("data_increment_data.s.i.d.t.1.0.0", body)],
+                               "key string, value string")
+    out = route(df, [Route("s.i.d.t.*.*.*", "q.i.d.u", "out")]).collect()
+    assert [r["key"] for r in out] == ["data_increment_data.q.i.d.u.1.0.0"]
+    assert out[0]["value"] == body.replace('"s.i.d.t.1.0.0",', '"q.i.d.u.1.0.0",', 1)
+
+
+def test_csv_archive_of_any_text(spark, tmp_path):
+    from changeloom.model import Field
+    from changeloom.sources.archive import read_csv_archive, write_csv_archive
+    fields = [Field("ums_id_", "long"), Field("ums_ts_", "datetime"), Field("ums_op_"),
+              Field("note")]
+    texts = ["x\ny", "", None, 'say "hi", twice', "\\", " edge "]
+    rows = [[str(n), "2024-01-01 00:00:00.000", "i", t] for n, t in enumerate(texts)]
+    message = json.dumps({"protocol": {"type": "data_increment_data"}, "schema": {
+        "namespace": "a.b.c.d.1.0.0", "fields": [{"name": f.name, "type": f.type or "string"}
+                                                 for f in fields]},
+        "payload": [{"tuple": r} for r in rows]})
+    write_csv_archive(spark.createDataFrame([(message,)], "value string"), str(tmp_path))
+    got = read_csv_archive(spark, str(tmp_path), "a.b.c.d.1.0.0", fields).collect()
+    assert [r["note"] for r in sorted(got, key=lambda r: r["ums_id_"])] == texts

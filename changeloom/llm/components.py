@@ -23,8 +23,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
                 side, F.coalesce("label", side)).drop("label")
     links = cut_lineage(links.where("a <> b").select(
         F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).distinct())
-    seen = None
-    while True:
+    seen = _summary(links)
+    while seen[0]:
         both = links.union(links.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("least"))
         large = both.where("to > node").join(least, "node").select(
@@ -35,7 +35,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             small.select("node", F.col("least").alias("to"))
             .union(small.select(F.col("to").alias("node"), F.col("least").alias("to")))
             .where("node <> to").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first()
+        now = _summary(links)
         if now == seen:
             break
         seen = now
@@ -46,3 +46,9 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("new")),
                         "label", "left").select("node", F.coalesce("new", "label").alias("label"))
     return cut_lineage(moved.union(found.join(labels, "node", "left_anti")).distinct())
+
+
+def _summary(links: DataFrame) -> tuple:
+    """Number and sum of hashes: equal for equal sets of links."""
+    return tuple(links.agg(
+        F.count("*"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first())

@@ -7,10 +7,13 @@ are full: so every coordinate fills, and large sets need one round or two.
 
 Two sets that agree on ``ROWS`` coordinates of a band share a bucket; at a similarity of
 0.75 or more, one of the 32 bands agrees but for five pairs in a million.  Buckets are never
-expanded into pairs.  Members are compared with one member of the bucket, then, round after
-round, only buckets whose members still lie in different components go on, with another
-centre; what is left after ``ROUNDS`` is compared pair by pair across components.  Links
-inside a component change nothing, so they need no check.
+expanded into pairs: members are first checked against one member of the bucket, the set
+with the most copies, and links inside a component change nothing.  Buckets whose members
+still lie in different components then go on with the low bytes of longer sketches, which a
+task compares across components; pairs that agree on enough coordinates (``AGREE``, 4.4
+standard deviations below 0.75) and may fit by size leave the first bucket that they share
+to be checked on their full sets.  A bucket of more than ``BLOCK`` members
+is compared block by block.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm.arrays import (binaries, chunks, inside_texts, mix, table, utf8,
@@ -27,7 +30,10 @@ from changeloom.llm.arrays import (binaries, chunks, inside_texts, mix, table, u
 from changeloom.llm.components import components
 from changeloom.session import cut_lineage
 
-COORDS, ROWS, WORDS, PERCENT, ROUNDS = 128, 4, 5, 75, 3
+COORDS, ROWS, WORDS, PERCENT = 128, 4, 5, 75
+LONG, BLOCK = 512, 4096
+#: coordinates of the longer sketch to agree on, of its first 128 and of all
+AGREE = (74, 341)
 BANDS = COORDS // ROWS
 _BITS = np.uint64(48)
 
@@ -72,17 +78,19 @@ def sketch(values: np.ndarray, coords: int = COORDS) -> np.ndarray:
 
 _BAND_SEED = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 _SKETCHES = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()),
-                       ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+                       ("digest", pa.binary()), ("bands", pa.list_(pa.int64())),
+                       ("low", pa.binary())])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, bands = [], [], []
+        sizes, digests, bands, low = [], [], [], []
         for values in shingle_sets(batch.column("text")):
             sizes.append(len(values))
             if not len(values):
                 digests.append(None)
                 bands.append(None)
+                low.append(None)
                 continue
             # two independent sums over the set: equal sets, equal 128 bits
             digests.append(np.array([mix(values).sum(), mix(values ^ _BAND_SEED[0]).sum()],
@@ -92,10 +100,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in range(ROWS):
                 key = mix(key ^ rows[:, c])
             bands.append(key.view(np.int64))
-        yield table(_SKETCHES, batch.column("id"), sizes, digests, bands)
+            low.append(key.astype(np.uint32).tobytes())
+        yield table(_SKETCHES, batch.column("id"), sizes, digests, bands, low)
 
 
-_SETS = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("elements", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("elements", pa.binary()),
+                   ("long", pa.binary())])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +115,8 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             dtype=np.uint64).tobytes() for v in sets]
         begin = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        yield table(_SETS, batch.column("id"), digests, binaries(flat, begin))
+        long = [sketch(v, LONG).astype(np.uint8).tobytes() if len(v) else b"" for v in sets]
+        yield table(_SETS, batch.column("id"), digests, binaries(flat, begin), long)
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -133,73 +144,153 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_linked(percent), "a long, b long")
 
 
+def _across(group: pa.Table, percent: int, agree: tuple[int, int]
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group that lie in different components and may be similar enough.
+
+    Rows are ordered by size, so each is compared with a run of rows behind it.  A pair is
+    given out only in the first band that it agrees on.
+    """
+    group = group.sort_by("n_shingles")
+    node, label, size, block = (group[c].to_numpy() for c in
+                                ("node", "label", "n_shingles", "block"))
+    band = group["band"][0].as_py()
+    ends = np.searchsorted(size * percent, size * 100, "right")
+    bands, long = (np.frombuffer(b"".join(group[c].to_pylist()), t).reshape(len(node), -1)
+                   for c, t in (("low", np.uint32), ("long", np.uint8)))
+    start = np.ascontiguousarray(long[:, :COORDS])
+    mixed = group["low_block"][0].as_py() != group["high_block"][0].as_py()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(len(node) - 1):
+        run = slice(i + 1, ends[i])
+        other = label[run] != label[i]
+        if mixed:
+            other &= block[run] != block[i]
+        at = np.flatnonzero(other) + i + 1
+        if len(at):
+            at = at[(start[at] == start[i]).sum(axis=1) >= agree[0]]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
+            at = at[(long[at] == long[i]).sum(axis=1) >= agree[1]]
+            found.append((np.full(len(at), i), at))
+    if not found:
+        return node[:0], node[:0]
+    a, b = (node[np.concatenate(x)] for x in zip(*found))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _candidates(percent: int, agree: tuple[int, int]):
+    keys = ["bucket", "low_block", "high_block"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids = [rows[k].to_numpy() for k in keys]
+            change = np.flatnonzero(np.any([np.diff(x) != 0 for x in ids], axis=0)) + 1
+            cuts = [0, *change.tolist(), len(rows)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield table(_LINKS, *_across(rows.slice(a, b - a), percent, agree))
+        for batch in batches:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            ids = [rows[k].to_numpy() for k in keys]
+            change = np.flatnonzero(np.any([np.diff(x) != 0 for x in ids], axis=0))
+            done = int(change[-1]) + 1 if len(change) else 0
+            if done:
+                yield from compare(rows.slice(0, done))
+            held = rows.slice(done).to_batches()
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+    return of
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                    percent: int = PERCENT) -> DataFrame:
+                    percent: int = PERCENT, agree: tuple[int, int] = AGREE,
+                    block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
 
     ``component_id``: the least id that links lead to, a row's own for lone and empty texts.
     ``kept``: whether the row is that one.  Repeated rows (same id) get the same answer.
     A null id never is a component's name while another id is there; null stays where it is
-    alone.  The key must be a long.
+    alone.  The key must be a long below 2 ** 62.
     """
     texts = docs.select(docs[f"`{key}`"].cast("long").alias("id"),
                         docs[f"`{text}`"].alias("text"))
     sketches = cut_lineage(texts.mapInArrow(
-        _sketched, "id long, n_shingles long, digest binary, bands array<long>"))
+        _sketched, "id long, n_shingles long, digest binary, bands array<long>, low binary"))
     # one node per distinct set, named by its least id; sets without an id get a name above all
     made = F.lit(1 << 62) + F.expr("shiftrightunsigned(xxhash64(digest), 3)")
     nodes = sketches.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    nodes = nodes.withColumn("node", F.coalesce("id", made))
-    placed = nodes.select("node", "id", "digest", "copies", F.explode("bands").alias("bucket"))
-    # the first centre is the set with the most copies: a base text, if there is one
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
+        F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"))
+    nodes = cut_lineage(nodes.withColumn("node", F.coalesce("id", made)))
+    placed = nodes.select("node", "copies", F.posexplode("bands").alias("band", "bucket"))
+    # the centre is the set with the most copies: a base text, if there is one
     first = F.max(F.struct("copies", (-F.col("node")).alias("minus")))
     shared = placed.groupBy("bucket").agg(
         first.alias("first"), F.min("node").alias("least"), F.max("node").alias("most"))
     shared = shared.where("least < most").select("bucket", (-F.col("first.minus")).alias("center"))
-    members = cut_lineage(placed.join(shared, "bucket").select(
-        "bucket", "node", "id", "digest", "center"))
-    wanted = members.select("node", "id", "digest").distinct()
+    members = cut_lineage(placed.select("bucket", "band", "node").join(shared, "bucket"))
+    wanted = members.select("node").distinct().join(
+        nodes.select("node", "id", "digest", "n_shingles", "low"), "node")
     known = texts.where("id IS NOT NULL").join(
         wanted.where("id IS NOT NULL").select("id").distinct(), "id", "left_semi")
     unnamed = texts.where("id IS NULL")
     found = known.unionByName(unnamed).mapInArrow(
-        _elements, "id long, digest binary, elements binary")
+        _elements, "id long, digest binary, elements binary, long binary")
     sets = cut_lineage(
         found.withColumn("node", F.coalesce("id", made))
         .join(wanted.select("node", "digest"), ["node", "digest"], "left_semi")
-        .groupBy("node", "digest").agg(F.first("elements").alias("elements"))
-        .select("node", "elements"))
+        .groupBy("node", "digest").agg(F.first("elements").alias("elements"),
+                                        F.first("long").alias("long"))
+        .join(wanted.select("node", "digest", "n_shingles", "low"), ["node", "digest"])
+        .select("node", "elements", "long", "n_shingles", "low"))
 
     pairs = members.where("node <> center").select(
         F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(verified(pairs, sets, percent))
-    for number in range(ROUNDS + 1):
-        label = F.coalesce("label", "node")
-        open_members = members.select("bucket", "node").join(labels, "node", "left").select(
-            "bucket", "node", label.alias("label"))
-        split = open_members.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(number))).alias("center"))
-        members = cut_lineage(open_members.join(
-            split.where("low < high").select("bucket", "center"), "bucket"))
-        if members.isEmpty():
-            break
-        if number < ROUNDS:
-            pairs = members.where("label <> center.label").select(
-                F.col("center.node").alias("a"), F.col("node").alias("b"))
-        else:
-            other = members.select("bucket", F.col("node").alias("a"), F.col("label").alias("of"))
-            pairs = members.select("bucket", F.col("node").alias("b"), "label").join(
-                other, "bucket").where("of < label").select("a", "b")
-        links = verified(pairs.distinct(), sets, percent)
-        labels = components(links, labels)
-        members = members.select("bucket", "node")
-    named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node")
-                                                      .alias("component_id"))
+    members = members.select("bucket", "band", "node").join(labels, "node", "left").select(
+        "bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+    split = members.groupBy("bucket").agg(F.min("label").alias("least"),
+                                          F.max("label").alias("most"), F.count("*").alias("n"))
+    split = split.where("least < most").select(
+        "bucket", (F.floor(F.col("n") / block) + 1).alias("blocks"))
+    # a bucket of one block is one group; of more, each two blocks are one
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = members.join(split, "bucket").select(
+        "bucket", "band", "node", "label", mine.alias("block"),
+        F.explode(every).alias("with")).select(
+        "bucket", "band", "node", "label", "block", F.least("block", "with").alias("low_block"),
+        F.greatest("block", "with").alias("high_block"))
+    dealt = dealt.join(sets.select("node", "n_shingles", "low", "long"), "node")
+    keys = ["bucket", "low_block", "high_block"]
+    plausible = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _candidates(percent, agree), "a long, b long")
+    labels = components(verified(plausible, sets, percent), labels)
+    named = nodes.select("node", "digest").join(labels, "node", "left").select(
+        "digest", F.coalesce("label", "node").alias("component_id"))
     least = F.least("component_id", F.coalesce("id", "component_id"))
     out = sketches.join(named, "digest", "left").select(
         F.col("id").alias("doc_id"), "n_shingles",
         F.when(F.col("component_id").isNull(), F.col("id"))
         .when(least < (1 << 62), least).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
+             percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of the least id.
+
+    Of repeated rows (same id, same text) one stays.  Rows without an id cannot be named as
+    a group's row, so they all stay.
+    """
+    kept = near_duplicates(docs, key, text, percent).where("kept AND doc_id IS NOT NULL")
+    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where(docs[f"`{key}`"].isNotNull()).join(
+        kept, docs[f"`{key}`"].cast("long") == kept["__kept"], "left_semi")
+    once = Window.partitionBy(f"`{key}`", "__digest").orderBy(f"`{key}`")
+    named = (named.withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+             .withColumn("__number", F.row_number().over(once))
+             .where("__number = 1").drop("__digest", "__number"))
+    return named.unionByName(docs.where(docs[f"`{key}`"].isNull()))

@@ -3,7 +3,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from changeloom.llm import near_dups
 from changeloom.llm.near_dups import near_duplicates, sketch
 
 
@@ -81,15 +80,15 @@ def test_empty_table(spark):
     assert frame.collect() == []
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_buckets_left_after_the_rounds_are_compared_pair_by_pair(spark, monkeypatch, rounds):
-    monkeypatch.setattr(near_dups, "ROUNDS", rounds)
+@pytest.mark.parametrize("block", [5, 4096])
+def test_buckets_in_many_components_are_compared_across(spark, block):
     rng = np.random.default_rng(5)
     core = [f"c{i}" for i in range(70)]
     rows = [(i, " ".join(core + [f"x{i // 2}y{k}" for k in range(20)]
                          + [f"z{i}"])) for i in range(24)]
     rows = [rows[i] for i in rng.permutation(24)]
-    got = answer(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = answer(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"),
+                                 block=block))
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows).items()}
 
 

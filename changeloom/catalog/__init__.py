@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (aggregates, changes, joins, messages, patterns, projections, scalars,  # noqa: F401
-               sinks, streams)
+from . import (aggregates, changes, flows, joins, messages, patterns, projections,  # noqa: F401
+               scalars, sinks, streams)
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

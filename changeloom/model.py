@@ -121,7 +121,11 @@ class Sink:
 
 @dataclass
 class FlowSpec:
-    """One flow: source table, steps, validity and sink."""
+    """One flow: source table, steps, validity and sink.
+
+    Rows pass the validity gate after the steps; a sink with keys that does more than
+    insert gets the newest row per key.
+    """
 
     source: str
     steps: Sequence[Any] = ()

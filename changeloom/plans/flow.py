@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model import FlowSpec, Namespace, Sink
+from ..model import ID, FlowSpec, Namespace, Sink
+from ..operators.changes import merge_latest
 from ..operators.projections import project_job, project_output
 from ..sources.messages import (apply_ums_schema, classify_messages, match_namespace,
                                 read_ums)
@@ -26,14 +27,34 @@ def decode(messages: DataFrame, spec: FlowSpec, bad: str = "drop") -> DataFrame:
                             bad=bad)
 
 
-def run_flow(spec: FlowSpec, source: DataFrame) -> DataFrame:
-    """Decode (when the frame carries messages), run the steps, project the output."""
+def flow_rows(spec: FlowSpec, source: DataFrame) -> DataFrame:
+    """Decode (when the frame carries messages) and run the steps."""
     df = decode(source, spec) if spec.fields and "value" in source.columns \
         and "ums_id_" not in source.columns else source
-    table = Namespace.parse(spec.source).table
-    out = run_steps(df, spec.steps, table, spec)
-    return project_output(out, spec.sink.output, spec.sink.sink_uid, system=True) \
-        if spec.sink else out
+    return run_steps(df, spec.steps, Namespace.parse(spec.source).table, spec)
+
+
+def sink_rows(spec: FlowSpec, rows: DataFrame) -> DataFrame:
+    """The rows as the sink takes them: newest per sink key unless it only inserts, projected."""
+    if spec.sink is None:
+        return rows
+    if spec.sink.mutation != "i" and spec.sink.keys and ID in rows.columns:
+        rows = merge_latest(rows, list(spec.sink.keys))
+    return project_output(rows, spec.sink.output, spec.sink.sink_uid, system=True)
+
+
+def run_flow(spec: FlowSpec, source: DataFrame) -> DataFrame:
+    """Decode, run the steps, keep the valid rows, merge by the sink's keys, project.
+
+    Without a store for held rows (see ``flows_writer``) an invalid row is left out.
+    """
+    rows = flow_rows(spec, source)
+    if spec.validity is not None:
+        from ..streaming.hold import FATE, SEND, validity
+        gate = spec.validity
+        rows = validity(rows, gate.columns, gate.rule, gate.timeout_seconds, gate.action) \
+            .filter(F.col(FATE) == SEND).drop(FATE)
+    return sink_rows(spec, rows)
 
 
 @dataclass

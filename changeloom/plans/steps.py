@@ -81,6 +81,9 @@ def run_step(df: DataFrame, step: Any, table_name: str, spec: Any = None) -> Dat
     if isinstance(step, SqlStep):
         return sql_step(df, step.sql, table_name, step.tables)
     if isinstance(step, PatternStep):
+        if df.isStreaming:
+            from ..streaming.state import match_pattern_stream
+            return match_pattern_stream(df, step.spec, step.order_by)
         return match_pattern(df, step.spec, step.order_by)
     if isinstance(step, CustomStep):
         return apply_transform(df, step.transform, spec, step.param) \

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..model import FlowSpec
+from ..model import ID, FlowSpec
 from ..operators.metrics import error_records
-from ..plans.flow import decode, run_flow
+from ..plans.flow import decode, flow_rows, run_flow, sink_rows
+from .hold import gated_writer, held_store
 
 UNHANDLE, INTERRUPT, FEEDBACK = "unhandle", "interrupt", "feedback"
 
@@ -20,7 +21,9 @@ class FlowFailure(RuntimeError):
 
 def flows_writer(flows: Sequence[FlowSpec], on_error: str = UNHANDLE,
                  feedback: Callable[[DataFrame, int], Any] | None = None,
-                 failed: Callable[[str, int, Exception], Any] | None = None
+                 failed: Callable[[str, int, Exception], Any] | None = None,
+                 held: Mapping[str, str] | None = None,
+                 alert: Callable[[DataFrame, int], Any] | None = None
                  ) -> Callable[[DataFrame, int], None]:
     """STM-15: a ``foreachBatch`` writer that gives one batch to every flow.
 
@@ -28,6 +31,10 @@ def flows_writer(flows: Sequence[FlowSpec], on_error: str = UNHANDLE,
     the others.  STM-16 - ``unhandle``: ``failed`` is told and work goes on;
     ``interrupt``: the batch fails after every flow had its turn, so it is given
     again; ``feedback``: records of undecodable or failed rows go to ``feedback``.
+
+    STM-11, STM-12: a flow with a validity gate keeps its held rows under the folder
+    that ``held`` names for its label and sees them again in the next batch; ``alert``
+    gets the rows that timed out.  Rows are merged by the sink's keys after the gate.
     """
     if on_error not in (UNHANDLE, INTERRUPT, FEEDBACK):
         raise ValueError(f"unknown error policy {on_error!r}")
@@ -42,6 +49,9 @@ def flows_writer(flows: Sequence[FlowSpec], on_error: str = UNHANDLE,
                         _refuse_bad_rows(batch, flow)
                     if on_error == FEEDBACK and feedback is not None and flow.fields:
                         feedback(bad_rows(batch, flow, batch_id), batch_id)
+                    if flow.validity is not None and flow.label in (held or {}):
+                        _gated(flow, batch, batch_id, held[flow.label], alert)
+                        continue
                     out = run_flow(flow, batch)
                     if flow.sink is not None:
                         flow.sink.writer(out, flow.sink, batch_id)
@@ -61,6 +71,17 @@ def flows_writer(flows: Sequence[FlowSpec], on_error: str = UNHANDLE,
     return run
 
 
+def _gated(flow: FlowSpec, batch: DataFrame, batch_id: int, path: str,
+           alert: Callable[[DataFrame, int], Any] | None) -> None:
+    rows = decode(batch, flow) if flow.fields and ID not in batch.columns else batch
+
+    def write(out: DataFrame, n: int) -> None:
+        if flow.sink is not None:
+            flow.sink.writer(sink_rows(flow, out), flow.sink, n)
+    gated_writer(flow.validity, lambda df: flow_rows(flow, df), write, held_store(rows, path),
+                 alert)(rows, batch_id)
+
+
 def bad_rows(batch: DataFrame, flow: FlowSpec, batch_id: int | str) -> DataFrame:
     """Error records of the flow's rows whose cells do not convert, and of broken messages."""
     from ..sources.messages import classify_messages, malformed, match_namespace

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import ID, TS
@@ -37,6 +37,24 @@ _FOLDS = {
 }
 
 
+def _exact(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """Whole numbers as text, and where they are: pandas would make doubles of them
+    as soon as one null stands beside them."""
+    whole = [i for i, f in enumerate(df.schema.fields)
+             if isinstance(f.dataType, T.IntegralType) and f.name not in keys]
+    names = {df.columns[i] for i in whole}
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in names else F.col(f"`{c}`")
+                       for c in df.columns]), whole
+
+
+def _numbers(row: tuple, whole: Sequence[int]) -> tuple:
+    """The row with its whole numbers back."""
+    out = list(row)
+    for i in whole:
+        out[i] = None if _clean(out[i]) is None else int(out[i])
+    return tuple(out)
+
+
 def _clean(v: Any) -> Any:
     return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
 
@@ -57,8 +75,9 @@ def _agg_fields(df: DataFrame, aggs: Mapping[str, tuple[str, str]]) -> list[T.St
 
 
 class _RunningAgg(StatefulProcessor):
-    def __init__(self, keys, aggs, flag, idle_ms):
+    def __init__(self, keys, aggs, flag, idle_ms, whole):
         self.keys, self.aggs, self.flag, self.idle_ms = keys, aggs, flag, idle_ms
+        self.whole = whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("acc", "blob binary", self.idle_ms)
@@ -69,8 +88,9 @@ class _RunningAgg(StatefulProcessor):
         acc = pickle.loads(stored[0]) if stored else None
         out = []
         for pdf in rows:
-            columns = [pdf[c].tolist() if f != "count" else [None] * len(pdf)
-                       for f, c in self.aggs]
+            columns = [[None] * len(pdf) if f == "count" else
+                       [None if _clean(v) is None else int(v) for v in pdf[c].tolist()]
+                       if c in self.whole else pdf[c].tolist() for f, c in self.aggs]
             for values in zip(*columns):
                 if acc is not None and self.flag:
                     out.append((*key, *self._result(acc), False))
@@ -82,7 +102,7 @@ class _RunningAgg(StatefulProcessor):
         self.state.update((pickle.dumps(acc),))
         if not self.flag:
             out = [(*key, *self._result(acc), True)]
-        yield pd.DataFrame(out, columns=self.names)
+        yield pd.DataFrame(out, columns=self.names, dtype=object)
 
     def _result(self, acc):
         return [_FOLDS[f][2](a) for (f, _), a in zip(self.aggs, acc)]
@@ -97,32 +117,48 @@ def running_agg(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str
 
     ``aggs`` maps names to (count/sum/min/max/avg, column).  With ``message_flag`` each
     input row gives the retracted old row (``message_flag`` false) and the new one
-    (true); without it each batch gives one new row per changed key.
+    (true); without it each batch gives one new row per changed key, by Spark's own
+    aggregate in update mode unless idle keys are to be forgotten.
 
     With ``idle_hours`` (``MAX_IDLE_HOURS`` is the usual value) a key idle that long by
     the clock is forgotten.  Such a stream needs a processing-time trigger: clock
     timers keep an ``availableNow`` run from ending.
     """
+    if not message_flag and idle_hours is None:
+        return df.groupBy(*keys).agg(*[_spark_agg(df, f, c).alias(a)
+                                       for a, (f, c) in aggs.items()])
+    frame, whole = _exact(df, keys)
     processor = _RunningAgg(list(keys), list(aggs.values()), message_flag,
-                            None if idle_hours is None else int(idle_hours * 3_600_000))
+                            None if idle_hours is None else int(idle_hours * 3_600_000),
+                            {df.columns[i] for i in whole})
     schema = T.StructType([df.schema[k] for k in keys] + _agg_fields(df, aggs)
                           + [T.StructField("message_flag", T.BooleanType())])
     processor.names = schema.names
     need_state_store(df.sparkSession)
-    out = df.groupBy(*keys).transformWithStateInPandas(
+    out = frame.groupBy(*keys).transformWithStateInPandas(
         processor, schema, "Update", "None" if idle_hours is None else "ProcessingTime")
     return out if message_flag else out.drop("message_flag")
 
 
+def _spark_agg(df: DataFrame, function: str, column: str):
+    if function == "count":
+        return F.count(F.lit(1))
+    whole = function == "sum" and isinstance(df.schema[column].dataType, T.IntegralType)
+    value = F.col(column).cast("long") if whole else F.col(column)
+    return {"sum": F.sum, "min": F.min, "max": F.max, "first": F.first, "last": F.last,
+            "avg": lambda c: F.avg(c.cast("double"))}[function](value)
+
+
 class _InOrder(StatefulProcessor):
     """Feeds each key's rows to ``fold`` in event order once the watermark has passed them.
 
-    Rows wait in a list state; one timer per key stands at the earliest of them.  The
-    folded state is dropped once the key was idle for ``idle_ms`` of event time.
+    Rows wait in a list state; one timer per key stands at the earliest of them, or at
+    the time the fold asks to be woken.  The folded state is dropped once the key was idle
+    for ``idle_ms`` of event time.
     """
 
-    def __init__(self, fold, ts_index, order_index, idle_ms):
-        self.fold, self.ts_index = fold, ts_index
+    def __init__(self, fold, ts_index, order_index, idle_ms, whole):
+        self.fold, self.ts_index, self.whole = fold, ts_index, whole
         self.order_index, self.idle_ms = order_index, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -137,7 +173,7 @@ class _InOrder(StatefulProcessor):
             for row in pdf.itertuples(index=False, name=None):
                 # released only after the whole millisecond is behind the watermark
                 ms = int(row[self.ts_index].value // 1_000_000) + 1
-                new.append((ms, pickle.dumps(row)))
+                new.append((ms, pickle.dumps(_numbers(row, self.whole))))
         self.waiting.appendList(new)
         self.handle.registerTimer(min(ms for ms, _ in new))
         yield from ()
@@ -153,17 +189,20 @@ class _InOrder(StatefulProcessor):
         else:
             self.waiting.clear()
         stored = self.folded.get() if self.folded.exists() else None
-        if not due:
-            if stored and not later and stored[1] + self.idle_ms <= passed:
-                self.folded.clear()
+        if not due and not stored:
             yield from ()
             return
         rows = sorted((pickle.loads(b) for _, b in due),
                       key=lambda r: tuple(r[i] for i in self.order_index))
-        last_ms = max(ms for ms, _ in due)
-        state, out = self.fold(key, pickle.loads(bytes(stored[0])) if stored else None, rows)
-        self.folded.update((pickle.dumps(state), last_ms))
-        self.handle.registerTimer(last_ms + self.idle_ms)
+        last_ms = max([*[ms for ms, _ in due], *[stored[1] for _ in range(bool(stored))]])
+        state, out, wake = self.fold(key, pickle.loads(bytes(stored[0])) if stored else None,
+                                     rows, passed)
+        if not rows and not later and last_ms + self.idle_ms <= passed:
+            self.folded.clear()
+        else:
+            self.folded.update((pickle.dumps(state), last_ms))
+            self.handle.registerTimer(last_ms + self.idle_ms if wake is None else
+                                      min(wake, last_ms + self.idle_ms))
         if out is not None and len(out):
             yield out
         else:
@@ -177,9 +216,10 @@ def _in_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], fold,
               idle_hours: float) -> DataFrame:
     columns = df.columns
     need_state_store(df.sparkSession)
+    frame, whole = _exact(df, keys)
     processor = _InOrder(fold, columns.index(order_by[0]),
-                         [columns.index(c) for c in order_by], int(idle_hours * 3_600_000))
-    return df.groupBy(*keys).transformWithStateInPandas(
+                         [columns.index(c) for c in order_by], int(idle_hours * 3_600_000), whole)
+    return frame.groupBy(*keys).transformWithStateInPandas(
         processor, schema, "Append", "EventTime")
 
 
@@ -188,7 +228,7 @@ class _OverFold:
         self.n_frame, self.aggs, self.columns = n_frame, aggs, columns
         self.out_columns = out_columns
 
-    def __call__(self, key, state, rows):
+    def __call__(self, key, state, rows, passed):
         at = [self.columns.index(c) if c in self.columns else -1 for _, c in self.aggs]
         out = []
         if self.n_frame is None:
@@ -210,7 +250,7 @@ class _OverFold:
                     results.append(result(acc))
                 out.append((*row, *results))
             state = frame
-        return state, pd.DataFrame(out, columns=self.out_columns)
+        return state, pd.DataFrame(out, columns=self.out_columns, dtype=object), None
 
 
 def running_over(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, str]],
@@ -228,11 +268,12 @@ def running_over(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[st
 
 
 class _PatternFold:
-    def __init__(self, stages, within, columns, n_conds, key_names, ts_index):
+    def __init__(self, stages, within, columns, n_conds, key_names, ts_index, timeouts):
         self.stages, self.within, self.columns = stages, within, columns
+        self.timeouts = timeouts
         self.n_conds, self.key_names, self.ts_index = n_conds, key_names, ts_index
 
-    def __call__(self, key, state, rows):
+    def __call__(self, key, state, rows, passed):
         nfa = Nfa(self.stages, self.within)
         open_matches, seq = state or ([], 0)
         partials = [Partial(*p) for p in open_matches]
@@ -240,21 +281,37 @@ class _PatternFold:
         n = len(self.columns) - self.n_conds
         for row in rows:
             event = dict(zip(self.columns[:n], row[:n]))
-            partials, matches, _ = nfa.feed(
+            partials, matches, late = nfa.feed(
                 partials, row[n:], row[self.ts_index].value / 1e9, event)
-            for m in matches:
+            for m in self._once(late) if self.timeouts else matches:
                 found.append((*key, list(m.events), m.first_len, seq))
                 seq += 1
+        wake = None
+        if self.within > 0:
+            # no event before the watermark can still come, so these matches are too late
+            late = [p for p in partials if (p.start + self.within) * 1000 <= passed]
+            partials = [p for p in partials if (p.start + self.within) * 1000 > passed]
+            for p in self._once(late) if self.timeouts else []:
+                found.append((*key, list(p.events), p.first_len, seq))
+                seq += 1
+            if partials:
+                wake = int((min(p.start for p in partials) + self.within) * 1000) + 1
         # plain tuples: the state must load without this package
         return ([tuple(p) for p in partials], seq), pd.DataFrame(
-            found, columns=[*self.key_names, EVENTS, FIRST_LEN, SEQ])
+            found, columns=[*self.key_names, EVENTS, FIRST_LEN, SEQ], dtype=object), wake
+
+    @staticmethod
+    def _once(partials: list) -> list:
+        """Open matches over the same events count once."""
+        return list({tuple(id(e) for e in p.events): p for p in partials}.values())
 
 
 def match_pattern_stream(df: DataFrame, spec: PatternSpec, order_by: Sequence[str] = (TS, ID),
                          idle_hours: float = MAX_IDLE_HOURS) -> DataFrame:
     """CEP on a stream: events in order behind the watermark, open matches as state.
 
-    Needs a watermark and ``key_by``.  Skip strategies need all matches of a key and
+    Needs a watermark and ``key_by``.  The timeout output gives an open match once the
+    watermark is ``within_seconds`` past its first event.  Skip strategies need all matches of a key and
     run on the stored output (:func:`changeloom.patterns.match_pattern`).
     """
     if not spec.key_by:
@@ -270,6 +327,6 @@ def match_pattern_stream(df: DataFrame, spec: PatternSpec, order_by: Sequence[st
                              T.StructField(SEQ, T.IntegerType())])
     fold = _PatternFold([Stage(s.kind, None, s.quantifier, s.times) for s in spec.stages],
                         spec.within_seconds, frame.columns, len(conds), keys,
-                        frame.columns.index(order_by[0]))
+                        frame.columns.index(order_by[0]), spec.output.kind == "timeout")
     matches = _in_order(frame, keys, order_by, fold, schema, idle_hours)
     return write_matches(matches, df.schema, spec)

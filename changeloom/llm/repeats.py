@@ -17,7 +17,7 @@ itself, so that no group is larger than the limit or the number of chunks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +38,22 @@ SETTLED, PIECE, WINDOW = 0, 1, 2
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def distinct_texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows as (id, digest), and one row per different text: digest, text, copies, id.
+def distinct_texts(docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Rows as (id, digest, row), and one row per different text: digest, text, copies, id.
 
-    ``id`` of a text is its least one (null if it has none).  Null texts count as empty.
+    ``row`` is a struct of the columns to carry.  ``id`` of a text is its least one (null if
+    it has none).  Null texts count as empty.
     """
     body = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    rows = docs.select(docs[f"`{key}`"].alias("id"), body.alias("text"),
-                       F.unhex(F.md5(body)).alias("digest"))
+    # never null: a join then adds no filter, and all steps read one shuffle of the texts
+    digest = F.coalesce(F.unhex(F.md5(body)), F.lit(b""))
+    row = F.struct(*[docs[f"`{c}`"] for c in carry]) if carry else F.lit(None)
+    rows = docs.select(docs[f"`{key}`"].alias("id"), body.alias("text"), digest.alias("digest"),
+                       row.alias("row"))
     texts = rows.groupBy("digest").agg(F.first("text").alias("text"),
                                        F.count("*").alias("copies"), F.min("id").alias("id"))
-    return rows.select("id", "digest"), texts
+    return rows.select("id", "digest", *["row"] if carry else []), texts
 
 
 def hashed(symbols: np.ndarray) -> np.ndarray:

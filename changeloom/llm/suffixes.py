@@ -14,11 +14,11 @@ all files.  The external files are those of Spark's shuffle, read in order of th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.arrays import table, utf8
@@ -99,17 +99,39 @@ def _taken_out(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   with_text: bool = False, group_limit: int = GROUP_LIMIT) -> DataFrame:
+                   with_text: bool = False, group_limit: int = GROUP_LIMIT,
+                   carry: Sequence[str] = ()) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``) per row.
 
     Each byte of a ``WIDTH``-byte string that also starts anywhere else is removed; repeated
     rows are copies of each other.  Null and empty texts have no bytes and stay.  ``kept`` is
-    the rest as text; bytes of characters that were cut through are left out of it.  The key
-    must be a long; null keys are rows like others.
+    the rest as text; bytes of characters that were cut through are left out of it.
+    ``carry``: columns that come along, in a struct ``row``.  The key must be a long; null
+    keys are rows like others.
     """
-    rows, texts = distinct_texts(docs, key, text)
+    rows, texts = distinct_texts(docs, key, text, carry)
     spans = repeated_spans(texts, raw_bytes, WIDTH, GRAM, repeated_windows, False, group_limit)
     done = texts.join(spans, "digest", "left").mapInArrow(
         _taken_out(with_text), "digest binary, n_bytes long, n_removed long, n_spans long, "
         "kept_sha256 string, kept string")
     return rows.join(done, "digest").drop("digest", *[] if with_text else ["kept"])
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                    chars: str = "n_chars") -> DataFrame:
+    """``docs`` with shortened texts and their character counts.
+
+    A text that nothing is left of takes its document along; other documents all stay.
+    """
+    others = [c for c in docs.columns if c != text]
+    out = remove_repeats(docs, key, text, True, carry=others).where(
+        "n_removed = 0 OR n_removed < n_bytes")
+    size = F.length("kept").cast(docs.schema[chars].dataType) if chars in others else None
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("kept").alias(name)
+        old = F.col("row")[name]
+        cut = F.col("n_removed") > 0
+        return (F.when(cut, size).otherwise(old) if name == chars else old).alias(name)
+    return out.select(*[column(c) for c in docs.columns])

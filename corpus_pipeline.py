@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeloom.llm import quality
+from changeloom.llm import mixing, near_dups, packing, quality, suffixes
 from changeloom.session import shared_dir
 
+#: the vocabulary that packing reads, as (bytes, rank) lines
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule table accepts."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the least id."""
+    return near_dups.keep_one(docs)
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their 200-byte strings that occur elsewhere; emptied documents go."""
+    return suffixes.without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources 5, 2, 1, good documents first; a document drawn n times is n rows."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.written_out(mixing.mix(docs, labels=labels))
+
+
+def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of at most 2048 ids, one row per piece with its ids."""
+    return packing.pack(docs, VOCABULARY)
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates),
+          ("repeated bytes", repeated_bytes), ("source mix", source_mix),
+          ("packing", packed_windows)]
 
-#: packing and mixing have no SQL form; tests hold the stages against brute force
+#: sketches, the greedy packing and the public vocabulary have no SQL form; the tests hold
+#: every stage against brute force
 ORACLE_SQL = None
 
 

@@ -113,8 +113,12 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") ->
     The base rule: under 50 words, or over half of the words in repeated windows.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = measure(docs, text).withColumns({"base_failed": base, "failed": compiled(rules)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    # a column that a filter can't pass: pushed down, the verdict would be written out in
+    # terms of the text, each metric again wherever it is used
+    measured = measure(docs, text).withColumn("nth", F.monotonically_increasing_id())
+    out = measured.withColumns({"base_failed": base, "failed": compiled(rules)})
+    kept = ~F.col("base_failed") & (F.size("failed") == 0) & (F.col("nth") >= 0)
+    return out.withColumn("kept", kept).drop("nth")
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:

@@ -94,7 +94,7 @@ def test_windows_hold_every_document_of_the_mix(stages):
 
 
 def odd_rows(spark):
-    text = " ".join(f"the word{i} of it" for i in range(40))
+    text = " ".join(f"the word{i} of{i} it{i}" for i in range(40))
     rows = [(None, None, None, None, None, "x"), (1, "", "en", None, 0, None),
             (2, text, None, "s", None, "x"), (2, text, None, "s", None, "x"),
             (3, text + " and more", "en", "s", 5, "x"), (None, text, "en", "s", 5, "x"),

@@ -157,12 +157,18 @@ def _collect(fields: Sequence[JsonField], base: str, array_path: str,
 def infer_ext_schema(df: DataFrame, value_col: str, sampling_ratio: float = 1.0) -> list[JsonField]:
     """SRC-20: propose a declaration from the messages themselves.
 
-    One distributed pass; only the merged schema reaches the driver.
+    One aggregate in the JVM; only the merged schema reaches the driver.  Texts that are no
+    JSON count for nothing; numbers with a point are doubles, fields of mixed types strings.
     """
-    reader = df.sparkSession.read.option("samplingRatio", sampling_ratio)
-    texts = df.select(F.col(value_col).cast("string")).filter(F.col(value_col).isNotNull())
-    schema = reader.json(texts.rdd.map(lambda row: row[0])).schema
-    return _declare(schema)
+    texts = df.select(F.col(value_col).cast("string").alias("_text"))
+    if sampling_ratio < 1.0:
+        texts = texts.sample(sampling_ratio, seed=0)
+    merged = texts.agg(F.schema_of_variant_agg(F.try_parse_json("_text"))).first()[0]
+    if not merged or not merged.startswith("OBJECT<"):
+        return []
+    ddl = re.sub(r"\bVOID\b|\bVARIANT\b", "STRING", merged.replace("OBJECT<", "STRUCT<"))
+    ddl = re.sub(r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
+    return _declare(T.StructType.fromDDL(ddl[len("STRUCT<"):-1]))
 
 
 def _declare(schema: T.StructType) -> list[JsonField]:

@@ -14,6 +14,7 @@ from ..plans.flow import JobSpec, run_job
 from ..plans.registry import register_transform
 from ..plans.steps import CustomStep, LookupStep, PatternStep, run_steps
 from ..session import shared_dir
+from ..sinks.versions import VersionedTable
 from ..sinks.write import register_sink, write_all
 from ..sources.ext_json import infer_ext_schema, read_ext_json
 from ..sources.tables import read_source, register_source
@@ -233,3 +234,16 @@ def cdc_06_nulls(spark, sf):
     stored = to_target(log.filter("ums_id_ % 2 = 0"), ["k"])
     stored = stored.withColumn("ums_id_", F.when(F.col("k") % 3 != 0, F.col("ums_id_")))
     return apply_changes(stored, log, ["k"]).select("k", "ums_id_", "value1")
+
+
+@query("cdc_06_durable_upsert", f"""{W}
+    SELECT k, ums_id_, value1, CASE WHEN ums_op_ = 'd' THEN 0 ELSE 1 END AS ums_active_
+    FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ums_id_ DESC) AS rn FROM changes)
+    WHERE rn = 1""")
+def cdc_06_durable(spark, sf):
+    log = changes(spark, sf).select("ums_id_", "ums_ts_", "ums_op_", "k", "value1")
+    store = VersionedTable(spark, shared_dir(spark, "versions"), ["k"], buckets=16)
+    # three batches out of order, the second one given twice
+    for batch, rest in ((0, 1), (1, 2), (1, 2), (2, 0)):
+        store.upsert(log.filter(F.col("ums_id_") % 3 == rest), batch)
+    return store.read().select("k", "ums_id_", "value1", "ums_active_")

@@ -37,3 +37,18 @@ def test_a_stored_row_without_version_is_replaced(spark):
     new = spark.createDataFrame([(1, 5, START, "u", "new")], schema.format("ums_op_ string"))
     got = {r["k"]: r["v"] for r in apply_changes(stored, new, ["k"]).collect()}
     assert got == {1: "new", 2: "stays"}
+
+
+def test_versioned_table_rewrites_only_touched_buckets(spark, tmp_path):
+    from changeloom.sinks.versions import VersionedTable
+    schema = "k long, ums_id_ long, ums_ts_ timestamp, ums_op_ string, v string"
+    store = VersionedTable(spark, str(tmp_path / "table"), ["k"], buckets=8)
+    store.upsert(spark.createDataFrame([(k, 1, START, "i", "a") for k in range(40)], schema), 0)
+    new = spark.createDataFrame([(3, 2, START, "u", "b"), (99, 2, START, "i", "c")], schema)
+    for _ in range(2):
+        store.upsert(new, 1)
+    got = {r["k"]: r["v"] for r in store.read().collect()}
+    assert got == {**{k: "a" for k in range(40)}, 3: "b", 99: "c"}
+    assert {r["k"]: r["v"] for r in store.read(0).collect()} == {k: "a" for k in range(40)}
+    versions = list(store._pointer(1).values())
+    assert 0 < versions.count(1) <= 2 and versions.count(0) >= 6

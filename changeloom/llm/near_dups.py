@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeloom.llm.arrays import (binaries, chunks, inside_texts, mix, table, utf8,
-                                   window_hashes, word_hashes, word_spans)
+from changeloom.llm.arrays import (binaries, chunks, mix, table, utf8, window_hashes,
+                                   word_hashes, word_spans)
 from changeloom.llm.components import components
 from changeloom.session import cut_lineage
 

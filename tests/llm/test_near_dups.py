@@ -22,9 +22,6 @@ def brute(rows):
     for i, s in sets.items():
         for g in s:
             index[g].append(i)
-    for ids in index.values():
-        for j in ids[1:]:
-            pass
     pairs = {(a, b) for ids in index.values() for a in ids for b in ids if a < b}
     for a, b in pairs:
         both = len(sets[a] & sets[b])

@@ -2,7 +2,6 @@
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np

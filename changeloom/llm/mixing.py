@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: rows of a source that share one key range
-RANGE_ROWS = 10_000
+RANGE_ROWS = 2_000
 SALTS = 32
 
 

@@ -9,11 +9,16 @@ holds a whole source.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.llm.arrays import table
+from changeloom.session import cut_lineage
+
 #: rows of a source that share one key range
 RANGE_ROWS = 2_000
 SALTS = 32
@@ -58,12 +63,14 @@ def targets(sources: DataFrame, weights: Sequence[int], limit: int) -> DataFrame
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3,
         labels: DataFrame | None = None, carry: Sequence[str] | None = None,
         key: str = "doc_id", source: str = "source", text: str = "text",
-        range_rows: int = RANGE_ROWS) -> DataFrame:
+        range_rows: int = RANGE_ROWS, whole: bool = False) -> DataFrame:
     """``row`` (the input), ``size``, ``source_size``, ``target``, ``taken``.
 
     ``taken`` counts words: whole passes of the document, plus the document itself when it
     is drawn, or its first words when it is the one that the budget ends in; so a source
-    takes its target rounded down.  ``labels`` (key, quality) weigh documents, see
+    takes its target rounded down.  ``whole``: that one is drawn or left as a whole, so that
+    ``taken`` is a multiple of ``size``, a source meets its target to within one document and
+    the sources together the sum of their targets, see :func:`round_up`.  ``labels`` (key, quality) weigh documents, see
     :func:`quality_weights`; without them all weigh 1.  ``carry``: columns in ``row``, all by
     default; only these travel.  Null text: no words.  Null source: a source of its own, the
     last.  Null ids draw one number together; ties go by id and size, and repeated rows are
@@ -84,6 +91,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3,
         F.sum("size").alias("source_size"), F.count("*").alias("n"), F.min("w").alias("low"))
     wanted = per.join(targets(per.select("none", "source", "source_size"), weights, limit)
                       .drop("source_size"), ["none", "source"])
+    wanted = wanted.withColumn("budget", F.floor("target"))
+    if whole:
+        cut = mix(docs, weights, limit, labels, [source], key, source, text, range_rows)
+        wanted = wanted.join(_to_borders(cut, source), ["none", "source"], "left").withColumn(
+            "budget", F.col("budget") + F.coalesce("more", F.lit(0))).drop("more")
     # rows of a large source meet its target in SALTS places
     salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
@@ -99,7 +111,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3,
     within = (Window.partitionBy("none", "source", "range").orderBy("draw", "id", "size")
               .rowsBetween(Window.unboundedPreceding, 0))
     before = F.col("below") + F.sum("size").over(within) - F.col("size")
-    budget = F.floor(F.col("target"))
+    budget = F.col("budget")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     out = rows.withColumns({"before": before, "passes": passes})
     rest = budget - F.col("passes") * F.col("source_size") - F.col("before")
@@ -108,6 +120,58 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3,
     return out.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def round_up(sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which documents to take whole, of those that ``parts`` words are wanted of.
+
+    From the longest on, each is taken or left as brings the sum nearer to that of the parts;
+    then one or two answers at a time are turned as long as that brings it nearer still.
+    """
+    up, over = np.zeros(len(sizes), dtype=bool), 0
+    for i in np.argsort(-sizes, kind="stable"):
+        up[i] = abs(over + sizes[i] - parts[i]) <= abs(over - parts[i])
+        over += (sizes[i] if up[i] else 0) - parts[i]
+    while len(sizes):
+        change = np.append(np.where(up, -sizes, sizes), 0)  # the last: turn only one
+        order = np.argsort(change, kind="stable")
+        near = np.searchsorted(change[order], -over - change)
+        at = np.clip(np.stack([near - 1, near]), 0, len(order) - 1)
+        other = order[at]
+        after = np.abs(over + change + change[other])
+        after[other == np.arange(len(order))] = abs(over)
+        best = np.unravel_index(after.argmin(), after.shape)
+        if after[best] >= abs(over):
+            break
+        turned = [i for i in (best[1], other[best]) if i < len(sizes)]
+        over += change[turned].sum()
+        up[turned] = ~up[turned]
+    return up
+
+
+_MORE = pa.schema([("none", pa.bool_()), ("source", pa.string()), ("more", pa.int64())])
+
+
+def _to_borders(cut: DataFrame, source: str) -> DataFrame:
+    """``none``, ``source``, ``more``: words to add to a budget so that it ends with a document.
+
+    One row per source whose budget ends inside of one; a single task reads these rows.
+    """
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held)
+            sizes, parts = rows["size"].to_numpy(), rows["part"].to_numpy()
+            more = np.where(round_up(sizes, parts), sizes, 0) - parts
+            yield table(_MORE, rows["none"].combine_chunks(), rows["source"].combine_chunks(),
+                        more)
+
+    name = F.col("row")[source]
+    inside = cut.where("size > 0").select(
+        name.isNull().alias("none"), F.coalesce(name.cast("string"), F.lit("")).alias("source"),
+        "size", (F.col("taken") % F.col("size")).alias("part")).where("part > 0")
+    return cut_lineage(inside.repartition(1).sortWithinPartitions("none", "source").mapInArrow(
+        settled, "none boolean, source string, more long"))
+
+
 def quality_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """``id`` and ``w``: 2 for documents labelled good, 0.5 for poor; good wins a conflict."""
     return labels.groupBy(labels[f"`{key}`"].alias("id")).agg(
@@ -118,7 +182,8 @@ def quality_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 def written_out(mixed: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The mix as documents: each row as often as it was taken, cut where the budget ends.
 
-    The cut row keeps its first words, joined by one space, and its own character count.
+    The cut row keeps its first words, joined by one space, and its own character count; a
+    mix of whole documents (``whole``) has none.
     """
     whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = F.when(F.col("size") > 0, whole + (part > 0).cast("int")).otherwise(0)

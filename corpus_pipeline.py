@@ -28,9 +28,9 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources 5, 2, 1, good documents first; a document drawn n times is n rows."""
+    """Sources 5, 2, 1, good documents first; a document drawn n times is n rows, all whole."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mixing.written_out(mixing.mix(docs, labels=labels))
+    return mixing.written_out(mixing.mix(docs, labels=labels, whole=True))
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

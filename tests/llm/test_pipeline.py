@@ -82,6 +82,11 @@ def test_mix_takes_three_passes_at_most_and_hits_its_targets(stages):
     assert all(taken[s] <= 3 * sizes[s] for s in sizes)
 
 
+def test_mix_holds_whole_texts(stages):
+    whole = {(r.doc_id, r.text, r.n_chars) for r in stages[3].collect()}
+    assert {(r.doc_id, r.text, r.n_chars) for r in stages[4].collect()} <= whole
+
+
 def test_windows_hold_every_document_of_the_mix(stages):
     rows = Counter(r.doc_id for r in stages[4].collect())
     ends, fill = Counter(), defaultdict(int)

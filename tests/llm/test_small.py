@@ -232,6 +232,37 @@ def test_mix_written_out(spark, docs):
     assert got == +want
 
 
+def test_whole_mix_has_no_prefixes(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, "\n\n".join(f"  word{i} x\ty{k}" for k in range(int(rng.integers(1, 60)))),
+             None if i == 0 else f"s{i:02}", -i) for i in range(40)]  # a document a source
+    rows += [(100, "long  line\n" * 30_000, "t1", 7), (101, "a\tb  c", "t2", 8),
+             (None, "d\te  f", "t2", 9), (None, "g\th  i", "t2", 10), (102, None, "t3", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mix(table, whole=True)
+    size, taken, target, longest = Counter(), Counter(), {}, Counter()
+    for r in mixed.collect():
+        assert r.taken <= 3 * r["size"] and (r.taken == 0 or r.taken % r["size"] == 0)
+        size[r.row.source] += r["size"]
+        taken[r.row.source] += r.taken
+        target[r.row.source] = r.target
+        longest[r.row.source] = max(longest[r.row.source], r["size"])
+    assert all(abs(taken[s] - want) < max(1, longest[s]) for s, want in target.items())
+    out = mixing.written_out(mixed).collect()
+    assert {tuple(r) for r in out} <= set(rows)
+    assert sum(len(WORDS.findall(r.text)) for r in out) == sum(taken.values())
+
+
+def test_rounding_of_documents_keeps_the_sum():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 2, 20, 500):
+        sizes = rng.integers(1, 3000, n)
+        parts = (sizes * rng.random(n)).astype(np.int64)
+        up = mixing.round_up(sizes, parts)
+        assert len(up) == n
+        assert abs(sizes[up].sum() - parts.sum()) <= (sizes.max(initial=0) if n < 20 else 50)
+
+
 def test_good_documents_are_drawn_first(spark):
     table = spark.createDataFrame([(i, "a b c", "big" if i < 1000 else "small")
                                    for i in range(1100)], "doc_id long, text string, source string")

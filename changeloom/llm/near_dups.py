@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm.arrays import (binaries, chunks, mix, table, utf8, window_hashes,
@@ -77,7 +77,7 @@ def sketch(values: np.ndarray, coords: int = COORDS) -> np.ndarray:
 
 
 _BAND_SEED = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
-_SKETCHES = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()),
+_SKETCHES = pa.schema([("id", pa.int64()), ("same", pa.string()), ("n_shingles", pa.int64()),
                        ("digest", pa.binary()), ("bands", pa.list_(pa.int64())),
                        ("low", pa.binary())])
 
@@ -101,10 +101,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix(key ^ rows[:, c])
             bands.append(key.view(np.int64))
             low.append(key.astype(np.uint32).tobytes())
-        yield table(_SKETCHES, batch.column("id"), sizes, digests, bands, low)
+        yield table(_SKETCHES, batch.column("id"), batch.column("same"), sizes, digests, bands, low)
 
 
-_SETS = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("elements", pa.binary()),
+_SETS = pa.schema([("digest", pa.binary()), ("elements", pa.binary()),
                    ("long", pa.binary())])
 
 
@@ -116,7 +116,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         long = [sketch(v, LONG).astype(np.uint8).tobytes() if len(v) else b"" for v in sets]
-        yield table(_SETS, batch.column("id"), digests, binaries(flat, begin), long)
+        yield table(_SETS, digests, binaries(flat, begin), long)
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -204,26 +204,31 @@ def _candidates(percent: int, agree: tuple[int, int]):
     return of
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                    percent: int = PERCENT, agree: tuple[int, int] = AGREE,
-                    block: int = BLOCK) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
+def _same(text: Column) -> Column:
+    """Equal for equal texts; null is empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
-    ``component_id``: the least id that links lead to, a row's own for lone and empty texts.
-    ``kept``: whether the row is that one.  Repeated rows (same id) get the same answer.
-    A null id never is a component's name while another id is there; null stays where it is
-    alone.  The key must be a long below 2 ** 62.
+
+def _grouped(texts: DataFrame, percent: int, agree: tuple[int, int], block: int
+             ) -> tuple[DataFrame, DataFrame]:
+    """The sketch of each row of ``texts`` (id, text), and the group of each distinct set.
+
+    Sets: ``digest``, ``label`` (equal within a component), and ``id`` and ``same`` of one row
+    that has the set, that of the least id.  Null ids come last, then the hash of the text
+    decides.
     """
-    texts = docs.select(docs[f"`{key}`"].cast("long").alias("id"),
-                        docs[f"`{text}`"].alias("text"))
+    texts = texts.withColumn("same", _same(F.col("text")))
     sketches = cut_lineage(texts.mapInArrow(
-        _sketched, "id long, n_shingles long, digest binary, bands array<long>, low binary"))
-    # one node per distinct set, named by its least id; sets without an id get a name above all
-    made = F.lit(1 << 62) + F.expr("shiftrightunsigned(xxhash64(digest), 3)")
+        _sketched, "id long, same string, n_shingles long, digest binary, bands array<long>, "
+        "low binary"))
+    # one node per distinct set, named by a hash of the set: ids may be null or shared
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same"))
     nodes = sketches.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
+        first.alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
         F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"))
-    nodes = cut_lineage(nodes.withColumn("node", F.coalesce("id", made)))
+    nodes = cut_lineage(nodes.select(
+        F.expr("shiftrightunsigned(xxhash64(digest), 1)").alias("node"), "digest", "row.none",
+        "row.id", "row.same", "copies", "bands", "n_shingles", "low"))
     placed = nodes.select("node", "copies", F.posexplode("bands").alias("band", "bucket"))
     # the centre is the set with the most copies: a base text, if there is one
     first = F.max(F.struct("copies", (-F.col("node")).alias("minus")))
@@ -232,18 +237,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = shared.where("least < most").select("bucket", (-F.col("first.minus")).alias("center"))
     members = cut_lineage(placed.select("bucket", "band", "node").join(shared, "bucket"))
     wanted = members.select("node").distinct().join(
-        nodes.select("node", "id", "digest", "n_shingles", "low"), "node")
-    known = texts.where("id IS NOT NULL").join(
-        wanted.where("id IS NOT NULL").select("id").distinct(), "id", "left_semi")
-    unnamed = texts.where("id IS NULL")
-    found = known.unionByName(unnamed).mapInArrow(
-        _elements, "id long, digest binary, elements binary, long binary")
+        nodes.select("node", "none", "id", "same", "digest", "n_shingles", "low"), "node")
+    found = _of_rows(texts, "id", "same", wanted).select("text").mapInArrow(
+        _elements, "digest binary, elements binary, long binary")
     sets = cut_lineage(
-        found.withColumn("node", F.coalesce("id", made))
-        .join(wanted.select("node", "digest"), ["node", "digest"], "left_semi")
-        .groupBy("node", "digest").agg(F.first("elements").alias("elements"),
-                                        F.first("long").alias("long"))
-        .join(wanted.select("node", "digest", "n_shingles", "low"), ["node", "digest"])
+        found.groupBy("digest").agg(F.first("elements").alias("elements"),
+                                    F.first("long").alias("long"))
+        .join(wanted.select("node", "digest", "n_shingles", "low"), "digest")
         .select("node", "elements", "long", "n_shingles", "low"))
 
     pairs = members.where("node <> center").select(
@@ -268,13 +268,44 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     plausible = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
         _candidates(percent, agree), "a long, b long")
     labels = components(verified(plausible, sets, percent), labels)
-    named = nodes.select("node", "digest").join(labels, "node", "left").select(
-        "digest", F.coalesce("label", "node").alias("component_id"))
-    least = F.least("component_id", F.coalesce("id", "component_id"))
+    return sketches, nodes.join(labels, "node", "left").select(
+        "digest", F.coalesce("label", "node").alias("label"), "none", "id", "same")
+
+
+def _of_rows(frame: DataFrame, key: str, same: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose id and text ``wanted`` (none, id, same) names.
+
+    They stay dealt out by ``__none``, ``__id`` and ``__same``: null ids spread by their texts.
+    """
+    rows = wanted.select(F.col("none").alias("__none"),
+                         F.coalesce("id", F.lit(0)).cast("long").alias("__id"),
+                         F.col("same").alias("__same")).distinct()
+    named = F.col(f"`{key}`").cast("long")
+    return frame.withColumns({"__none": named.isNull(), "__id": F.coalesce(named, F.lit(0)),
+                              "__same": F.col(same)}).join(
+        rows, ["__none", "__id", "__same"], "left_semi")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                    percent: int = PERCENT, agree: tuple[int, int] = AGREE,
+                    block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
+
+    ``component_id``: the least id that links lead to, a row's own for lone and empty texts.
+    ``kept``: whether the row is that one.  Each row goes by its own text: repeated rows get
+    the same answer, different texts under one id need not.
+    A null id never is a component's name while another id is there; null stays where it is
+    alone.  The key must be a long.
+    """
+    texts = docs.select(docs[f"`{key}`"].cast("long").alias("id"),
+                        docs[f"`{text}`"].alias("text"))
+    sketches, sets = _grouped(texts, percent, agree, block)
+    least = sets.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = sets.select("digest", "label").join(least, "label").drop("label")
     out = sketches.join(named, "digest", "left").select(
         F.col("id").alias("doc_id"), "n_shingles",
-        F.when(F.col("component_id").isNull(), F.col("id"))
-        .when(least < (1 << 62), least).alias("component_id"))
+        F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        .alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -282,15 +313,24 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
              percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the least id.
 
-    Of repeated rows (same id, same text) one stays.  Rows without an id cannot be named as
-    a group's row, so they all stay.
+    Rows without an id come last, so they stay only in groups without any id; of several
+    texts under that id the hash of the text decides, of repeated rows their other columns.
+    Texts without words are in no group: one stays of those with the same id and text, and
+    all without an id.
     """
-    kept = near_duplicates(docs, key, text, percent).where("kept AND doc_id IS NOT NULL")
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(docs[f"`{key}`"].isNotNull()).join(
-        kept, docs[f"`{key}`"].cast("long") == kept["__kept"], "left_semi")
-    once = Window.partitionBy(f"`{key}`", "__digest").orderBy(f"`{key}`")
-    named = (named.withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-             .withColumn("__number", F.row_number().over(once))
-             .where("__number = 1").drop("__digest", "__number"))
-    return named.unionByName(docs.where(docs[f"`{key}`"].isNull()))
+    texts = docs.select(docs[f"`{key}`"].cast("long").alias("id"),
+                        docs[f"`{text}`"].alias("text"))
+    sketches, sets = _grouped(texts, percent, AGREE, BLOCK)
+    first = sets.groupBy("label").agg(F.min(F.struct("none", "id", "same")).alias("row"))
+    blank = sketches.where("n_shingles = 0 AND id IS NOT NULL").select(
+        F.lit(False).alias("none"), "id", "same")
+    frame = docs.withColumn("__text", _same(docs[f"`{text}`"]))
+    chosen = _of_rows(frame, key, "__text", first.select("row.*").unionByName(blank))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text)]
+    once = Window.partitionBy("__none", "__id", "__same").orderBy(
+        F.to_json(F.struct(*others)) if others else F.lit(0))
+    chosen = chosen.withColumn("__number", F.row_number().over(once)).where("__number = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    unnamed = docs.where(docs[f"`{key}`"].isNull() & ~F.coalesce(
+        docs[f"`{text}`"], F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return chosen.select(*columns).unionByName(unnamed)

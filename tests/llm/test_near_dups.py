@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from changeloom.llm.near_dups import near_duplicates, sketch
+from changeloom.llm import suffixes
+from changeloom.llm.near_dups import keep_one, near_duplicates, sketch
 
 
 def brute(rows):
@@ -72,6 +73,38 @@ def test_null_ids_and_repeated_rows(spark):
         ("None", 46, "7", False)]
 
 
+def prose(n, seed):
+    return " ".join(np.random.default_rng(seed).choice([f"w{i}" for i in range(500)], n))
+
+
+def test_one_row_of_each_group_stays_with_null_and_shared_ids(spark):
+    one, two, three, four = (prose(80, seed) for seed in range(4))
+    rows = [(7, one, "a"), (None, one, "a"), (None, one + " more", "b"),  # null beside named
+            (None, two, "y"), (None, two, "x"), (None, two + " more", "z"),  # null only
+            (20, three, "a"), (20, four, "a"), (3, four + " more", "a"),  # shared, one a copy
+            (30, None, "a"), (30, None, "b"), (31, "", "a"), (None, " ", "a"), (None, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    lone = [r for r in got if r[0] is None and (r[1] or "").strip()]
+    assert len(lone) == 1 and lone[0] in [(None, two, "x"), (None, two + " more", "z")]
+    assert sorted(map(str, got)) == sorted(map(str, lone + [
+        (7, one, "a"), (20, three, "a"), (3, four + " more", "a"), (30, None, "a"),
+        (31, "", "a"), (None, " ", "a"), (None, "", "a")]))
+    left = {r.text for r in suffixes.without_repeats(kept, chars="").collect()}
+    assert {one, three, four + " more", lone[0][1]} <= left
+
+
+def test_each_row_goes_by_its_own_text(spark):
+    one, two = prose(80, 5), prose(80, 6)
+    rows = [(9, one), (9, two), (4, two + " more"), (None, one), (1 << 62, one)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in got) == [
+        ("4", 77, 4, True), (str(1 << 62), 76, 9, False), ("9", 76, 4, False),
+        ("9", 76, 9, True), ("None", 76, 9, False)]
+
+
 def test_empty_table(spark):
     frame = near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert frame.collect() == []

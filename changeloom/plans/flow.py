@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..model import ID, FlowSpec, Namespace, Sink
 from ..operators.changes import merge_latest
 from ..operators.projections import project_job, project_output
+from ..session import cut_lineage
 from ..sources.messages import (apply_ums_schema, classify_messages, match_namespace,
                                 read_ums)
 from ..sources.tables import read_source
@@ -43,17 +44,24 @@ def sink_rows(spec: FlowSpec, rows: DataFrame) -> DataFrame:
     return project_output(rows, spec.sink.output, spec.sink.sink_uid, system=True)
 
 
-def run_flow(spec: FlowSpec, source: DataFrame) -> DataFrame:
-    """Decode, run the steps, keep the valid rows, merge by the sink's keys, project.
+def run_flow(spec: FlowSpec, source: DataFrame,
+             rest: Callable[[DataFrame], Any] | None = None) -> DataFrame:
+    """Decode, run the steps, keep the rows to send, merge by the sink's keys, project.
 
-    Without a store for held rows (see ``flows_writer``) an invalid row is left out.
+    ``rest`` gets the other rows of a validity gate with their ``_fate`` (``hold``, ``alert``
+    or ``drop``); a gate without it is an error.  ``flows_writer`` keeps held rows itself.
     """
+    if spec.validity is not None and rest is None:
+        raise ValueError(f"flow {spec.label!r} has a validity gate; say where the rest goes")
     rows = flow_rows(spec, source)
     if spec.validity is not None:
         from ..streaming.hold import FATE, SEND, validity
         gate = spec.validity
-        rows = validity(rows, gate.columns, gate.rule, gate.timeout_seconds, gate.action) \
-            .filter(F.col(FATE) == SEND).drop(FATE)
+        # decided once: the lookup behind it may change between reads
+        rows = cut_lineage(
+            validity(rows, gate.columns, gate.rule, gate.timeout_seconds, gate.action))
+        rest(rows.filter(F.col(FATE) != SEND))
+        rows = rows.filter(F.col(FATE) == SEND).drop(FATE)
     return sink_rows(spec, rows)
 
 

@@ -35,9 +35,13 @@ def flows_writer(flows: Sequence[FlowSpec], on_error: str = UNHANDLE,
     STM-11, STM-12: a flow with a validity gate keeps its held rows under the folder
     that ``held`` names for its label and sees them again in the next batch; ``alert``
     gets the rows that timed out.  Rows are merged by the sink's keys after the gate.
+    A gate without such a folder is an error: its held rows would be lost.
     """
     if on_error not in (UNHANDLE, INTERRUPT, FEEDBACK):
         raise ValueError(f"unknown error policy {on_error!r}")
+    for flow in flows:
+        if flow.validity is not None and flow.label not in (held or {}):
+            raise ValueError(f"flow {flow.label!r} has a validity gate; name a folder in held")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -49,7 +53,7 @@ def flows_writer(flows: Sequence[FlowSpec], on_error: str = UNHANDLE,
                         _refuse_bad_rows(batch, flow)
                     if on_error == FEEDBACK and feedback is not None and flow.fields:
                         feedback(bad_rows(batch, flow, batch_id), batch_id)
-                    if flow.validity is not None and flow.label in (held or {}):
+                    if flow.validity is not None:
                         _gated(flow, batch, batch_id, held[flow.label], alert)
                         continue
                     out = run_flow(flow, batch)

@@ -177,6 +177,21 @@ def test_many_flows_on_one_batch(spark):
         flows_writer([], on_error="what")
 
 
+def test_gate_without_a_place_for_its_rows_is_refused(spark):
+    rows = spark.sql("""SELECT id AS ums_id_, timestamp_seconds(id * 100) AS ums_ts_, id AS k,
+                        IF(id = 2, 'x', NULL) AS name FROM range(4)""")
+    flow = FlowSpec("s.i.d.a.*.*.*", validity=Validity(["name"], "and", "timeout", -100, "alert"),
+                    name="gate")
+    with pytest.raises(ValueError, match="gate"):
+        flows_writer([flow], held={"other": "x"}, alert=lambda df, n: None)
+    with pytest.raises(ValueError, match="gate"):
+        run_flow(flow, rows)
+    rest = []
+    sent = run_flow(flow, rows, lambda df: rest.extend((r.k, r._fate) for r in df.collect()))
+    assert [r.k for r in sent.collect()] == [2]
+    assert sorted(rest) == [(0, "alert"), (1, "alert"), (3, "hold")]
+
+
 def test_flow_and_job_entry_points(spark, tmp_path):
     spec = FlowSpec("s.i.d.a.*.*.*", [SqlStep("SELECT *, k + 1 AS n FROM a")],
                     Sink(lambda *a: None, output="n:next"), FIELDS)

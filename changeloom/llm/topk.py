@@ -85,7 +85,8 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, be
     """Branch and bound over one tree; ``first_leaf``: stop each query after its best leaf."""
     norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     bounds = queries.astype(np.float64) @ tree["centers"].T + norms[:, None] * tree["radii"]
-    bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * (1 + np.abs(tree["centers"]).max())) + 1e-6
+    most = np.abs(tree["centers"]).max(initial=0)
+    bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * (1 + most)) + 1e-6
     if first_leaf:
         node = np.zeros(len(queries), dtype=np.int64)
         left, right = tree["children"].T
@@ -173,7 +174,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     Components become floor(scale * x); scores are integer inner products and must fit into
     a long.  Ties go to the smaller id.  Rows with the query's id are not candidates of it.
     Null ids, null vectors and vectors with a null or non-finite component take no part, and
-    only vectors of one length are compared.  Repeated rows are candidates each.  A query
+    only vectors of one length are compared; the product of empty ones is 0.  Repeated rows
+    are candidates each, and repeated query rows search each and share the k ranks.  A query
     without candidates gives no rows.
     """
     given = vectors.select(vectors[f"`{key}`"].alias("id"), is_query.alias("asks"),

@@ -161,6 +161,19 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(none, F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_of_empty_vectors_and_repeated_rows(spark):
+    rows = [(0, []), (1, []), (2, []), (50, [3.0]), (50, [3.0]), (51, [2.0]), (51, [2.0]),
+            (52, [1.0]), (53, [-1.0]), (100, [0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = set()
+    for q in (0, 50, 100):  # as the SQL of op4: every query row with every row of its length
+        scores = sorted((-int(sum(256 * a * 256 * b for a, b in zip(x, y))), i)
+                        for j, x in rows if j == q for i, y in rows if i != q and len(y) == len(x))
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])}
+    got = topk.top_k(table, F.col("vec_id") % 50 == 0).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_shards_are_whole_even_and_gapless(spark, docs, rows):
     got = sharding.shard_by_bytes(docs, 3).select("row.doc_id", "row.text", "size", "shard",
                                                   "slot").collect()

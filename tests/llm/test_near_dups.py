@@ -1,10 +1,12 @@
+import math
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from changeloom.llm import suffixes
-from changeloom.llm.near_dups import keep_one, near_duplicates, sketch
+from changeloom.llm.near_dups import (AGREE, BANDS, COORDS, LONG, PERCENT, ROWS, keep_one,
+                                      near_duplicates, sketch)
 
 
 def brute(rows):
@@ -122,6 +124,15 @@ def test_buckets_in_many_components_are_compared_across(spark, block):
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows).items()}
 
 
+def test_sketch_filter_misses_far_fewer_pairs_than_the_bands():
+    alike = PERCENT / 100
+    byte = alike + (1 - alike) / 256  # of two coordinates' low bytes
+    bands = (1 - alike ** ROWS) ** BANDS
+    for n, least in zip((COORDS, LONG), AGREE):
+        missed = sum(math.comb(n, k) * byte ** k * (1 - byte) ** (n - k) for k in range(least))
+        assert missed < bands / 10
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 1 << 62, 600).astype(np.uint64)

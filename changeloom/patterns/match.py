@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..model import ID, OP, TS
-from ..operators.blocks import (BLOCK, BLOCK_ROWS, OWN, hot_keys, same_key, seconds_of,
-                                sequence_blocks)
+from ..operators.blocks import BLOCK, BLOCK_ROWS, OWN, Ranges, seconds_of, sequence_blocks
 from ..operators.conditions import pattern_condition
 from ..session import cut_lineage
 from .nfa import Nfa
@@ -29,8 +28,8 @@ def match_pattern(df: DataFrame, spec: PatternSpec, order_by: Sequence[str] = (T
     Patterns without an open quantifier run as window functions in the JVM; open
     quantifiers and the timeout output run :class:`Nfa` over Arrow batches.
 
-    A key with more than ``block_rows`` events is cut into blocks that run in
-    parallel.  Only an open quantifier without a time bound reads such a key in one
+    Events are cut into blocks of ``block_rows`` of one order over all keys, which run in
+    parallel.  Only an open quantifier without a time bound reads a key in one
     task, in batches, holding open matches only.
     """
     if not spec.key_by:
@@ -45,7 +44,7 @@ def match_pattern(df: DataFrame, spec: PatternSpec, order_by: Sequence[str] = (T
         else:
             matches = _window_matches(df, spec, stages, keys, order_by, block_rows)
         if spec.strategy != "no_skip":
-            matches = _skip(matches, spec.strategy, keys, order_by)
+            matches = _skip(matches, spec.strategy, keys, order_by, block_rows)
     out = write_matches(matches, df.schema, spec)
     return out if spec.key_by else out.drop("_all")
 
@@ -83,21 +82,11 @@ def _window_matches(df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
     if all(s.kind in ("begin", "next", "notnext") for s in stages):
         blocks = sequence_blocks(df, keys, order_by, after=len(stages), block_rows=block_rows)
         return _look_ahead(blocks.df, df, spec, stages, keys, order_by, _Ahead(blocks.by, order_by))
-    if spec.within_seconds > 0:
-        blocks = sequence_blocks(df, keys, order_by, after_seconds=spec.within_seconds,
-                                 block_rows=block_rows)
-        return _look_ahead(blocks.df, df, spec, stages, keys, order_by, _Ahead(blocks.by, order_by))
-    # a match may span the whole key: long keys hand results from block to block
-    plain = _Ahead(keys, order_by)
-    hot = hot_keys(df, keys, block_rows)
-    if hot.isEmpty():
-        return _look_ahead(df.withColumn(OWN, F.lit(True)), df, spec, stages, keys, order_by, plain)
-    cold = df.join(hot, same_key(keys), "left_anti").withColumn(OWN, F.lit(True))
-    blocks = sequence_blocks(df.join(hot, same_key(keys), "left_semi"), keys,
-                             order_by, block_rows=block_rows)
-    return _look_ahead(cold, df, spec, stages, keys, order_by, plain).unionByName(
-        _look_ahead(blocks.df, df, spec, stages, keys, order_by,
-                    _AheadInBlocks(blocks.by, order_by)))
+    # a match may span any number of blocks: each learns what the blocks behind it offer
+    ranges = Ranges(df, keys, order_by, block_rows)
+    frame = df.withColumns({BLOCK: ranges.block(), OWN: F.lit(True)})
+    ahead = _AheadInBlocks(ranges) if ranges.cuts else _Ahead([*keys, BLOCK], order_by)
+    return _look_ahead(frame, df, spec, stages, keys, order_by, ahead)
 
 
 class _Ahead:
@@ -120,31 +109,37 @@ class _Ahead:
 class _AheadInBlocks(_Ahead):
     """The same across the blocks of a key.
 
-    A row first looks inside its block.  What a block offers to earlier rows is its
-    first qualifying row; from one row per block each block learns what the blocks behind it offer.
+    A row first looks inside its block.  What a block offers to earlier ones is its first
+    qualifying row of the key that runs on into it; one entry per block, read from the last
+    block back, says what lies behind each.  Only the entries are written, never the events.
     """
 
+    def __init__(self, ranges: Ranges):
+        super().__init__([*ranges.keys, BLOCK], ranges.order_by)
+        self.ranges = ranges
+        run, self.runs = 0, []
+        for number, cut in enumerate(ranges.cuts):
+            run += number > 0 and ranges.key_of(cut) != ranges.key_of(ranges.cuts[number - 1])
+            self.runs.append((number, run))
+
     def first(self, frame, name, cond, value):
-        keys = self.by[:-1]
-        # read twice, and the stages build on each other: write it once
-        frame = cut_lineage(frame.withColumns({"_hit": F.lit(True) if cond is None else cond,
-                                               "_val": F.struct(value.alias("v"))}))
-        position = F.struct(*self.order_by)
-        offered = frame.groupBy(*[F.col(c).alias(f"_b_{c}") for c in self.by]).agg(
-            F.min_by(F.when(F.col("_hit"), F.col("_val")), F.when(F.col("_hit"), position))
-            .alias("_offer"))
-        behind = Window.partitionBy(*[f"_b_{k}" for k in keys]).orderBy(F.col(f"_b_{BLOCK}").desc()) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        carried = offered.withColumn("_carry", F.last("_offer", ignorenulls=True).over(behind)) \
-            .drop("_offer")
+        ranges, hit = self.ranges, F.lit(True) if cond is None else cond
+        found = F.when(hit, F.struct(value.alias("v")))
+        offered = frame.where(ranges.continues(F.col(BLOCK) - 1) & hit) \
+            .groupBy((F.col(BLOCK) - 1).alias(BLOCK)).agg(F.min_by(found, ranges.place).alias("_offer"))
+        behind = Window.partitionBy("_run").orderBy(F.col(BLOCK).desc()) \
+            .rowsBetween(Window.unboundedPreceding, 0)
+        carried = cut_lineage(
+            ranges.spark.createDataFrame(self.runs, f"{BLOCK} int, _run int")
+            .join(offered, BLOCK, "left")
+            .select(BLOCK, F.last("_offer", ignorenulls=True).over(behind).alias("_carry")))
         w = Window.partitionBy(*self.by).orderBy(*[F.col(c).desc() for c in self.order_by]) \
             .rowsBetween(Window.unboundedPreceding, -1)
-        local = F.last(F.when(F.col("_hit"), F.col("_val")), ignorenulls=True).over(w)
-        match = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-                                                 for c in self.by])
-        return frame.withColumn("_local", local).join(carried, match) \
-            .withColumn(name, F.coalesce("_local", "_carry")["v"]) \
-            .drop("_hit", "_val", "_local", "_carry", *[f"_b_{c}" for c in self.by])
+        # one entry per block
+        return frame.withColumn("_local", F.last(found, ignorenulls=True).over(w)) \
+            .join(F.broadcast(carried), BLOCK, "left") \
+            .withColumn(name, F.coalesce("_local", F.when(
+                ranges.continues(F.col(BLOCK)), F.col("_carry")))["v"]).drop("_local", "_carry")
 
 
 def _look_ahead(frame: DataFrame, df: DataFrame, spec: PatternSpec, stages: Sequence[Stage],
@@ -288,10 +283,10 @@ def _distinct(partials: list) -> list:
 # -- skip strategies -----------------------------------------------------------------
 
 
-def _skip(matches: DataFrame, strategy: str, keys: list[str], order_by: Sequence[str]
-          ) -> DataFrame:
-    """CEP-12: walk a key's matches by first event and completion, keeping the last
-    kept match's resume point only."""
+def _skip(matches: DataFrame, strategy: str, keys: list[str], order_by: Sequence[str],
+          block_rows: int) -> DataFrame:
+    """CEP-12: of a key's matches by first event and completion, those that do not start
+    before the resume point of one kept before."""
     def at(index: Column) -> Column:
         return F.struct(*[F.element_at(EVENTS, index)[c].alias(f"o{j}")
                           for j, c in enumerate(order_by)])
@@ -301,7 +296,7 @@ def _skip(matches: DataFrame, strategy: str, keys: list[str], order_by: Sequence
     strict = strategy == "skip_past_last_event"
     from .skip import keep_by_resume_point
     marked = matches.withColumns({"_s": at(F.lit(1)), "_r": at(resume)})
-    return keep_by_resume_point(marked, keys, strict).drop("_s", "_r")
+    return keep_by_resume_point(marked, keys, strict, block_rows).drop("_s", "_r")
 
 
 # -- outputs -------------------------------------------------------------------------

@@ -30,6 +30,40 @@ def test_blocks_keep_every_row(rows):
     assert [len(a) for a in cut] == [60, 60, 60] and cut == whole
 
 
+def test_long_frames_over_many_blocks(spark):
+    """Frames over many blocks of a key, and over all rows without one: counts, sums, extremes."""
+    import random
+    rng = random.Random(5)
+    data, second = [], 0
+    for n in range(200):
+        second += rng.choice([0, 0, 1, 3, 40])
+        data.append((rng.choice("aaab"), n, START + dt.timedelta(seconds=second),
+                     rng.choice([None, rng.randrange(100)])))
+    rows = spark.createDataFrame(data, "k string, id long, at timestamp, v long")
+    aggs = {"n": F.count(F.lit(1)), "s": F.sum("v"), "low": F.min("v"), "top": F.max("v")}
+    for keys in (["k"], []):
+        got = sorted_rows(over_range(rows, keys, "at", 600, aggs, 9))
+        want = []
+        for k, i, at, v in data:
+            seen = [x[3] for x in data if (not keys or x[0] == k)
+                    and at - dt.timedelta(seconds=600) <= x[2] <= at]
+            some = [x for x in seen if x is not None]
+            want.append((k, i, at, v, len(seen), sum(some) if some else None,
+                         min(some, default=None), max(some, default=None)))
+        assert got == sorted(want, key=repr)
+
+
+def test_split_takes_one_scan_and_no_join(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for frame, most in (
+            (over_rows(events, ["user_id"], ["ts", "event_id"], 3, {"s": F.sum("value")}, 50), 1),
+            (running_total(events, [], ["ts", "event_id"], "value", "t", 50), 1),
+            (over_range(events, ["event_type"], "ts", 999_999, {"s": F.max("value")}, 50), 2)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == plan.count("Exchange hash") == most
+        assert "Join" not in plan
+
+
 def test_a_stored_row_without_version_is_replaced(spark):
     schema = "k long, ums_id_ long, ums_ts_ timestamp, {} , v string"
     stored = spark.createDataFrame([(1, None, START, 1, "old"), (2, None, START, 1, "stays")],

@@ -202,3 +202,23 @@ def test_refused():
     with pytest.raises(ValueError):
         PatternSpec.from_json(json.dumps({"pattern_seq": [{"pattern_type": "begin"}],
                                           "strategy": "whatever"}))
+
+
+@pytest.mark.parametrize("strategy", ["skip_past_last_event", "skip_to_first", "skip_to_last"])
+@pytest.mark.parametrize("shape", ["times", "relaxed", "mixed"])
+def test_skip_strategies_in_blocks(spark, strategy, shape):
+    """One key in blocks of seven, against a walk over all matches in order."""
+    events, stages = sample(31, n=70, keys=1), SHAPES[shape]
+    mine = sorted(e[:3] for e in events)
+    times = {e[1]: e[:2] for e in mine}
+    want, point = [], None
+    for m in sorted(definition(mine, stages, -1), key=lambda m: times[m[0]]):
+        taken = [times[i] for i in m]
+        if point is not None and (taken[0] <= point if strategy == "skip_past_last_event"
+                                  else taken[0] < point):
+            continue
+        want.append((0, m[0], m[-1], len(m), sum(m)))
+        resume = {"skip_past_last_event": taken[-1], "skip_to_first": taken[0],
+                  "skip_to_last": taken[1 if shape == "times" else 0]}[strategy]
+        point = resume if point is None else max(point, resume)
+    assert run(spark, events, stages, -1, strategy=strategy, block_rows=7) == sorted(want)

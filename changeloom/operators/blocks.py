@@ -215,40 +215,53 @@ def over_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], prece
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
-                 sums: dict[str, str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """WIN-02: per alias the sum of a column from a key's first row to the current one.
-
-    Each block sums its own rows and adds what its first key has in the blocks before it.  A
-    sum is null until a value came.  Whole numbers are summed as long, so a sum of ones is a
-    row's number in its key.
+                 sums: dict[str, str], block_rows: int = BLOCK_ROWS,
+                 totals: dict[str, str] | None = None) -> DataFrame:
+    """WIN-02: per alias the sum of a column from a key's first row to the current one, and
+    per alias of ``totals`` the sum over all rows of the key.
+
+    Each block sums its own rows and adds what its first key has in the blocks before it (for
+    totals also what its last key has in those behind it).  A sum is null until a value came.
+    Whole numbers are summed as long, so a sum of ones is a row's number in its key.
     """
-    columns = df.columns
+    columns, totals = df.columns, totals or {}
     df, keys = _keyed(df, keys)
     ranges = Ranges(df, keys, order_by, block_rows)
-    wide = {a: _wide(df.schema[c].dataType) for a, c in sums.items()}
-    values = {a: F.col(f"`{c}`").cast(wide[a]) for a, c in sums.items()}
-    placed = df.withColumn(BLOCK, ranges.block())
-    w = Window.partitionBy(*keys, BLOCK).orderBy(*order_by) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    run = {a: F.sum(v).over(w) for a, v in values.items()}
-    if ranges.cuts:
-        passed = {r[BLOCK]: r for r in placed.where(ranges.continues(F.col(BLOCK)))
-                  .groupBy(BLOCK).agg(*[F.sum(v).alias(a) for a, v in values.items()]).collect()}
-        carried, now = [None], dict.fromkeys(sums)
-        for number, cut in enumerate(ranges.cuts):
-            if not number or not _equal(ranges.key_of(cut), ranges.key_of(ranges.cuts[number - 1])):
-                now = dict.fromkeys(sums)
-            for a in sums if number in passed else ():
-                more = passed[number][a]
+    wide = {a: _wide(df.schema[c].dataType) for a, c in (sums | totals).items()}
+    values = {a: F.col(f"`{c}`").cast(wide[a]) for a, c in (sums | totals).items()}
+    placed, home = df.withColumn(BLOCK, ranges.block()), F.col(BLOCK)
+    w = Window.partitionBy(*keys, BLOCK)
+    up_to = w.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    out = {a: F.sum(v).over(up_to if a in sums else w) for a, v in values.items()}
+
+    def add(names: Sequence[str], step: int) -> None:
+        """Carry sums of the rows whose key runs on, block by block up (1) or down (-1)."""
+        blocks = len(ranges.cuts) + 1
+        carried_to = range(1, blocks) if step > 0 else range(blocks - 2, -1, -1)
+        here = {r[BLOCK]: r for r in placed.where(
+            ranges.continues(F.greatest(home, home + step) - 1)).groupBy(BLOCK)
+                .agg(*[F.sum(values[a]).alias(a) for a in names]).collect()}
+        carried, now, last = [None] * blocks, dict.fromkeys(names), None
+        for to in carried_to:
+            cut = ranges.key_of(ranges.cuts[min(to, to - step)])
+            if last is None or not _equal(cut, last):
+                now = dict.fromkeys(names)
+            last = cut
+            for a in names if to - step in here else ():
+                more = here[to - step][a]
                 now[a] = now[a] if more is None else more if now[a] is None else now[a] + more
-            carried.append(tuple(now.values()))
+            carried[to] = tuple(now.values())
         entry = F.get(ranges.entries(carried, T.StructType(
-            [T.StructField(a, wide[a]) for a in sums])), F.col(BLOCK))
-        mine = ranges.continues(F.col(BLOCK) - 1)
-        for a, c in run.items():
+            [T.StructField(a, wide[a]) for a in names])), home)
+        mine = ranges.continues(F.least(home, home - step))
+        for a in names:
             base = F.when(mine, entry[a])
-            run[a] = F.coalesce((base + c).cast(wide[a]), c, base)
-    return placed.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(a) for a, c in run.items()])
+            out[a] = F.coalesce((base + out[a]).cast(wide[a]), out[a], base)
+    if ranges.cuts:
+        add(list(wide), 1)
+        if totals:
+            add(list(totals), -1)
+    return placed.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(a) for a, c in out.items()])
 
 
 def _wide(dt: T.DataType) -> T.DataType:

@@ -2,7 +2,7 @@
 import datetime as dt
 
 import pytest
-from changeloom.operators.blocks import over_range, over_rows, running_total
+from changeloom.operators.blocks import over_range, over_rows, running_sums, running_total
 from changeloom.operators.changes import apply_changes
 from pyspark.sql import functions as F
 
@@ -53,6 +53,23 @@ def test_long_frames_over_many_blocks(spark):
         assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("size", [3, 9, 1000])
+def test_sums_and_totals_of_long_keys(rows, size):
+    data = [tuple(r) for r in rows.collect()]
+    got = running_sums(rows.withColumn("one", F.lit(1)), ["k"], ["at", "id"],
+                       {"n": "one", "s": "v"}, size, {"all": "v", "rows": "one"})
+    want = []
+    for k in {r[0] for r in data}:
+        mine = sorted((r for r in data if r[0] == k), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        values = [r[3] for r in mine]
+        total = [v for v in values if v is not None]
+        for n, r in enumerate(mine):
+            seen = [v for v in values[:n + 1] if v is not None]
+            want.append((*r, 1, n + 1, sum(seen) if seen else None,
+                         sum(total) if total else None, len(mine)))
+    assert sorted_rows(got) == sorted(want, key=repr)
+
+
 def test_split_takes_one_scan_and_no_join(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     for frame, most in (

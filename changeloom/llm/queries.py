@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import (chat, mixing, near_dups, packing, passages, quality, sharding,
-                            suffixes, topk, unigram)
+from changeloom.llm import (alignment, chat, mixing, near_dups, packing, passages, prefix_trie,
+                            quality, secrets, sharding, suffixes, topk, unigram)
 
 QUERIES = {}
 ORACLE = {}
@@ -262,3 +262,133 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = unigram.count_tokens(read(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+#: crc32 of a conversation's decimal id, bit by bit
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT],
+        list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)),
+    4294967295::UBIGINT)"""
+
+_OP11 = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, ({_CRC} % 6)::BIGINT AS h
+      FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT c.conv_id, p, role, text FROM c JOIN o ON o.conv_id = c.base AND p <= h
+  UNION ALL SELECT o.conv_id, p + 6, role, text FROM o JOIN c ON o.conv_id = c.conv_id AND p > h),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS depth,
+             count(*) OVER (PARTITION BY conv_id) AS n,
+             list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY p) AS path FROM r),
+k AS (
+  SELECT conv_id, depth, n, length(text) AS chars, md5(path::VARCHAR) AS node,
+         coalesce(lag(md5(path::VARCHAR)) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up FROM t
+  UNION ALL
+  SELECT c.conv_id, 0, coalesce(max(n), 0), 0, '', NULL FROM c LEFT JOIN t ON t.conv_id = c.conv_id
+  GROUP BY c.conv_id),
+nodes AS (
+  SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), ''))
+           AS ends_sha256 FROM k GROUP BY node, depth),
+kids AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes
+         WHERE depth > 0 GROUP BY ALL),
+-- a member saves its text at each node that a smaller member has too; a childless node counts
+-- for its smallest member
+v AS (
+  SELECT k.*, CASE WHEN k.conv_id = nodes.conv_id THEN 0 ELSE chars END AS saved,
+         (k.conv_id = nodes.conv_id AND n_children IS NULL)::INT AS leaf
+  FROM k JOIN nodes USING (node, depth) LEFT JOIN kids USING (node, depth)),
+s AS (
+  SELECT node, depth,
+         sum(saved) OVER (PARTITION BY conv_id ORDER BY depth DESC) AS saved,
+         sum(leaf) OVER (PARTITION BY conv_id ORDER BY depth DESC) AS leaves FROM v)
+SELECT nodes.conv_id, nodes.depth, parents.conv_id AS parent_conv_id, nodes.n_convs,
+       coalesce(n_children, 0) AS n_children, sum(leaves)::BIGINT AS n_leaves,
+       sum(saved)::BIGINT AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN s USING (node, depth) LEFT JOIN kids USING (node, depth)
+LEFT JOIN nodes parents ON parents.node = nodes.up AND parents.depth = nodes.depth - 1
+GROUP BY ALL"""
+
+
+@query("op11_prefix_trie", _OP11)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all conversations with borrowed beginnings."""
+    turns = read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "conv")
+    return prefix_trie.prefix_trie(*prefix_trie.share_heads(turns))
+
+
+def _found(kind: int, pattern: str, least: int = 0) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT row, {kind} AS kind, e - length(m) AS a, e, CASE WHEN {kind} = 0
+           THEN regexp_extract(m, '{pattern}', {2 if kind == 0 else 0}) ELSE m END AS value
+  FROM (SELECT row, m, sum(length(g) + length(m)) OVER (PARTITION BY row ORDER BY i) AS e
+        FROM (SELECT row, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m,
+                     unnest(string_split_regex(text, '{pattern}')) AS g,
+                     generate_subscripts(string_split_regex(text, '{pattern}'), 1) AS i FROM d)
+        WHERE m IS NOT NULL)
+  WHERE {kind} > 0 OR length(value) >= {least}"""
+
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, lang, coalesce(text, '') AS text
+           FROM documents),
+f AS ({" UNION ALL ".join([_found(0, secrets.ASSIGN, secrets.ASSIGN_LEAST),
+                           _found(1, secrets.ACCESS), _found(2, secrets.HEX),
+                           _found(3, secrets.OTHER)])}),
+v AS (
+  SELECT DISTINCT row, e - length(value) AS a, e, value FROM f
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND len(list_distinct(string_split(value, ''))) >= 6
+    AND (kind < 3 OR regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]'))),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners
+      FROM v JOIN d USING (row) GROUP BY value),
+live AS (SELECT row, 3 AS kind, a, e FROM v JOIN o USING (value) WHERE owners = 1),
+base AS (SELECT row, kind, a, e FROM f WHERE kind < 3),
+named AS (
+  SELECT row, kind, a, e, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || a::BIGINT::VARCHAR
+           || ':' || e::BIGINT::VARCHAR AS s
+  FROM (FROM base UNION ALL FROM live)),
+g AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+         count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live,
+         string_agg(s, ',' ORDER BY a, kind, e) FILTER (kind < 3) AS base,
+         string_agg(s, ',' ORDER BY a, kind, e) AS spans FROM named GROUP BY row),
+x AS (SELECT row, count(*) AS n_example FROM v JOIN o USING (value)
+      WHERE owners >= {secrets.EXAMPLE_OWNERS} GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (row) LEFT JOIN x USING (row)"""
+
+
+@query("op12_secret_scans", _OP12)
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in all documents; a source is an owner, its texts of a language a repository."""
+    docs = read(spark, sf_dir, "documents")
+    out = secrets.find_secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"),
+                               carry=["doc_id"])
+
+    def many(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return out.select(
+        "row.doc_id", *[many(k).alias(f"n_{name}") for k, name in
+                        enumerate(secrets.KINDS[:secrets.LIVE])],
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"), "n_live", "n_example")
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over all documents, linked where they end together."""
+    import public_tokenizers
+    out = alignment.align_tokenizers(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")

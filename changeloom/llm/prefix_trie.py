@@ -43,6 +43,9 @@ QUEUE_ROWS = 1 << 20
 ID_BLOCK = 1 << 12
 
 
+_MEMORY = -1
+
+
 class SpillingQueue:
     """A priority queue of tuples; beyond ``limit`` entries the heap goes to a sorted run.
 
@@ -54,15 +57,15 @@ class SpillingQueue:
         self.limit, self.heap, self.runs = limit, [], []
 
     def push(self, item: tuple) -> None:
-        heapq.heappush(self.heap, (item, None))
-        if len(self.heap) > self.limit:
+        heapq.heappush(self.heap, (item, _MEMORY))
+        if len(self.heap) > self.limit + len(self.runs):
             self._spill()
 
     def _spill(self) -> None:
         folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
         run = tempfile.TemporaryFile(dir=folder)
-        rows = sorted(item for item, source in self.heap if source is None)
-        heads = [entry for entry in self.heap if entry[1] is not None]
+        rows = sorted(item for item, source in self.heap if source == _MEMORY)
+        heads = [entry for entry in self.heap if entry[1] != _MEMORY]
         for at in range(0, len(rows), 4096):
             pickle.dump(rows[at:at + 4096], run)
         run.seek(0)
@@ -89,7 +92,7 @@ class SpillingQueue:
 
     def pop(self) -> tuple:
         item, source = heapq.heappop(self.heap)
-        if source is not None:
+        if source != _MEMORY:
             self._next(source)
         return item
 

@@ -5,6 +5,7 @@ Everything here works on one chunk of a few megabytes; Spark deals the chunks ou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,25 +73,33 @@ def word_spans(data: np.ndarray, begin: np.ndarray):
     return starts, ends, np.searchsorted(starts, begin)
 
 
-_powers = np.cumprod(np.full(64, 0x5851F42D4C957F2D, dtype=np.uint64))
+#: words up to so many bytes are hashed side by side, longer ones one by one
+_LONG_WORD = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
                 lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    global _powers
+    """A 64-bit hash of each word's bytes: eight bytes at a time are mixed into the length."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    length = ends - starts
-    if length.max() > len(_powers):
-        _powers = np.cumprod(np.full(int(length.max()), 0x5851F42D4C957F2D, dtype=np.uint64))
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    within = np.arange(int(first[-1] + length[-1])) - np.repeat(first, length)
-    raw = data[within + np.repeat(starts, length)]
     if lower:
-        raw = _LOWER[raw]
-    return mix(np.add.reduceat(BYTE_HASH[raw] * _powers[within], first)
-               + length.astype(np.uint64))
+        data = _LOWER[data]
+    length = ends - starts
+    out = mix(length.astype(np.uint64))
+    eight = np.lib.stride_tricks.sliding_window_view(
+        np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    at = np.flatnonzero(length <= _LONG_WORD)
+    begin, left = starts[at], length[at]
+    while len(at):
+        block = eight[begin].view("<u8")[:, 0] & _FIRST[np.minimum(left, 8)]
+        out[at] = mix(out[at] ^ block)
+        more = left > 8
+        at, begin, left = at[more], begin[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > _LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def window_hashes(symbols: np.ndarray, width: int) -> np.ndarray:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.session import cut_lineage
+
 #: a group of at least 1 / SHARE of a shard's bytes is a unit of its own
 SHARE = 500
 BUNDLES = 8192
@@ -80,9 +82,16 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
 def fewest_bytes(sizes: list[int], shards: int) -> list[int]:
     """Best fit decreasing with nearly the least capacity that needs only ``shards``.
 
-    Capacity mean + largest always does: were a size to fit nowhere, every shard would hold
-    more than the mean.
+    A size above the mean of the shards that are left has a shard of its own, so that it does
+    not set the capacity of the others.  Capacity mean + largest always does: were a size to
+    fit nowhere, every shard would hold more than the mean.
     """
+    alone, rest = 0, sum(sizes)
+    while alone < min(len(sizes), shards - 1) and sizes[alone] * (shards - alone) > rest:
+        rest -= sizes[alone]
+        alone += 1
+    if alone:
+        return [*range(alone), *[alone + s for s in fewest_bytes(sizes[alone:], shards - alone)]]
     if not sizes:
         return []
     low = max(-(-sum(sizes) // shards), sizes[0])
@@ -104,15 +113,17 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
 
     Size: UTF-8 bytes of the text plus ``extra``; null text counts as empty.  Rows of equal
     text share a shard, unless they fill more than one: then they are dealt, by a hash of
-    the id, into parts of about a quarter shard.  Repeated rows are rows of their own; fewer
-    rows than shards leave shards empty; no rows give no rows.
+    the row's number, into parts of about a quarter shard, whatever ids they share.  Repeated
+    rows are rows of their own; fewer rows than shards leave shards empty; no rows give no
+    rows.  The rows, numbered, are written to the shared folder once.
     """
     body = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    rows = docs.select(
+    rows = cut_lineage(docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
         docs[f"`{key}`"].alias("id"), F.unhex(F.md5(body)).alias("group"),
-        (F.octet_length(body) + extra).cast("long").alias("size"))
-    light = rows.select("id", "group", "size")
+        (F.octet_length(body) + extra).cast("long").alias("size"),
+        F.monotonically_increasing_id().alias("number")))
+    light = rows.select("number", "group", "size")
     groups = light.groupBy("group").agg(F.sum("size").alias("bytes"))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     fair = max(1, -(-total // shards))
@@ -126,7 +137,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         is_large = F.col("parts").isNotNull()
         return joined.withColumns({
             "unit": F.when(is_large, F.col("group")).otherwise(F.lit(b"")),
-            "part": F.when(is_large, F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")))
+            "part": F.when(is_large, F.pmod(F.xxhash64("number", F.lit(1)), F.col("parts")))
             .otherwise(F.pmod(F.xxhash64("group"), F.lit(BUNDLES)))}).drop("group", "parts")
     units = with_unit(light).groupBy("unit", "part").agg(
         F.sum("size").alias("bytes"), F.count("*").alias("n"))
@@ -139,18 +150,18 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
                                          ascending=[False, True, True])
         got["shard"] = fewest_bytes(got["bytes"].tolist(), shards)
         yield got[["unit", "part", "n", "shard"]]
-    placed = units.coalesce(1).mapInPandas(pack, "unit binary, part long, n long, shard int")
+    placed = units.repartition(1).mapInPandas(pack, "unit binary, part long, n long, shard int")
     placed = placed.withColumn("subs", F.floor(F.col("n") / NUMBERED) + 1).drop("n")
 
     def with_shard(frame: DataFrame) -> DataFrame:
         joined = with_unit(frame).join(F.broadcast(placed), ["unit", "part"])
-        return joined.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(2)), F.col("subs")))
+        return joined.withColumn("sub", F.pmod(F.xxhash64("number", F.lit(2)), F.col("subs")))
     counts = with_shard(light).groupBy("shard", "unit", "part", "sub").agg(
         F.count("*").alias("n"))
     order = Window.partitionBy("shard").orderBy("unit", "part", "sub")
     counts = counts.withColumn("base", F.sum("n").over(order) - F.col("n")).drop("n")
     numbered = with_shard(rows).join(counts, ["shard", "unit", "part", "sub"])
     slot = F.row_number().over(Window.partitionBy("shard", "unit", "part", "sub")
-                               .orderBy("id")) - 1
+                               .orderBy("id", "number")) - 1
     return numbered.select("row", "size", "shard",
                            (F.col("base") + slot).cast("long").alias("slot"))

@@ -341,3 +341,74 @@ def test_token_counts_equal_brute_force(spark, docs, rows):
     assert got == want
     assert unigram.cheapest(b"", costs, longest) == 0
     assert unigram.count_tokens(empty(spark), VOCABULARY).collect() == []
+
+
+def thue_morse(bits):
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12])
+def test_words_of_one_polynomial_hash_stay_apart(spark, bits):
+    """Two words that a polynomial in any odd base modulo 2^64 cannot tell from each other."""
+    from changeloom.llm import near_dups
+    from changeloom.llm.arrays import utf8, word_hashes, word_spans
+    one = thue_morse(bits)
+    other = one.translate(str.maketrans("ab", "ba"))
+    before, after = (" ".join(f"{c}{i}" for i in range(11)) for c in "xy")
+    texts = [f"{before} {w} {after}" for w in (one, other)] + [f"{w} {w} {w} {w} {w}" for w in (one, other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["id"]: r["n_removed"] for r in passages.remove_passages(docs.where("doc_id < 2")).collect()}
+    assert gone == {0: 0, 1: 0}
+    linked = near_dups.near_duplicates(docs.where("doc_id > 1")).collect()
+    assert {r["component_id"] for r in linked} == {2, 3}
+    data, begin = utf8(docs.toArrow().column("text"))
+    starts, ends, _ = word_spans(data, begin)
+    words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert len(set(word_hashes(data, starts, ends).tolist())) == len(set(words))
+
+
+def test_word_hashes_of_all_lengths():
+    from changeloom.llm.arrays import word_hashes
+    data = np.frombuffer(b"A" * 300 + b"a" * 300, np.uint8)
+    length = np.arange(1, 300)
+    for lower, distinct in ((False, 598), (True, 299)):
+        hashes = np.concatenate([word_hashes(data, np.full(299, s), s + length, lower) for s in (0, 300)])
+        assert len(np.unique(hashes)) == distinct
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r", "\xa0"])
+def test_packing_of_a_long_run_of_blanks(spark, blank):
+    from tokenizers import Tokenizer
+    text = "a" + blank * 1_000_000 + "<|endoftext|>b"
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    pieces = sorted((r["doc_id"], r["start"], r["ids"]) for r in packing.pack(docs, VOCABULARY).collect())
+    got = np.concatenate([np.frombuffer(ids, "<u4") for d, _, ids in pieces if d == 1])
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(
+        text, add_special_tokens=False).ids
+    assert got.tolist() == [*want, 1]
+
+
+def test_shards_beside_one_large_text(spark):
+    rows = [(0, "x" * 3_000_000)] + [(i, f"{i} " * 60) for i in range(1, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    loads = sorted(r["b"] for r in sharding.shard_by_bytes(docs, 24).groupBy("shard").agg(
+        F.sum("size").alias("b")).collect())
+    assert len(loads) == 24 and loads[-1] == 3_000_008
+    assert loads[-2] - loads[0] < 0.05 * loads[0]
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+def test_shards_of_equal_texts_under_one_id(spark, shared):
+    rows = [(shared, "the same text")] * 4000 + [(i, f"other text {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sharding.shard_by_bytes(docs, 8).select("shard", "slot", "size").collect()
+    loads = Counter()
+    slots = defaultdict(list)
+    for shard, slot, size in out:
+        loads[shard] += size
+        slots[shard].append(slot)
+    assert len(loads) == 8 and max(loads.values()) < 1.1 * min(loads.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(out) == 5000

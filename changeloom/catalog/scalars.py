@@ -211,7 +211,36 @@ def mth_02(spark, sf):
     return table(spark, sf, "events").select("event_id", scale_number("value").alias("thousandths"))
 
 
-@query("mth_03_shard_of")
+def _xx_sql(text: str, seed: int) -> str:
+    """64-bit xxHash of a text of less than 32 bytes, over DuckDB's 128-bit numbers."""
+    m = "18446744073709551616::UHUGEINT"
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (
+        11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579,
+        2870177450012600261))
+
+    def turn(x: str, r: int) -> str:
+        return f"list_reduce([{x}, 0::UHUGEINT], lambda t, z: (t * {2 ** r}::UHUGEINT) % {m} + t // {2 ** (64 - r)}::UHUGEINT)"
+
+    def number(at: str, width: int) -> str:
+        return (f"list_sum(list_transform(range({width}), lambda j: ord(substr({text}, ({at} + j + 1)::INT, 1))"
+                f"::HUGEINT * (1::HUGEINT << (8 * j))))::UHUGEINT")
+    eight = turn(f"({number('8 * k', 8)} * {p2}) % {m}", 31)
+    h = (f"list_reduce(list_concat([({seed} + {p5} + length({text})::UHUGEINT) % {m}], range(length({text}) // 8)::UHUGEINT[]), "
+         f"lambda h, k: ({turn(f'xor(h, ({eight} * {p1}) % {m})', 27)} * {p1} + {p4}) % {m})")
+    done = f"(length({text}) // 8 * 8)"
+    h = (f"list_reduce([{h}, 0::UHUGEINT], lambda h, z: CASE WHEN length({text}) % 8 >= 4 THEN "
+         f"({turn(f'xor(h, ({number(done, 4)} * {p1}) % {m})', 23)} * {p2} + {p3}) % {m} ELSE h END)")
+    h = (f"list_reduce(list_concat([{h}], range(length({text}) // 4 * 4, length({text}))::UHUGEINT[]), lambda h, k: "
+         f"({turn(f'xor(h, ({number('k', 1)} * {p5}) % {m})', 11)} * {p1}) % {m})")
+    return (f"list_reduce([{h}, {2 ** 33}::UHUGEINT, {2 ** 29}::UHUGEINT, {2 ** 32}::UHUGEINT], lambda h, r: "
+            f"xor(h, h // r) * CASE WHEN r = {2 ** 33} THEN {p2} WHEN r = {2 ** 29} THEN {p3} "
+            f"ELSE 1::UHUGEINT END % {m})")
+
+
+@query("mth_03_shard_of", f"""
+    WITH t AS (SELECT o_orderkey, o_orderkey::VARCHAR || '_' || o_custkey::VARCHAR AS s FROM orders),
+    h AS (SELECT o_orderkey, {_xx_sql('s', 0)} AS zero, {_xx_sql('s', 42)} AS own FROM t)
+    SELECT o_orderkey, CAST(zero % 8 AS INTEGER) AS shard, CAST(own % 8 AS INTEGER) AS native FROM h""")
 def mth_03(spark, sf):
     return table(spark, sf, "orders").select(
         "o_orderkey", shard_of(["o_orderkey", "o_custkey"], 8, native=False).alias("shard"),

@@ -1,15 +1,15 @@
 """Hashes whose values must equal those of other systems (STR-03, MTH-03).
 
 Spark's own ``hash`` and ``xxhash64`` use another seed.  Murmur3 is column arithmetic;
-the shard number goes by Spark's hash, where only an even spread matters, and by Arrow
-batches where it must equal another system's (``native=False``).
+xxHash with any seed is Spark's, given a constant that sets the seed.  The shard number goes
+by Spark's hash, where only an even spread matters, and by xxHash of seed 0 where it must
+equal another system's (``native=False``).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # Fixed values of 32-bit Murmur3 and of the string seed.
 _C1, _C2, _SEED = np.uint32(0xCC9E2D51), np.uint32(0x1B873593), np.uint32(0xF7CA7FD2)
@@ -82,6 +82,45 @@ def scala_string_hash(col: Column) -> Column:
     return F.coalesce(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h), F.lit(0).cast("long"))
 
 
+# Fixed values of 64-bit xxHash, and the seed of Spark's.
+_P1, _P2, _P3, _P4, _P5 = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                           0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_SPARK_SEED, _WIDE = 42, 1 << 64
+
+
+def _long_with_hash(wanted: int) -> int:
+    """The long whose xxHash under Spark's seed is ``wanted``.
+
+    The hash of one long is a chain of steps that can each be undone.
+    """
+    def undo_shift(x: int, r: int) -> int:
+        out = x
+        for _ in range(64 // r):
+            out = x ^ (out >> r)
+        return out
+
+    def undo_turn(x: int, r: int) -> int:
+        return (x >> r | x << (64 - r)) % _WIDE
+
+    def undo_times(x: int, factor: int) -> int:
+        return x * pow(factor, -1, _WIDE) % _WIDE
+    h = undo_shift(wanted % _WIDE, 32)
+    h = undo_shift(undo_times(h, _P3), 29)
+    h = undo_shift(undo_times(h, _P2), 33)
+    h = undo_turn(undo_times(h - _P4, _P1), 27) ^ (_SPARK_SEED + _P5 + 8) % _WIDE
+    out = undo_times(undo_turn(undo_times(h, _P1), 31), _P2)
+    return out - _WIDE if out >= _WIDE >> 1 else out
+
+
+def xx_hash64(col: Column, seed: int = 0) -> Column:
+    """64-bit xxHash of a text's UTF-8 bytes with any seed, as signed long; null for null.
+
+    Spark's ``xxhash64`` hashes each column with the hash of the one before as its seed, so a
+    constant whose hash is ``seed`` goes first.
+    """
+    return F.when(col.isNotNull(), F.xxhash64(F.lit(_long_with_hash(seed)).cast("long"), col))
+
+
 def shard_of(keys: list[Column | str], n: int, native: bool = True) -> Column:
     """MTH-03: 64-bit xxHash of the ``_``-joined key, modulo ``n``.
 
@@ -90,10 +129,7 @@ def shard_of(keys: list[Column | str], n: int, native: bool = True) -> Column:
     key = F.concat_ws("_", *[F.col(k) if isinstance(k, str) else k for k in keys])
     if native:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    @F.pandas_udf(T.IntegerType())
-    def shard(values: pd.Series) -> pd.Series:
-        import xxhash
-        return values.map(lambda s: xxhash.xxh64_intdigest(s.encode(), seed=0) % n).astype("int32")
-
-    return shard(key)
+    h = xx_hash64(key)
+    # the unsigned value, half by half
+    return ((F.shiftrightunsigned(h, 32) % F.lit(n) * F.lit((1 << 32) % n)
+             + h.bitwiseAND(F.lit(_MASK))) % F.lit(n)).cast("int")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeloom.functions.casts import convert_property, decimal_text, scale_number
-from changeloom.functions.hashes import murmur3_utf16, scala_string_hash, shard_of
+from changeloom.functions.hashes import murmur3_utf16, scala_string_hash, shard_of, xx_hash64
 from changeloom.functions.text import build_key, decrypt_col, padded_hash_mod, sub
 from changeloom.functions.times import (dated_name, day_id, month_id, normalize_ts, parse_ts,
                                         ts_not_before, week_id)
@@ -105,3 +105,17 @@ def test_decrypt(spark):
                                       ("20240103", "2024010203", True)])
 def test_not_before(spark, a, b, want):
     assert one(spark, ts_not_before("a", "b"), a=a, b=b) is want
+
+
+def test_xx_hash_of_all_lengths_and_seeds(spark):
+    xxhash = pytest.importorskip("xxhash")
+    texts = ["".join(chr(33 + (i * 7 + n) % 90) for i in range(n)) for n in range(0, 140)] + [
+        "é漢字🙂" * 9, "\x00", "\x7f" * 33]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "s string")
+    for seed in (0, 42, (1 << 64) - 3):
+        got = [r[0] for r in df.select(xx_hash64(F.col("s"), seed)).collect()]
+        want = [xxhash.xxh64_intdigest(t.encode(), seed=seed) for t in texts]
+        assert got == [w - (1 << 64) if w >= 1 << 63 else w for w in want] + [None]
+    for n in (1, 7, 1000, 2 ** 31 - 1):
+        got = [r[0] for r in df.where("s is not null").select(shard_of(["s"], n, native=False)).collect()]
+        assert got == [xxhash.xxh64_intdigest(t.encode(), seed=0) % n for t in texts]

@@ -174,17 +174,18 @@ def srt_02(spark, sf):
                        order_by=["o_totalprice desc", "o_orderkey"], limit=50, max_rows=200)
 
 
-@query("stm_14_heartbeat_stats", f"""{W}
-    SELECT namespace, CAST(0 AS BIGINT) AS n, max(ums_ts_) AS ums_ts_ FROM (
-      SELECT value1 || '_' || CAST(k AS VARCHAR) AS namespace, ums_ts_, ums_op_ FROM changes) t
-    WHERE ums_op_ = 'd' AND namespace NOT IN (SELECT value1 || '_' || CAST(k AS VARCHAR) FROM changes
-      WHERE ums_op_ <> 'd' AND value2 > 60) GROUP BY namespace""")
+@query("stm_14_heartbeat_stats", f"""{W}, n AS (
+      SELECT value1 || '_' || CAST(k AS VARCHAR) || '_' || strftime(ums_ts_, '%Y%m%d') AS namespace, ums_ts_, ums_op_
+      FROM changes)
+    SELECT namespace, CAST(0 AS BIGINT) AS n, max(ums_ts_) AS ums_ts_ FROM n
+    WHERE ums_op_ = 'd' AND namespace NOT IN (SELECT namespace FROM n WHERE ums_op_ <> 'd') GROUP BY namespace""")
 def stm_14(spark, sf):
+    # deletes stand for heartbeats, all other rows for data
     c = changes(spark, sf).withColumn("namespace", F.concat_ws(
-        "_", "value1", F.col("k").cast("string")))
+        "_", "value1", F.col("k").cast("string"), F.date_format("ums_ts_", "yyyyMMdd")))
     beats = c.withColumn("protocol", F.when(F.col("ums_op_") == "d", "data_increment_heartbeat")
                          .otherwise("data_increment_data"))
-    return heartbeat_stats(beats, c.filter("ums_op_ <> 'd' AND value2 > 60"))
+    return heartbeat_stats(beats, c.filter("ums_op_ <> 'd'"))
 
 
 @query("stm_17_error_records", f"""{W}

@@ -146,15 +146,25 @@ def jon_12(spark, sf):
         .select("ums_id_", "o_orderkey")
 
 
-@query("jon_14_stream_join_batch", f"""{W},
-    l AS (SELECT * FROM changes),
-    r AS (SELECT * FROM changes WHERE ums_op_ = 'd'
-          AND ums_ts_ >= (SELECT min(ums_ts_) FROM l) - INTERVAL 86400 SECOND)
-    SELECT l.ums_id_, r.ums_id_ AS gone_id FROM l LEFT JOIN r ON l.k = r.k""")
+#: of one log joined to itself: rows of a key at most so many seconds apart
+NEAR_SECONDS = 172_800
+NEAR_SQL = f"""{W} SELECT l.ums_id_, r.ums_id_ AS other_id FROM changes l JOIN changes r ON l.k = r.k
+      AND r.ums_ts_ >= l.ums_ts_ - INTERVAL {NEAR_SECONDS} SECOND
+      AND r.ums_ts_ <= l.ums_ts_ + INTERVAL {NEAR_SECONDS} SECOND"""
+
+
+@query("jon_14_stream_join_batch", NEAR_SQL)
 def jon_14(spark, sf):
     c = changes(spark, sf)
-    return stream_join(c, c.filter("ums_op_ = 'd'"), [("k", "k")], 86400, "left",
-                       columns={"ums_id_": "gone_id"}).select("ums_id_", "gone_id")
+    return stream_join(c, c, [("k", "k")], NEAR_SECONDS, columns={"ums_id_": "other_id"}) \
+        .select("ums_id_", "other_id")
+
+
+@query("jon_14_stream_join_hot_keys", NEAR_SQL.replace(" JOIN ", " LEFT JOIN "))
+def jon_14_hot(spark, sf):
+    c = changes(spark, sf)
+    return stream_join(c, c, [("k", "k")], NEAR_SECONDS, "left", columns={"ums_id_": "other_id"},
+                       hot_rows=3).select("ums_id_", "other_id")
 
 
 @query("jon_15_multi_stream_join", """
@@ -249,8 +259,7 @@ def set_02(spark, sf):
 
 
 @query("set_03_sql_union", """
-    SELECT user_id AS who FROM events WHERE event_type = 'purchase' UNION SELECT o_custkey FROM orders""")
+    SELECT user_id AS who FROM events UNION SELECT o_custkey FROM orders""")
 def set_03(spark, sf):
     return sql_step(table(spark, sf, "events"), """
-        SELECT user_id AS who FROM events WHERE event_type = 'purchase'
-        UNION SELECT o_custkey FROM orders""", "events", {"orders": table(spark, sf, "orders")})
+        SELECT user_id AS who FROM events UNION SELECT o_custkey FROM orders""", "events", {"orders": table(spark, sf, "orders")})

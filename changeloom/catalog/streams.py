@@ -12,6 +12,7 @@ from ..streaming.run import drain
 from ..streaming.state import match_pattern_stream, running_agg, running_over
 from ..streaming.windows import key_by, window_agg, with_event_time
 from .base import SQL_CHANGES, changes, query, table
+from .joins import NEAR_SECONDS, NEAR_SQL
 from .patterns import is_
 
 W = "WITH " + SQL_CHANGES
@@ -177,14 +178,11 @@ def jon_13(spark, sf):
         .select("ums_id_", "k", "c_name")
 
 
-@query("jon_14_stream_join_stream", f"""{W}
-    SELECT l.ums_id_, r.ums_id_ AS other_id FROM changes l JOIN changes r ON l.k = r.k AND r.value1 = 'purchase'
-      AND r.ums_ts_ >= l.ums_ts_ - INTERVAL 3600 SECOND AND r.ums_ts_ <= l.ums_ts_ + INTERVAL 3600 SECOND""")
+@query("jon_14_stream_join_stream", NEAR_SQL)
 def jon_14_stream(spark, sf):
     left, right = event_stream(spark, sf, 3600), event_stream(spark, sf, 3600)
-    out = stream_join(left, right.filter("value1 = 'purchase'"), [("k", "k")], 3600,
-                      columns={"ums_id_": "other_id"})
-    return drain(out).select("ums_id_", "other_id")
+    return drain(stream_join(left, right, [("k", "k")], NEAR_SECONDS,
+                             columns={"ums_id_": "other_id"})).select("ums_id_", "other_id")
 
 
 @query("cep_01_pattern_stream", f"""{W}, e AS (SELECT k, ums_id_, ums_ts_, value1, lead(value1) OVER w AS nx, lead(ums_id_) OVER w AS id_next, lead(ums_ts_) OVER w AS t_next

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import parse_ts
 from ..model import ACTIVE, BEFORE, DELETE, ID, OP, TS, UID
+from ..session import cut_lineage
 
 SKIP = "skip"
 
@@ -159,8 +160,9 @@ def apply_split(df: DataFrame, master: DataFrame, meta: DataFrame, keys: Sequenc
     """CDC-08, SNK-03: master and version table after a split-table write.
 
     Deletes are physical in the master; the version table keeps id, time and flag.
+    The plan is written once, and both tables are built on it.
     """
-    plan = plan_split_upsert(df, master, meta, keys).filter(F.col("action") != SKIP)
+    plan = cut_lineage(plan_split_upsert(df, master, meta, keys).filter(F.col("action") != SKIP))
     live = plan.filter(F.col(OP).isin("i", "u"))
     kept = master.join(plan.select(*keys), list(keys), "left_anti")
     columns = master.columns

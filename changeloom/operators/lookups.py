@@ -10,7 +10,7 @@ import functools
 import operator
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.casts import try_cast_ums
 from ..functions.text import build_key, json_path
@@ -103,31 +103,65 @@ def kv_lookup(df: DataFrame, kv: DataFrame, key: str | Column, fields: Mapping[s
     return joined.select(*df.columns, *out)
 
 
+#: pairs of key and time bucket with more left rows than this are spread over several tasks
+HOT_ROWS = 100_000
+SALTS = 16
+
+
 def stream_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
                 retention_seconds: int, how: str = "inner", left_ts: str = "ums_ts_",
-                right_ts: str = "ums_ts_", columns: Mapping[str, str] | None = None) -> DataFrame:
+                right_ts: str = "ums_ts_", columns: Mapping[str, str] | None = None,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """JON-14: join to a second change stream whose rows are retained for a while.
 
-    A right row takes part while it is at most ``retention_seconds`` older than the
-    left side's minimum event time, as in one micro-batch of the left stream.  Batch
-    frames take that minimum over the whole left side; streaming frames use the
-    row's own event time and need watermarks on both sides.
+    Rows of equal keys meet when their event times lie at most ``retention_seconds`` apart,
+    on batch frames as on streams; streams need watermarks on both sides.  ``how`` is inner
+    or left.
+
+    A batch joins on key and time bucket: buckets are twice the retention wide, a left row is
+    in one and a right row in the two it can reach, so rows far apart in time never meet.  A
+    bucket of a key with more than ``hot_rows`` left rows (there are at most left rows /
+    ``hot_rows`` of those) is dealt into ``SALTS`` parts, and its right rows go to each.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"stream_join is inner or left, not {how!r}")
     picked = columns or {c: c for c in right.columns if c not in set(df_low(left))}
-    r = right.select(*[F.col(l).alias(f"_l{i}") for i, (_, l) in enumerate(on)],
+    keys = [f"_l{i}" for i in range(len(on))]
+    r = right.select(*[F.col(l).alias(k) for k, (_, l) in zip(keys, on)],
                      F.col(right_ts).alias("_rts"), *[F.col(c).alias(a) for c, a in picked.items()])
-    keep = F.make_dt_interval(secs=F.lit(retention_seconds))
-    cond = functools.reduce(operator.and_, [F.col(s) == F.col(f"_l{i}")
-                                            for i, (s, _) in enumerate(on)])
+    interval = F.expr(f"INTERVAL {int(retention_seconds)} SECONDS")
+    cond = functools.reduce(operator.and_, [F.col(s) == F.col(k) for k, (s, _) in zip(keys, on)])
+    cond = cond & (F.col("_rts") >= F.col(left_ts) - interval) \
+        & (F.col("_rts") <= F.col(left_ts) + interval)
     if left.isStreaming or right.isStreaming:
-        interval = F.expr(f"INTERVAL {int(retention_seconds)} SECONDS")
-        cond = cond & (F.col("_rts") >= F.col(left_ts) - interval) \
-            & (F.col("_rts") <= F.col(left_ts) + interval)
-    else:
-        # one value, computed by its own aggregate and compared in the right side's scan
-        oldest = left.agg(F.min(left_ts).alias("t")).select(F.col("t") - keep).scalar()
-        r = r.filter(F.col("_rts") >= oldest)
-    return left.join(r, cond, how).select(*left.columns, *picked.values())
+        return left.join(r, cond, how).select(*left.columns, *picked.values())
+
+    width = 2 * max(int(retention_seconds), 1) * 1_000_000
+
+    def bucket(time: Column, shift: int = 0) -> Column:
+        return F.floor((F.unix_micros(time.cast("timestamp")) + shift) / width)
+    placed = left.withColumn("_bucket", bucket(F.col(left_ts)))
+    hot = placed.groupBy(*[F.col(s).alias(f"_h{i}") for i, (s, _) in enumerate(on)],
+                         F.col("_bucket").alias("_hb")).count().where(F.col("count") > hot_rows) \
+        .select(*[f"_h{i}" for i in range(len(on))], "_hb", F.lit(True).alias("_hot"))
+
+    own = [F.col(f"`{f.name}`") for f in left.schema.fields
+           if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+    def mark(frame: DataFrame, names: Sequence[str]) -> DataFrame:
+        same = [F.col(n) == F.col(f"_h{i}") for i, n in enumerate(names)] + [
+            F.col("_bucket") == F.col("_hb")]
+        return frame.join(F.broadcast(hot), same, "left")
+    placed = mark(placed, [s for s, _ in on]).withColumn("_salt", F.when(
+        F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0))
+    reach = int(retention_seconds) * 1_000_000
+    r = r.withColumn("_bucket", F.explode(F.array_distinct(F.array(
+        bucket(F.col("_rts"), -reach), bucket(F.col("_rts"), reach)))))
+    r = mark(r, keys).withColumn("_rsalt", F.explode(F.when(
+        F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))) \
+        .withColumnRenamed("_bucket", "_rb").drop("_hot", "_hb", *[f"_h{i}" for i in range(len(on))])
+    meet = cond & (F.col("_bucket") == F.col("_rb")) & (F.col("_salt") == F.col("_rsalt"))
+    return placed.join(r, meet, how).select(*left.columns, *picked.values())
 
 
 def df_low(df: DataFrame) -> list[str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -18,14 +20,14 @@ _NO_CELL = "\x00"
 
 
 def write_archive(df: DataFrame, path: str, key_col: str = "key", value_col: str = "value",
-                  max_records: int = 1_000_000, mode: str = "append") -> None:
+                  max_records: int = 1_000_000, mode: str = "append", writers: int = 8) -> None:
     """SNK-09: raw messages by table name, version, shards and protocol.
 
     Messages that do not decode go to ``status=wrong``.  ``min_ts`` / ``max_ts`` hold
     each message's event-time range; parquet keeps their file and row-group bounds, so
-    they are the manifest.  Files roll by ``max_records``.  Rows are spread over
-    several writers per folder, so a table that holds most of the stream does not end
-    in one task.
+    they are the manifest.  Files roll by ``max_records`` and are in order of time.  Rows go
+    to at most ``writers`` tasks per folder, so a folder gets few files, and a table that
+    holds most of the stream does not end in one task.
     """
     m = classify_messages(df.select(F.col(key_col).alias("key"), F.col(value_col).alias("value")),
                           "key", "value")
@@ -44,6 +46,8 @@ def write_archive(df: DataFrame, path: str, key_col: str = "key", value_col: str
         F.when(F.coalesce(ok, F.lit(False)), RIGHT).otherwise(WRONG).alias("status"),
         *[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(n) for n, i in names.items()],
         "protocol")
+    writer = F.pmod(F.xxhash64("key", "value"), F.lit(writers))
+    out = out.repartition(*PARTITIONS, writer).sortWithinPartitions(*PARTITIONS, "min_ts")
     out.write.mode(mode).partitionBy(*PARTITIONS).option("maxRecordsPerFile", max_records) \
         .parquet(path)
 
@@ -56,14 +60,19 @@ def archive_manifest(spark, path: str) -> DataFrame:
              F.count(F.lit(1)).alias("n"))
 
 
-def latest_version(archive: DataFrame) -> DataFrame:
+def latest_version(archive: DataFrame, folders: Mapping[str, Sequence[str]] | None = None
+                   ) -> DataFrame:
     """SRC-16: the messages of the numerically highest version.
 
-    The version is a folder name, so the maximum reads file listings only; it is found
-    first, and the scan then prunes to that folder.
+    The version is a folder name, so the highest is found among the names of the archive's
+    files, which Spark has listed already; no file is read for it.  ``folders`` are the
+    other folders in which the files may lie.
     """
-    top = archive.agg(F.max(F.col("version").try_cast("long")).alias("v")).first()["v"]
-    return archive.filter(F.col("version").try_cast("long") == top) if top is not None \
+    inside = [[f"/{name}={value}/" for value in values] for name, values in (folders or {}).items()]
+    versions = {int(found[1]) for file in map(unquote, archive.inputFiles())
+                if (found := re.search(r"/version=(\d+)/", file)) 
+                and all(any(f in file for f in some) for some in inside)}
+    return archive.filter(F.col("version").try_cast("long") == max(versions)) if versions \
         else archive.limit(0)
 
 
@@ -90,7 +99,11 @@ def read_archive(spark, path: str, namespace: str, fields: Sequence[Field],
                          ("table_partition", ns.table_partition)):
         if part != "*":
             a = a.filter(F.col(column) == part)
-    a = latest_version(a) if ns.version == "*" else a.filter(F.col("version") == ns.version)
+    inside = {"status": [RIGHT], "system": [ns.system], "instance": [ns.instance],
+              "db": [ns.database], "tab": [ns.table], "protocol": protocols} | {
+        c: [p] for c, p in (("db_partition", ns.db_partition),
+                            ("table_partition", ns.table_partition)) if p != "*"}
+    a = latest_version(a, inside) if ns.version == "*" else a.filter(F.col("version") == ns.version)
     low = parse_ts(F.lit(start)) if start else None
     high = parse_ts(F.lit(end)) if end else None
     if low is not None and high is not None:

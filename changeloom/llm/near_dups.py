@@ -120,6 +120,9 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(_SETS, digests, binaries(flat, begin), long)
 
 
+#: partners that a set offers in the first round; four times as many in each further one
+FIRST_RANKS = 8
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -145,14 +148,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_linked(percent), "a long, b long")
 
 
-def _across(group: pa.Table, percent: int, agree: tuple[int, int]
-            ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group that lie in different components and may be similar enough.
+def _across(group: pa.Table, percent: int, agree: tuple[int, int], ranks: tuple[int, int]
+            ) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of one group that lie in different components and may be similar enough, and
+    whether there are more of later ranks.
 
-    Rows are ordered by size, so each is compared with a run of rows behind it.  A pair is
-    given out only in the first band that it agrees on.
+    Rows are ordered by size, so each is compared with a run of rows behind it, and those that
+    may be similar enough are ranked by sketch, whatever their components; only those of the
+    given ranks are given out.  A pair belongs to the first band that it agrees on.
     """
-    group = group.sort_by("n_shingles")
+    group = group.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
     node, label, size, block = (group[c].to_numpy() for c in
                                 ("node", "label", "n_shingles", "block"))
     band = group["band"][0].as_py()
@@ -161,25 +166,33 @@ def _across(group: pa.Table, percent: int, agree: tuple[int, int]
                    for c, t in (("low", np.uint32), ("long", np.uint8)))
     start = np.ascontiguousarray(long[:, :COORDS])
     mixed = group["low_block"][0].as_py() != group["high_block"][0].as_py()
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def plausible(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = at[(start[at] == start[i]).sum(axis=1) >= agree[0]]
+        at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
+        alike = (long[at] == long[i]).sum(axis=1)
+        return at[alike >= agree[1]], alike[alike >= agree[1]]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(node[:0], node[:0])]
+    more = False
     for i in range(len(node) - 1):
-        run = slice(i + 1, ends[i])
-        other = label[run] != label[i]
+        run = np.arange(i + 1, ends[i])
         if mixed:
-            other &= block[run] != block[i]
-        at = np.flatnonzero(other) + i + 1
-        if len(at):
-            at = at[(start[at] == start[i]).sum(axis=1) >= agree[0]]
-            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
-            at = at[(long[at] == long[i]).sum(axis=1) >= agree[1]]
-            found.append((np.full(len(at), i), at))
-    if not found:
-        return node[:0], node[:0]
-    a, b = (node[np.concatenate(x)] for x in zip(*found))
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _candidates(percent: int, agree: tuple[int, int]):
+            run = run[block[run] != block[i]]
+        # most rows have nobody across, so those are looked for first
+        if not len(plausible(i, run[label[run] != label[i]])[0]):
+            continue
+        at, alike = plausible(i, run)
+        at = at[np.lexsort((node[at], -alike))]
+        more = more or bool((label[at[ranks[1]:]] != label[i]).any())
+        at = at[ranks[0]:ranks[1]]
+        at = at[label[at] != label[i]]
+        found.append((np.full(len(at), node[i]), node[at]))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return np.minimum(a, b), np.maximum(a, b), more
+
+
+def _candidates(percent: int, agree: tuple[int, int], ranks: tuple[int, int]):
+    """Pairs of every group; a pair of nulls says that there are more."""
     keys = ["bucket", "low_block", "high_block"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +203,10 @@ def _candidates(percent: int, agree: tuple[int, int]):
             change = np.flatnonzero(np.any([np.diff(x) != 0 for x in ids], axis=0)) + 1
             cuts = [0, *change.tolist(), len(rows)]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                yield table(_LINKS, *_across(rows.slice(a, b - a), percent, agree))
+                left, right, more = _across(rows.slice(a, b - a), percent, agree, ranks)
+                yield table(_LINKS, left, right)
+                if more:
+                    yield table(_LINKS, [None], [None])
         for batch in batches:
             held.append(batch)
             rows = pa.Table.from_batches(held)
@@ -250,6 +266,22 @@ def _grouped(texts: DataFrame, percent: int, agree: tuple[int, int], block: int
     pairs = members.where("node <> center").select(
         F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(verified(pairs, sets, percent))
+    # in rounds, so that the pairs of a large group are in proportion to its members: most of
+    # them lie in one component before they are asked for
+    ranks = (0, FIRST_RANKS)
+    while True:
+        plausible = cut_lineage(_plausible(members, sets, labels, percent, agree, block, ranks))
+        labels = components(verified(plausible.where("a IS NOT NULL"), sets, percent), labels)
+        if plausible.where("a IS NULL").isEmpty():
+            break
+        ranks = (ranks[1], 4 * ranks[1])
+    return sketches, nodes.join(labels, "node", "left").select(
+        "digest", F.coalesce("label", "node").alias("label"), "none", "id", "same")
+
+
+def _plausible(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
+               agree: tuple[int, int], block: int, ranks: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b) of unlike labels that share a bucket, of the given ranks."""
     members = members.select("bucket", "band", "node").join(labels, "node", "left").select(
         "bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     split = members.groupBy("bucket").agg(F.min("label").alias("least"),
@@ -266,11 +298,8 @@ def _grouped(texts: DataFrame, percent: int, agree: tuple[int, int], block: int
         F.greatest("block", "with").alias("high_block"))
     dealt = dealt.join(sets.select("node", "n_shingles", "low", "long"), "node")
     keys = ["bucket", "low_block", "high_block"]
-    plausible = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        _candidates(percent, agree), "a long, b long")
-    labels = components(verified(plausible, sets, percent), labels)
-    return sketches, nodes.join(labels, "node", "left").select(
-        "digest", F.coalesce("label", "node").alias("label"), "none", "id", "same")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _candidates(percent, agree, ranks), "a long, b long")
 
 
 def _of_rows(frame: DataFrame, key: str, same: str, wanted: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 import math
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
-from changeloom.llm import suffixes
+from changeloom.llm import near_dups, suffixes
 from changeloom.llm.near_dups import (AGREE, BANDS, COORDS, LONG, PERCENT, ROWS, keep_one,
                                       near_duplicates, sketch)
 
@@ -141,3 +142,28 @@ def test_sketch_fills_and_estimates():
     assert 0.6 < alike < 0.9
     one = sketch(both[:1])
     assert len(np.unique(one)) > 100 and one.max() < np.iinfo(np.uint64).max
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_pairs_of_a_large_group_are_in_proportion_to_its_members(spark, monkeypatch, block):
+    """Copies of one text, about 0.65 to 0.8 alike: far fewer pairs are checked than there are."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 2, 3])):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    checked = []
+    verified = near_dups.verified
+
+    def counted(pairs, sets, percent):
+        checked.append(pairs.count())
+        return verified(pairs, sets, percent)
+    monkeypatch.setattr(near_dups, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = answer(near_duplicates(docs, block=block))
+    assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows).items()}
+    # of 79,800; a set has so many first ranks in each pair of blocks
+    assert sum(checked) < (40 if block == 4096 else 60) * len(rows)

@@ -10,9 +10,10 @@ one anchor make a piece; about one piece starts every ``(width - gram) / 2`` sym
 3. what is left is cut out of its text and dealt by hash, and a resolver decides each group.
 
 Within a chunk of texts equal pieces are settled at once and one of them goes on, so a
-passage that a third of all texts share travels once per chunk.  A hash with more than
-``group_limit`` pieces is hot: its windows travel one by one as 128-bit hashes, each for
-itself, so that no group is larger than the limit or the number of chunks.
+passage that a third of all texts share travels once per chunk; what is settled leaves the
+task as one row of merged spans per text.  A hash with more than ``group_limit`` pieces is
+hot: its windows travel one by one as 128-bit hashes, sorted, and are decided in passing, so
+that no group larger than the limit is held.  A resolver's spans are merged per text, too.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from changeloom.llm.arrays import (BYTE_HASH, chunks, inside_texts, mix, table,
 GROUP_LIMIT = 50_000
 #: pieces that are resolved at once, if their groups are small
 AT_ONCE = 4_000
+#: spans that a task merges by text before they leave it
+SPANS_HELD = 200_000
 PLACE = 24
-#: kinds of rows: settled already, piece, window of a hot hash
+#: kinds of rows: spans of a text that are settled, piece, window of a hot hash
 SETTLED, PIECE, WINDOW = 0, 1, 2
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -94,7 +97,8 @@ def pieces(symbols: np.ndarray, begin: np.ndarray, width: int, gram: int):
 
 _PLACES = pa.schema([("hash", pa.int64()), ("digest", pa.binary()), ("place", pa.int64())])
 _ROWS = pa.schema([("hash", pa.int64()), ("kind", pa.int32()), ("piece", pa.binary()),
-                   ("digest", pa.binary()), ("id", pa.int64()), ("place", pa.int64())])
+                   ("digest", pa.binary()), ("id", pa.int64()), ("place", pa.int64()),
+                   ("done", pa.bool_())])
 _SPANS = pa.schema([("digest", pa.binary()), ("spans", pa.binary())])
 
 
@@ -119,6 +123,43 @@ def _window_key(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return one, window_hashes(mix(hashed(symbols) ^ np.uint64(0xABCDEF)), width)
 
 
+class Spans:
+    """Spans of many texts, merged where they meet."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, digest: bytes, pairs: np.ndarray) -> None:
+        """``pairs``: first symbol and end, one after the other."""
+        pairs = pairs.reshape(-1, 2)
+        if len(pairs):
+            owner = self.number.setdefault(digest, len(self.number))
+            self.parts.append((np.full(len(pairs), owner), pairs))
+            self.held += len(pairs)
+
+    def taken(self) -> tuple[list[bytes], list[bytes]]:
+        """Digests and packed spans, one entry per text; nothing is left behind."""
+        if not self.parts:
+            return [], []
+        owner = np.concatenate([p[0] for p in self.parts])
+        pairs = np.concatenate([p[1] for p in self.parts])
+        order = np.lexsort((pairs[:, 0], owner))
+        owner, pairs = owner[order], pairs[order]
+        # texts lie one behind the other, far apart
+        line = pairs + (owner << 42)[:, None]
+        reach = np.maximum.accumulate(line[:, 1])
+        first = np.flatnonzero(np.concatenate(([True], line[1:, 0] > reach[:-1])))
+        last = np.append(first[1:], len(line)) - 1
+        base = owner[first] << 42
+        out = np.stack([line[first, 0] - base, reach[last] - base], 1)
+        cuts = np.flatnonzero(np.diff(owner[first])) + 1
+        digests = list(self.number)
+        self.__init__()
+        return digests, [part.tobytes() for part in np.split(out, cuts)]
+
+
 def _cut_out(symbols: Symbols, width: int, earliest: bool):
     """Pieces of texts, equal ones of a chunk once; ``earliest``: the first one goes on."""
     def order(id_, digest, place):
@@ -154,76 +195,83 @@ def _cut_out(symbols: Symbols, width: int, earliest: bool):
                             key = int(ones[0][c:c + 1].view(np.int64)[0])
                             seen.setdefault((key, WINDOW, piece), []).append(
                                 (ids[i], digests[i], ((place >> 16) + c) << 16 | 1 << 8))
-                rows = []
+                rows, settled = [], Spans()
+                ends: dict[bytes, list[int]] = {}
                 for (key, kind, piece), places_ in seen.items():
-                    if len(places_) > 1:
+                    several = len(places_) > 1
+                    if several:
                         if earliest:
                             places_.sort(key=lambda p: order(*p))
                         # the first of them goes on; in the byte form it is settled as well
-                        for id_, digest, place in places_[1 if earliest else 0:]:
-                            rows.append((int.from_bytes(digest[:7], "little"), SETTLED, None,
-                                         digest, id_, place))
-                    rows.append((key, kind, piece, *places_[0][1::-1], places_[0][2]))
+                        for _, digest, place in places_[1 if earliest else 0:]:
+                            ends.setdefault(digest, []).extend(
+                                (place >> 16, (place >> 16) + (place >> 8 & 255) - 1 + width))
+                    id_, digest, place = places_[0]
+                    rows.append((key, kind, piece, digest, id_, place, several and not earliest))
+                for digest, pairs in ends.items():
+                    settled.add(digest, np.array(pairs, np.int64))
+                for digest, spans in zip(*settled.taken()):
+                    rows.append((int.from_bytes(digest[:7], "little"), SETTLED, spans, digest,
+                                 None, 0, False))
                 if rows:
                     yield table(_ROWS, *zip(*rows))
     return of
 
 
-def spans_of(marks: np.ndarray, width: int) -> bytes:
+def spans_of(marks: np.ndarray, width: int) -> np.ndarray:
     """Runs of marked windows (by start) as pairs of symbol numbers."""
     edge = np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))
-    pairs = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + width], 1)
-    return pairs.astype(np.int64).tobytes()
+    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + width],
+                    1).astype(np.int64)
 
 
 def _resolved(resolve, width: int, earliest: bool):
     """``resolve``: (groups, pieces, places) to marks, a list of arrays over each piece's windows."""
-    def decide(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def decide(rows: pa.Table, spans: Spans) -> None:
         digest, place = rows["digest"].to_pylist(), rows["place"].to_numpy()
-        kind = rows["kind"].to_numpy()
-        found, spans = [], []
-
-        def add(i: int, marks: np.ndarray) -> None:
-            if marks.any():
-                runs = np.frombuffer(spans_of(marks, width), np.int64) + (place[i] >> 16)
-                found.append(digest[i])
-                spans.append(runs.tobytes())
-        for i in np.flatnonzero(kind == SETTLED):
-            add(i, np.ones(place[i] >> 8 & 255, bool))
-        for this in (PIECE, WINDOW):
-            some = np.flatnonzero(kind == this)
-            if not len(some):
-                continue
-            part = rows.take(pa.array(some))
-            ids = part["id"]
-            ranked = pa.table({"hash": part["hash"], "none": ids.is_null(),
-                               "id": ids.fill_null(0), "digest": part["digest"],
-                               "place": part["place"], "row": pa.array(some)})
-            ranked = ranked.sort_by([(c, "ascending")
-                                     for c in ("hash", "none", "id", "digest", "place")])
-            order = ranked["row"].to_numpy()
-            groups, body = ranked["hash"].to_numpy(), rows["piece"].take(pa.array(order))
-            if this == PIECE:
-                for i, marks in zip(order, resolve(groups, body, place[order])):
-                    add(i, marks)
-                continue
-            numbers: dict = {}
-            back = np.array([numbers.setdefault(x, len(numbers)) for x in body.to_pylist()])
-            n = np.bincount(back)
-            late = np.ones(len(order), bool)
-            if earliest:
-                late[np.unique(back, return_index=True)[1]] = False
-            for i, b, is_late in zip(order, back, late):
-                add(i, np.array([n[b] > 1 and is_late]))
-        if found:
-            yield table(_SPANS, found, spans)
+        done = rows["done"].to_numpy()
+        ids = rows["id"]
+        ranked = pa.table({"hash": rows["hash"], "none": ids.is_null(), "id": ids.fill_null(0),
+                           "digest": rows["digest"], "place": rows["place"],
+                           "row": pa.array(np.arange(len(rows)))})
+        ranked = ranked.sort_by([(c, "ascending")
+                                 for c in ("hash", "none", "id", "digest", "place")])
+        order = ranked["row"].to_numpy()
+        groups, body = ranked["hash"].to_numpy(), rows["piece"].take(pa.array(order))
+        for i, marks in zip(order, resolve(groups, body, place[order])):
+            if not done[i] and marks.any():
+                spans.add(digest[i], spans_of(marks, width) + (place[i] >> 16))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = Spans()
         held: list[pa.RecordBatch] = []
         count = 0
+        # equal windows of hot hashes follow each other, the earliest first
+        window, waiting = None, None
+
+        def add_window(digest: bytes, place: int, is_done: bool) -> None:
+            if not is_done:
+                spans.add(digest, np.array([place >> 16, (place >> 16) + width], np.int64))
+
         for batch in batches:
-            held.append(batch)
-            count += len(batch)
+            kind = batch.column("kind").to_numpy()
+            for i in np.flatnonzero(kind == SETTLED).tolist():
+                spans.add(batch.column("digest")[i].as_py(),
+                          np.frombuffer(batch.column("piece")[i].as_py(), np.int64))
+            ones = batch.filter(pa.array(kind == WINDOW))
+            for piece, *row in zip(*(ones.column(c).to_pylist()
+                                     for c in ("piece", "digest", "place", "done"))):
+                if piece != window:
+                    window, waiting = piece, row
+                    continue
+                if waiting and not earliest:
+                    add_window(*waiting)
+                waiting = None
+                add_window(*row)
+            if spans.held >= SPANS_HELD:
+                yield table(_SPANS, *spans.taken())
+            held.append(batch.filter(pa.array(kind == PIECE)))
+            count += len(held[-1])
             if count < AT_ONCE:
                 continue
             rows = pa.Table.from_batches(held)
@@ -235,11 +283,13 @@ def _resolved(resolve, width: int, earliest: bool):
                 cut = int(later[0]) if len(later) else int(cuts[-1])
                 if cut <= done:
                     break
-                yield from decide(rows.slice(done, cut - done).combine_chunks())
+                decide(rows.slice(done, cut - done).combine_chunks(), spans)
                 done = cut
             held, count = rows.slice(done).to_batches(), len(keys) - done
         if count:
-            yield from decide(pa.Table.from_batches(held).combine_chunks())
+            decide(pa.Table.from_batches(held).combine_chunks(), spans)
+        if spans.held:
+            yield table(_SPANS, *spans.taken())
     return of
 
 
@@ -256,8 +306,10 @@ def repeated_spans(texts: DataFrame, symbols: Symbols, width: int, gram: int, re
         F.struct("hash", "place", (F.col("n") > group_limit).alias("hot"))).alias("found"))
     cut = texts.join(again, "digest").mapInArrow(
         _cut_out(symbols, width, earliest),
-        "hash long, kind int, piece binary, digest binary, id long, place long")
-    dealt = cut.repartition("hash").sortWithinPartitions("hash")
+        "hash long, kind int, piece binary, digest binary, id long, place long, done boolean")
+    window = F.when(F.col("kind") == WINDOW, F.col("piece"))
+    dealt = cut.repartition("hash").sortWithinPartitions(
+        "hash", "kind", window, F.col("id").asc_nulls_last(), "digest", "place")
     spans = dealt.mapInArrow(_resolved(resolve, width, earliest),
                              "digest binary, spans binary")
     return spans.groupBy("digest").agg(F.collect_list("spans").alias("spans"))

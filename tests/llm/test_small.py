@@ -412,3 +412,19 @@ def test_shards_of_equal_texts_under_one_id(spark, shared):
         slots[shard].append(slot)
     assert len(loads) == 8 and max(loads.values()) < 1.1 * min(loads.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(out) == 5000
+
+
+def test_spans_of_texts_are_merged_where_they_meet():
+    from changeloom.llm.repeats import Spans, covered
+    rng = np.random.default_rng(5)
+    spans, want = Spans(), defaultdict(lambda: np.zeros(400, bool))
+    for _ in range(300):
+        low, name = int(rng.integers(0, 380)), b"abc"[:int(rng.integers(1, 4))]
+        spans.add(name, np.array([low, low + 9]))
+        want[name][low:low + 9] = True
+    digests, packed = spans.taken()
+    assert len(digests) == len(want) == 3 and spans.held == 0 and spans.taken() == ([], [])
+    for digest, one in zip(digests, packed):
+        assert covered([one], 400).tolist() == want[digest].tolist()
+        pairs = np.frombuffer(one, np.int64).reshape(-1, 2)
+        assert (pairs[1:, 0] > pairs[:-1, 1]).all()

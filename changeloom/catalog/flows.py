@@ -3,6 +3,7 @@ custom sources, sinks and transforms, and sequences with null times and values."
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.times import dated_name
@@ -16,6 +17,7 @@ from ..plans.steps import CustomStep, LookupStep, PatternStep, run_steps
 from ..session import shared_dir
 from ..sinks.versions import VersionedTable
 from ..sinks.write import register_sink, write_all
+from ..sources.parts import PartFiles, register_format
 from ..sources.ext_json import infer_ext_schema, read_ext_json
 from ..sources.tables import read_source, register_source
 from ..streaming.flows import flows_writer
@@ -121,6 +123,23 @@ def src_19(spark, sf):
                        options={"path": f"{sf}/events.parquet"}).select("event_id", "user_id")
 
 
+def part_files(spark, df: DataFrame, path: str, mode: str = "append") -> None:
+    register_format(spark, "part_files", PartFiles)
+    df.write.format("part_files").option("range_column", "ums_id_").mode(mode).save(path)
+
+
+@query("src_19_custom_format", f"""{W}
+    SELECT ums_id_, k, value1 FROM changes WHERE ums_id_ >= (SELECT max(ums_id_) // 2 FROM changes)""")
+def src_19_format(spark, sf):
+    path = shared_dir(spark, "part-files")
+    df = changes(spark, sf).select("ums_id_", "k", "value1")
+    # parts that hold ranges of ids, so that a filter leaves some of them out
+    part_files(spark, df.repartitionByRange(8, "ums_id_"), path)
+    middle = df.agg(F.max("ums_id_").alias("m")).first()["m"] // 2
+    return spark.read.format("part_files").option("range_column", "ums_id_").load(path) \
+        .filter(F.col("ums_id_") >= middle)
+
+
 @query("src_20_rows_by_inferred_schema", """
     SELECT event_id AS id, user_id AS "user", event_type AS kind,
            CASE WHEN event_id % 3 <> 0 THEN event_id + 1 END AS after FROM events""")
@@ -154,6 +173,22 @@ def snk_22(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("snk_22_custom_format", f"{W} SELECT ums_id_, k * 2 AS kk FROM changes")
+def snk_22_format(spark, sf):
+    path = shared_dir(spark, "part-files")
+    df = changes(spark, sf).select("ums_id_", (F.col("k") * 2).alias("kk")) \
+        .repartitionByRange(8, "ums_id_")
+    top = df.agg(F.max("ums_id_").alias("m")).first()["m"]
+    broken = df.withColumn("kk", F.when(F.col("ums_id_") == top, F.raise_error(F.lit("stop"))
+                                        .cast("long")).otherwise(F.col("kk")))
+    try:    # a job whose last task fails leaves nothing that a reader sees
+        part_files(spark, broken, path)
+    except PySparkException:
+        pass
+    part_files(spark, df, path)
+    return spark.read.format("part_files").load(path)
+
+
 @query("udx_04_custom_transform", f"{W} SELECT k, count(*) AS n FROM changes GROUP BY k")
 def udx_04(spark, sf):
     register_transform("count_by", lambda s, df, spec, param: df.groupBy(param).agg(

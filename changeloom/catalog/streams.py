@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..operators.lookups import lookup, stream_join
 from ..patterns import Output, OutputField, PatternSpec, Stage
+from ..session import shared_dir
 from ..sources.streams import file_stream
-from ..streaming.hold import settle, validity
-from ..streaming.run import drain
+from ..streaming.hold import settle, settle_stream, validity
+from ..streaming.run import drain, run_to_idle
 from ..streaming.state import match_pattern_stream, running_agg, running_over
 from ..streaming.windows import key_by, window_agg, with_event_time
 from .base import SQL_CHANGES, changes, query, table
@@ -170,6 +173,54 @@ def stm_13(spark, sf):
     return out.select("k", "value1", "h", F.col("_released").alias("released"))
 
 
+@query("stm_13_settle_stream", f"""{W}, u AS (SELECT k, value1, strftime(ums_ts_, '%Y%m%d%H') AS h, min(date_trunc('hour', ums_ts_)) AS t FROM changes GROUP BY 1, 2, 3)
+    SELECT k, value1, h, t FROM u
+    WHERE t <= (SELECT max(date_trunc('hour', ums_ts_)) FROM changes) - INTERVAL 172800 SECOND""")
+def stm_13_stream(spark, sf):
+    c = changes(spark, sf).select("k", "value1", F.date_format("ums_ts_", "yyyyMMddHH").alias("h"),
+                                  F.date_trunc("hour", "ums_ts_").alias("t"))
+    # the log arrives in files, older ones first
+    path, parts = shared_dir(spark, "settle-in"), 3
+    ends = c.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    step = (F.unix_timestamp("b") - F.unix_timestamp("a")) / parts + 1
+    part = F.floor((F.unix_timestamp("t") - F.unix_timestamp("a")) / step)
+    numbered = c.crossJoin(F.broadcast(ends)).select(*c.columns, part.alias("part"))
+    for i in range(parts):
+        numbered.filter(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    arriving = file_stream(spark, path, c.schema, files_per_batch=-(-files // parts))
+    return drain(settle_stream(arriving, ["k", "value1", "h"], 172800, "t")).drop("_batch")
+
+
+#: seconds of the clock after which an idle key is forgotten, in stm_09
+IDLE_SECONDS = 4
+
+
+@query("stm_09_idle_state_stream", f"""{W}
+    SELECT k, count(*) FILTER (WHERE ums_id_ % 2 = 0) AS n_before, count(*) FILTER (WHERE ums_id_ % 2 = 0) > 0 AS stored,
+      count(*) FILTER (WHERE ums_id_ % 2 = 1) AS n_after FROM changes GROUP BY k""")
+def stm_09(spark, sf):
+    c = changes(spark, sf).select("ums_id_", "k")
+    path, checkpoint = shared_dir(spark, "idle-in"), shared_dir(spark, "idle-checkpoint")
+    seen = []
+    for half in (0, 1):
+        c.filter(F.col("ums_id_") % 2 == half).write.mode("append").parquet(path)
+        counts = running_agg(file_stream(spark, path, c.schema), ["k"], {"n": ("count", "")},
+                             idle_hours=IDLE_SECONDS / 3600)
+        out, batch = run_to_idle(counts, checkpoint, "update")
+        if not half:
+            # what the store held after the batch that read the rows
+            held = spark.read.format("statestore").option("path", checkpoint).option(
+                "stateVarName", "acc").option("batchId", batch).load() \
+                .select(F.col("key.k").alias("k"), F.lit(True).alias("stored"))
+            time.sleep(IDLE_SECONDS + 1)
+        seen.append(out.groupBy("k").agg(F.max("n").alias(("n_before", "n_after")[half])))
+    return seen[0].join(seen[1], "k", "full").join(held, "k", "full").select(
+        "k", F.coalesce("n_before", F.lit(0)).alias("n_before"),
+        F.coalesce("stored", F.lit(False)).alias("stored"),
+        F.coalesce("n_after", F.lit(0)).alias("n_after"))
+
+
 @query("jon_13_stream_lookup", f"""{W}
     SELECT ums_id_, k, c_name FROM changes LEFT JOIN customer ON k = c_custkey""")
 def jon_13(spark, sf):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.casts import default_for
 from ..model import TS, UID, Validity
-from ..session import shared_dir
+from ..session import need_state_store, shared_dir
+from .state import _clean as clean, _exact as exact, _numbers as numbers
 
 FATE = "_fate"
 SEND, DROP, ALERT, HOLD = "send", "drop", "alert", "hold"
@@ -70,6 +74,86 @@ def settle(new: DataFrame, buffer: DataFrame | None, dedup_cols: Sequence[str],
     return rows.withColumn("_released", F.col(ts_col) <= edge)
 
 
+class _Settling(StatefulProcessor):
+    """One identity: its earliest row, until the watermark has reached that row's time.
+
+    After that a mark without the row stays for ``keep_ms`` of event time.
+    """
+
+    def __init__(self, ts_index, order, keep_ms, whole, names):
+        self.ts_index, self.order, self.keep_ms = ts_index, order, keep_ms
+        self.whole, self.names = whole, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # the row is null once it was released
+        self.held = handle.getValueState("held", "ms bigint, row binary")
+
+    def _rank(self, row: tuple) -> tuple:
+        return tuple((row[i] is None, 0 if row[i] is None else row[i]) for i in self.order)
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.held.get()
+        if before is None or before[1] is not None:
+            old = best = pickle.loads(bytes(before[1])) if before else None
+            for pdf in rows:
+                for row in pdf.itertuples(index=False, name=None):
+                    row = tuple(map(clean, numbers(row, self.whole)))
+                    if best is None or self._rank(row) < self._rank(best):
+                        best = row
+            # whole milliseconds, up: a row is not released before its time
+            ms = -(-best[self.ts_index].value // 1_000_000)
+            if before is None or before[0] != ms:
+                if before is not None:
+                    self.handle.deleteTimer(before[0] - 1)
+                # a timer fires once the watermark is past it
+                self.handle.registerTimer(ms - 1)
+            if best is not old:
+                self.held.update((ms, pickle.dumps(best)))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ms, blob = self.held.get()
+        if blob is None:
+            self.held.clear()
+            yield from ()
+            return
+        if self.keep_ms:
+            self.held.update((ms, None))
+            self.handle.registerTimer(ms + self.keep_ms)
+        else:
+            self.held.clear()
+        yield pd.DataFrame([pickle.loads(bytes(blob))], columns=self.names, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def settle_stream(df: DataFrame, dedup_cols: Sequence[str], duration_seconds: int,
+                  ts_col: str = TS) -> DataFrame:
+    """STM-13 on a stream: the released rows of :func:`settle`, state by identity.
+
+    The watermark is the greatest time minus the duration; a timer per identity releases
+    its earliest row (of equal times the least in every plain column) once the watermark
+    reaches it.  For the duration after that, rows of the same identity are copies and
+    dropped; later ones start anew, as they do in the batch form once a row has left its
+    buffer.  Rows behind the watermark come too late and are dropped, as are rows without a
+    time.  Times are compared in whole milliseconds, as watermarks are.
+    """
+    duration = max(0, int(duration_seconds))
+    need_state_store(df.sparkSession)
+    timed = df.filter(F.col(f"`{ts_col}`").isNotNull()).withWatermark(
+        ts_col, f"{duration} seconds")
+    frame, whole = exact(timed, dedup_cols)
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    plain = [f.name for f in df.schema.fields
+             if f.name != ts_col and not isinstance(f.dataType, nested)]
+    order = [df.columns.index(c) for c in (ts_col, *plain)]
+    processor = _Settling(order[0], order, duration * 1000, whole, df.columns)
+    return frame.groupBy(*dedup_cols).transformWithStateInPandas(
+        processor, df.schema, "Append", "EventTime")
+
+
 class Held:
     """Rows held from one micro-batch to the next, one folder per batch number.
 

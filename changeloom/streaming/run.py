@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import shared_dir
 
@@ -44,3 +45,39 @@ def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None,
         return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/_batch=*")
     except AnalysisException:       # no input, so no batch was written
         return spark.createDataFrame([], schema)
+
+
+def run_to_idle(df: DataFrame, checkpoint: str, mode: str = "append", seconds: float = 1,
+                patience: float = 600) -> tuple[DataFrame, int]:
+    """Run a stream by the clock until a trigger after its rows finds no more of them.
+
+    For streams with clock timers, which never end an ``availableNow`` run.  Gives the rows of
+    this run (with ``_batch``) and the number of the last batch that read input.  A stream
+    that reads nothing for ``patience`` seconds is an error.
+    """
+    spark = df.sparkSession
+    out = shared_dir(spark, "stream-out")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+
+    query = start(df, write, checkpoint, mode, {"processingTime": f"{seconds} seconds"})
+    began, last_read = time.monotonic(), None
+    try:
+        while query.isActive:
+            for p in query.recentProgress:
+                if p.numInputRows:
+                    last_read = max(p.batchId, -1 if last_read is None else last_read)
+            newest = query.lastProgress
+            if last_read is not None and newest.batchId >= last_read and not newest.numInputRows:
+                break
+            if last_read is None and time.monotonic() - began > patience:
+                raise TimeoutError(f"no input within {patience} seconds")
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    schema = T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])
+    rows = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/_batch=*")
+    return rows.filter(F.col("_batch") <= last_read), last_read

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from changeloom.plans.flow import JobSpec, decode, run_flow, run_job
 from changeloom.plans.steps import SqlStep
 from changeloom.sources.streams import file_stream
 from changeloom.streaming.flows import FlowFailure, flows_writer
-from changeloom.streaming.hold import (gated_writer, held_store, settling_writer, validity)
-from changeloom.streaming.run import drain, start
+from changeloom.streaming.hold import (gated_writer, held_store, settle, settle_stream,
+                                       settling_writer, validity)
+from changeloom.streaming.run import drain, run_to_idle, start
 from changeloom.streaming.state import running_agg, running_over
 from changeloom.streaming.windows import window_agg, with_event_time
 
@@ -222,3 +224,38 @@ def test_stream_of_changes_equals_snapshot(spark, tmp_path):
     whole = spark.createDataFrame(rows, "ums_id_ long, s long, ums_op_ string, k long, v long") \
         .withColumn("ums_ts_", F.timestamp_seconds("s"))
     assert got == {r["k"]: r["ums_id_"] for r in snapshot(whole, ["k"]).collect()}
+
+
+def test_settled_stream_equals_settled_table(spark, tmp_path):
+    groups = [[(1, 10, "i", 1, 0), (2, 95, "i", 2, 0), (7, 90, "i", 2, 5)],
+              [(3, 92, "i", 2, 1), (4, 200, "i", 3, 0), (5, 150, "i", 1, 9)],
+              [(6, 260, "i", None, 0), (8, 200, "i", 4, 0)]]
+    path = write_files(spark, str(tmp_path / "in"), groups)
+    out = drain(settle_stream(stream(spark, path), ["k"], 60)).drop("_batch")
+    whole = settle(spark.read.parquet(path), None, ["k"], 60)
+    want = whole.filter("_released").drop("_released")
+    assert out.columns == want.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    # 7 at 90 is the earliest of its identity; 5 came while 1 was remembered
+    assert {r["ums_id_"] for r in out.collect()} == {1, 7, 4, 8}
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+    got = []
+    for n, idle in enumerate((3600, 3600, 2)):
+        write_files(spark, f"{path}-{n}", [[(i, 5, "i", i % 3, 1) for i in range(9)]])
+        spark.read.parquet(f"{path}-{n}/*").write.mode("append").parquet(path)
+        if idle == 2:
+            checkpoint = str(tmp_path / "cp2")
+        counts = running_agg(file_stream(spark, path, SCHEMA), ["k"], {"n": ("count", "")},
+                             idle_hours=idle / 3600)
+        out, _ = run_to_idle(counts, checkpoint, "update")
+        got.append({r["k"]: r["n"] for r in out.groupBy("k").agg(F.max("n").alias("n")).collect()})
+    assert got[0] == {0: 3, 1: 3, 2: 3} and got[1] == {0: 6, 1: 6, 2: 6}
+    time.sleep(3)
+    write_files(spark, f"{path}-4", [[(20, 5, "i", 1, 1)]])
+    spark.read.parquet(f"{path}-4/*").write.mode("append").parquet(path)
+    out, _ = run_to_idle(running_agg(file_stream(spark, path, SCHEMA), ["k"], {"n": ("count", "")},
+                                     idle_hours=2 / 3600), checkpoint, "update")
+    assert [(r["k"], r["n"]) for r in out.collect()] == [(1, 1)]

@@ -11,6 +11,8 @@ from ..operators.projections import project_job, project_output, sql_step, with_
 from ..operators.query import query as table_query
 from ..operators.rules import (Cast, Exclude, Expression, Include, Where, apply_schema_rules,
                                ensure_columns, tag_events)
+from ..model import FlowSpec, Sink
+from ..plans.flow import flow_rows
 from ..plans.steps import CustomStep, LookupStep, SqlStep, run_steps
 from .base import SQL_CHANGES, changes, query, table
 
@@ -57,6 +59,18 @@ def prj_03(spark, sf):
     return df.select(*with_sys_columns(["k", "value1"], validity=True))
 
 
+@query("prj_03_sql_steps_carry", f"""{W}
+    SELECT ums_ts_, ums_id_, ums_op_, upper(value1) AS kind, k + 1 AS kk FROM changes WHERE value2 > 10
+    UNION ALL SELECT ums_ts_, ums_id_, ums_op_, value1, k FROM changes WHERE value2 <= 10""")
+def prj_03_steps(spark, sf):
+    flow = FlowSpec("kafka.k01.db.events.*.*.*", [
+        SqlStep("SELECT k, value1, value2 FROM events"),
+        SqlStep("SELECT upper(value1) AS kind, k + 1 AS kk FROM events WHERE value2 > 10 "
+                "UNION ALL SELECT value1, k FROM events WHERE value2 <= 10")],
+        Sink(print, mutation="iud"))
+    return flow_rows(flow, changes(spark, sf))
+
+
 @query("prj_04_project_output", f"""{W}
     SELECT k AS user_key, value1, ums_ts_, ums_id_, ums_op_ FROM changes""")
 def prj_04(spark, sf):

@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..model import ID, OP, SYSTEM_COLUMNS, TS, UID
 
 
+#: what matters in a text for PRJ-03: quoted parts, brackets, and where a select list begins
+_LISTS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
+                    r"""|[()]|\bselect\b(?!\s+distinct\b)""", re.IGNORECASE | re.DOTALL)
+
+
+def _listing(sql: str, columns: Sequence[str]) -> str:
+    """The text with the columns in front of each select list that is in no brackets."""
+    depth = 0
+
+    def put(found: re.Match) -> str:
+        nonlocal depth
+        text = found.group()
+        depth += (text == "(") - (text == ")")
+        return f"{text} {', '.join(columns)}," if text.lower() == "select" and not depth else text
+    return _LISTS.sub(put, sql)
+
+
 def sql_step(df: DataFrame, sql: str, table_name: str = "df",
-             tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """PRJ-01, SET-03, JON-15: any SELECT over the frame, named ``table_name`` in the text.
+             tables: Mapping[str, DataFrame] | None = None, carry: Sequence[str] = ()
+             ) -> DataFrame:
+    """PRJ-01, PRJ-03, SET-03, JON-15: any SELECT over the frame, named ``table_name`` in the text.
 
     Further frames take part under the names in ``tables``.  Frames are bound as
     arguments of the query (``{name}`` placeholders are filled for bare names), so
     nothing stays registered in the session.
+
+    ``carry`` names columns of the frame that the result shall keep.  Those that it lacks
+    are put in front of each branch's list; where Spark's analysis does not allow that
+    (totals, distinct rows, a name that two tables have) the step stays as it is written.
     """
+    out = _run_sql(df, sql, table_name, tables)
+    have = {c.lower() for c in out.columns}
+    missing = [c for c in carry if c in df.columns and c.lower() not in have]
+    if not missing:
+        return out
+    try:
+        return _run_sql(df, _listing(sql, missing), table_name, tables)
+    except AnalysisException:
+        return out
+
+
+def _run_sql(df: DataFrame, sql: str, table_name: str, tables: Mapping[str, DataFrame] | None
+             ) -> DataFrame:
     frames = {table_name: df, **(tables or {})}
     spark = df.sparkSession
     suffix = uuid.uuid4().hex[:8]

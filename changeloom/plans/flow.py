@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model import ID, FlowSpec, Namespace, Sink
+from ..model import ID, SYSTEM_COLUMNS, UID, FlowSpec, Namespace, Sink
 from ..operators.changes import merge_latest
 from ..operators.projections import project_job, project_output
 from ..session import cut_lineage
@@ -29,10 +29,17 @@ def decode(messages: DataFrame, spec: FlowSpec, bad: str = "drop") -> DataFrame:
 
 
 def flow_rows(spec: FlowSpec, source: DataFrame) -> DataFrame:
-    """Decode (when the frame carries messages) and run the steps."""
-    df = decode(source, spec) if spec.fields and "value" in source.columns \
-        and "ums_id_" not in source.columns else source
-    return run_steps(df, spec.steps, Namespace.parse(spec.source).table, spec)
+    """Decode (when the frame carries messages) and run the steps.
+
+    SQL steps keep the system columns (PRJ-03) if the source is messages or the sink does
+    more than insert; the row identity too if the flow has a validity gate.
+    """
+    messages = spec.fields and "value" in source.columns and "ums_id_" not in source.columns
+    df = decode(source, spec) if messages else source
+    carry = []
+    if messages or spec.sink is not None and spec.sink.mutation != "i":
+        carry = [*SYSTEM_COLUMNS, *[UID for _ in range(spec.validity is not None)]]
+    return run_steps(df, spec.steps, Namespace.parse(spec.source).table, spec, carry)
 
 
 def sink_rows(spec: FlowSpec, rows: DataFrame) -> DataFrame:

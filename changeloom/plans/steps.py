@@ -77,9 +77,10 @@ def _table(table: Table, df: DataFrame) -> DataFrame | None:
     return table if table is None or isinstance(table, DataFrame) else table(df.sparkSession)
 
 
-def run_step(df: DataFrame, step: Any, table_name: str, spec: Any = None) -> DataFrame:
+def run_step(df: DataFrame, step: Any, table_name: str, spec: Any = None,
+             carry: Sequence[str] = ()) -> DataFrame:
     if isinstance(step, SqlStep):
-        return sql_step(df, step.sql, table_name, step.tables)
+        return sql_step(df, step.sql, table_name, step.tables, carry)
     if isinstance(step, PatternStep):
         if df.isStreaming:
             from ..streaming.state import match_pattern_stream
@@ -100,12 +101,13 @@ def run_step(df: DataFrame, step: Any, table_name: str, spec: Any = None) -> Dat
     raise ValueError(f"unknown step {step!r}")
 
 
-def run_steps(df: DataFrame, steps: Sequence[Any], table_name: str = "df", spec: Any = None
-              ) -> DataFrame:
+def run_steps(df: DataFrame, steps: Sequence[Any], table_name: str = "df", spec: Any = None,
+              carry: Sequence[str] = ()) -> DataFrame:
     """PRJ-02: fold the steps over the frame; each sees the output of the one before.
 
-    The result is one lazy plan: nothing is cached or run between steps.
+    The result is one lazy plan: nothing is cached or run between steps.  ``carry``: columns
+    that SQL steps keep though they do not list them (PRJ-03).
     """
     for step in steps:
-        df = run_step(df, step, table_name, spec)
+        df = run_step(df, step, table_name, spec, carry)
     return df

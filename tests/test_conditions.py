@@ -68,3 +68,22 @@ def test_sql_step_leaves_no_view(spark):
     out = sql_step(spark.range(3), "WITH a AS (SELECT id + 1 AS i FROM t) SELECT max(i) AS m FROM a", "t")
     assert out.first()["m"] == 3
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_sql_steps_keep_system_columns(spark):
+    df = spark.createDataFrame([(1, 5, "i", 2), (2, 6, "u", 2)], "ums_id_ long, ums_ts_ long, ums_op_ string, v long")
+    carry = ["ums_ts_", "ums_id_", "ums_op_"]
+
+    def columns(sql):
+        return sql_step(df, sql, "t", carry=carry).columns
+    assert columns("SELECT v FROM t") == [*carry, "v"]
+    assert columns("SELECT * FROM t") == df.columns
+    assert columns("select v, ums_id_ from t") == ["ums_ts_", "ums_op_", "v", "ums_id_"]
+    assert columns("WITH a AS (SELECT * FROM t) SELECT v, 'a select b' AS s FROM a") == [*carry, "v", "s"]
+    assert columns("SELECT v, (SELECT max(v) FROM t) AS m FROM t") == [*carry, "v", "m"]
+    # totals and distinct rows have no system columns
+    assert columns("SELECT v, count(*) AS n FROM t GROUP BY v") == ["v", "n"]
+    assert columns("SELECT count(*) AS n FROM t") == ["n"]
+    assert columns("SELECT DISTINCT v FROM t") == ["v"]
+    both = sql_step(df, "SELECT v FROM t UNION ALL SELECT v + 1 FROM t", "t", carry=carry)
+    assert both.columns == [*carry, "v"] and both.count() == 4

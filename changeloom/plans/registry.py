@@ -73,11 +73,15 @@ def register_udaf(spark: SparkSession, name: str, cls: type[Udaf]):
             acc = agg.accumulate(acc, *values)
         return agg.get_value(acc)
 
+    def fn(*columns: pd.Series) -> Any:
+        return run(columns)
+
     # a grouped-aggregate UDF has one Series argument per value
-    arity = len(inspect.signature(cls.accumulate).parameters) - 2
-    names = [f"c{i}" for i in range(arity)]
-    fn = eval(f"lambda {', '.join(names)}: run([{', '.join(names)}])", {"run": run})
+    names = [f"c{i}" for i in range(len(inspect.signature(cls.accumulate).parameters) - 2)]
     fn.__annotations__ = {**{n: pd.Series for n in names}, "return": float}
+    fn.__signature__ = inspect.Signature(
+        [inspect.Parameter(n, inspect.Parameter.POSITIONAL_OR_KEYWORD, annotation=pd.Series)
+         for n in names], return_annotation=float)
     return spark.udf.register(name, F.pandas_udf(fn, return_type(cls.return_type)))
 
 

@@ -15,6 +15,7 @@ from ..plans.flow import JobSpec, run_job
 from ..plans.registry import register_transform
 from ..plans.steps import CustomStep, LookupStep, PatternStep, run_steps
 from ..session import shared_dir
+from ..sinks.bucketed import BucketedTable
 from ..sinks.versions import VersionedTable
 from ..sinks.write import register_sink, write_all
 from ..sources.parts import PartFiles, register_format
@@ -23,7 +24,7 @@ from ..sources.tables import read_source, register_source
 from ..streaming.flows import flows_writer
 from ..streaming.run import drain
 from ..streaming.state import running_over
-from .base import FIELDS, SQL_CHANGES, changes, messages, query, table
+from .base import FIELDS, SQL_CHANGES, changes, days, messages, query, table
 from .patterns import is_
 from .streams import event_stream
 
@@ -282,3 +283,18 @@ def cdc_06_durable(spark, sf):
     for batch, rest in ((0, 1), (1, 2), (1, 2), (2, 0)):
         store.upsert(log.filter(F.col("ums_id_") % 3 == rest), batch)
     return store.read().select("k", "ums_id_", "value1", "ums_active_")
+
+
+@query("cdc_06_bucketed_upsert", f"""{W}
+    SELECT k, day, ums_id_, value1, CASE WHEN ums_op_ = 'd' THEN 0 ELSE 1 END AS ums_active_
+    FROM (SELECT *, row_number() OVER (PARTITION BY k, day ORDER BY ums_id_ DESC) AS rn
+          FROM (SELECT *, strftime(ums_ts_, '%Y-%m-%d') AS day FROM changes))
+    WHERE rn = 1""")
+def cdc_06_bucketed(spark, sf):
+    log = days(spark, sf)
+    # few buckets and little room in them, so that they split
+    store = BucketedTable(spark, shared_dir(spark, "bucketed"), ["k", "day"], buckets=2,
+                          bucket_rows=500)
+    for batch, rest in ((0, 1), (1, 2), (1, 2), (2, 0)):
+        store.upsert(log.filter(F.col("ums_id_") % 3 == rest), batch)
+    return store.read().select("k", "day", "ums_id_", "value1", "ums_active_")

@@ -23,7 +23,7 @@ from ..sources.ext_json import infer_ext_schema, read_ext_json
 from ..sources.tables import read_source, register_source
 from ..streaming.flows import flows_writer
 from ..streaming.run import drain
-from ..streaming.state import running_over
+from ..streaming.totals import RunningOver
 from .base import FIELDS, SQL_CHANGES, changes, days, messages, query, table
 from .patterns import is_
 from .streams import event_stream
@@ -233,8 +233,8 @@ def win_02_nulls(spark, sf):
 def stm_08_exact(spark, sf):
     big = F.when(F.col("ums_id_") % 3 != 0, F.lit(9007199254740993) + F.col("ums_id_"))
     rows = event_stream(spark, sf).withColumn("big", big)
-    return drain(running_over(rows, ["k"], {"top": ("max", "big")}, preceding=1)) \
-        .select("ums_id_", "top")
+    return drain(rows, through=RunningOver(rows, shared_dir(spark, "over"), ["k"], {
+        "top": ("max", "big")}, preceding=1, buckets=8)).select("ums_id_", "top")
 
 
 _HOURS_12 = 43_200

@@ -12,7 +12,8 @@ from ..session import shared_dir
 from ..sources.streams import file_stream
 from ..streaming.hold import settle, settle_stream, validity
 from ..streaming.run import drain, run_to_idle
-from ..streaming.state import match_pattern_stream, running_agg, running_over
+from ..streaming.state import match_pattern_stream, running_agg
+from ..streaming.totals import ChangingTotals, RunningOver
 from ..streaming.windows import key_by, window_agg, with_event_time
 from .base import SQL_CHANGES, changes, query, table
 from .joins import NEAR_SECONDS, NEAR_SQL
@@ -119,8 +120,9 @@ def stm_07(spark, sf):
 @query("stm_07_change_flag_stream", f"""{W}
     SELECT k, count(*) AS added, count(*) - 1 AS retracted, count(*) AS last_n FROM changes GROUP BY k""")
 def stm_07_flag(spark, sf):
-    out = drain(running_agg(event_stream(spark, sf), ["k"], {"n": ("count", "")},
-                            message_flag=True), mode="update")
+    events = event_stream(spark, sf)
+    out = drain(events, through=ChangingTotals(
+        events, shared_dir(spark, "totals"), ["k"], {"n": ("count", "")}, buckets=8))
     return out.groupBy("k").agg(
         F.count_if("message_flag").alias("added"), F.count_if(~F.col("message_flag"))
         .alias("retracted"), F.max("n").alias("last_n"))
@@ -131,8 +133,10 @@ def stm_07_flag(spark, sf):
       FROM changes WINDOW w AS (PARTITION BY k ORDER BY ums_ts_, ums_id_ ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
     SELECT ums_id_, n, top, head FROM o WHERE epoch_us(ums_ts_) // 1000 + 1 <= (SELECT epoch_us(max(ums_ts_)) // 1000 FROM changes)""")
 def stm_08(spark, sf):
-    return drain(running_over(event_stream(spark, sf), ["k"], {
-        "n": ("count", ""), "top": ("max", "value2"), "head": ("first", "value2")}, preceding=3)) \
+    events = event_stream(spark, sf)
+    return drain(events, through=RunningOver(events, shared_dir(spark, "over"), ["k"], {
+        "n": ("count", ""), "top": ("max", "value2"), "head": ("first", "value2")}, preceding=3,
+        buckets=8)) \
         .select("ums_id_", "n", "top", "head")
 
 

@@ -276,6 +276,69 @@ def running_total(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], c
     return running_sums(df, keys, order_by, {alias: col}, block_rows)
 
 
+#: partial aggregates: over a window, over a group of rows with a place, and of two runs of
+#: rows, the earlier one first, as Columns and as values; nulls do not count
+_PARTS = {
+    "sum": (F.sum, lambda v, at: F.sum(v), lambda a, b: F.coalesce(a + b, a, b), operator.add),
+    "min": (F.min, lambda v, at: F.min(v), F.least, min),
+    "max": (F.max, lambda v, at: F.max(v), F.greatest, max),
+    "first": (lambda v: F.first(v, ignorenulls=True),
+              lambda v, at: F.min_by(v, F.when(v.isNotNull(), at)), F.coalesce, lambda a, b: a),
+    "last": (lambda v: F.last(v, ignorenulls=True),
+             lambda v, at: F.max_by(v, F.when(v.isNotNull(), at)),
+             lambda a, b: F.coalesce(b, a), lambda a, b: b),
+}
+
+
+def merged_parts(parts: dict[str, str], at: Column) -> list[Column]:
+    """Aggregates that merge partial aggregates (name to kind), for ``groupBy(...).agg``."""
+    return [_PARTS[kind][1](F.col(n), at).alias(n) for n, kind in parts.items()]
+
+
+def running_parts(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
+                  parts: dict[str, str], now: str, before: str | None = None,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """WIN-02: partial aggregates from a key's first row to the current one.
+
+    ``parts`` names columns and how they merge: ``sum``, ``min``, ``max``, ``first`` or ``last``;
+    nulls do not count.  Adds a struct ``now`` with a field per part and, when named, a struct
+    ``before`` of the rows ahead of the current one.  As in :func:`running_sums` each block
+    learns of the blocks before it by one entry.
+    """
+    columns = df.columns
+    df, keys = _keyed(df, keys)
+    df = df.withColumns({n: F.col(n).cast(_wide(df.schema[n].dataType))
+                         for n, kind in parts.items() if kind == "sum"})
+    ranges = Ranges(df, keys, order_by, block_rows)
+    placed, home = df.withColumn(BLOCK, ranges.block()), F.col(BLOCK)
+    up_to = Window.partitionBy(*keys, BLOCK).orderBy(*order_by)
+    ends = {now: 0} if before is None else {now: 0, before: -1}
+    base = None
+    if ranges.cuts:
+        here = {r[BLOCK]: r for r in placed.where(ranges.continues(home)).groupBy(BLOCK)
+                .agg(*merged_parts(parts, ranges.place)).collect()}
+        carried: list = [None]
+        held = dict.fromkeys(parts)
+        for to, cut in enumerate(ranges.cuts, 1):
+            if to > 1 and not _equal(ranges.key_of(cut), ranges.key_of(ranges.cuts[to - 2])):
+                held = dict.fromkeys(parts)
+            for n, kind in parts.items() if to - 1 in here else ():
+                more = here[to - 1][n]
+                held[n] = held[n] if more is None else more if held[n] is None else \
+                    _PARTS[kind][3](held[n], more)
+            carried.append(tuple(held.values()))
+        entry = F.get(ranges.entries(carried, T.StructType([df.schema[n] for n in parts])), home)
+        base = F.when(ranges.continues(home - 1), entry)
+
+    def frame(end: int) -> Column:
+        w = up_to.rowsBetween(Window.unboundedPreceding, end)
+        own = {n: _PARTS[kind][0](F.col(n)).over(w) for n, kind in parts.items()}
+        return F.struct(*[(own[n] if base is None else _PARTS[kind][2](base[n], own[n])
+                           .cast(df.schema[n].dataType)).alias(n) for n, kind in parts.items()])
+    return placed.select(*[F.col(f"`{c}`") for c in columns],
+                         *[frame(end).alias(name) for name, end in ends.items()])
+
+
 _MERGE = {
     "count": lambda a, b: a + b,
     "sum": lambda a, b: F.coalesce((a + b), a, b),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from ..operators.changes import apply_changes, merge_latest, to_target
 
 BUCKET, VERSION, TRY = "_bucket", "_version", "_try"
+_POINTER = f"{BUCKET} int, {VERSION} long, {TRY} string, _pointer string"
 
 
 class VersionedTable:
@@ -34,9 +35,12 @@ class VersionedTable:
                      else apply_changes(stored, new, self.keys))
 
     def rewrite(self, new: DataFrame, batch_id: int,
-                build: Callable[[DataFrame | None], DataFrame]) -> None:
+                build: Callable[[DataFrame | None], DataFrame]) -> DataFrame | None:
         """Replace the buckets that the keys of ``new`` fall into by ``build(their rows)``,
-        which gets ``None`` where nothing is stored yet."""
+        which gets ``None`` where nothing is stored yet and keeps a row of each key of ``new``.
+
+        Returns the rows that were stored in these buckets before.
+        """
         # at most ``buckets`` rows
         touched = {r[BUCKET] for r in new.select(self._bucket().alias(BUCKET)).distinct().collect()}
         before = {r[BUCKET]: r for r in self._entries(batch_id - 1)}
@@ -49,9 +53,9 @@ class VersionedTable:
         kept = [(b, r[VERSION], r[TRY]) for b, r in before.items() if b not in touched]
         now = kept + [(b, batch_id, this) for b in touched]
         new.sparkSession.createDataFrame(
-            [(*row, this) for row in sorted(now)],
-            f"{BUCKET} int, {VERSION} long, {TRY} string, _pointer string") \
+            [(*row, this) for row in sorted(now)], _POINTER) \
             .coalesce(1).write.parquet(f"{self.path}/pointer/n={batch_id}/{this}")
+        return stored
 
     def read(self, batch_id: int | None = None) -> DataFrame:
         """The table after a batch, the newest one by default."""
@@ -61,18 +65,14 @@ class VersionedTable:
             batch_id = pointers.agg(F.max("n")).first()[0]
         return self._read(self._entries(batch_id))
 
-    def rows_of(self, new: DataFrame, batch_id: int) -> DataFrame | None:
-        """The rows before a batch in the buckets that the keys of ``new`` fall into."""
-        touched = {r[BUCKET] for r in new.select(self._bucket().alias(BUCKET)).distinct().collect()}
-        return self._read([r for r in self._entries(batch_id - 1) if r[BUCKET] in touched])
-
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def _entries(self, batch_id: int) -> list[Row]:
         """Bucket, version and try of each bucket; of several tries' pointers one counts."""
         try:
-            rows = self.spark.read.parquet(f"{self.path}/pointer/n={batch_id}/*").collect()
+            rows = self.spark.read.schema(_POINTER) \
+                .parquet(f"{self.path}/pointer/n={batch_id}/*").collect()
         except AnalysisException:
             if batch_id >= 0:
                 raise

@@ -25,22 +25,26 @@ def start(df: DataFrame, writer: Callable[[DataFrame, int], Any], checkpoint: st
 
 
 def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None,
-          out: str | None = None) -> DataFrame:
+          out: str | None = None, through=None) -> DataFrame:
     """Run a stream over all input there is; the output is a table in the shared folder.
 
     Each micro-batch replaces its own sub-folder, so a repeated batch does not double
-    rows.  ``_batch`` is the micro-batch number.
+    rows.  ``_batch`` is the micro-batch number.  ``through(batch, batch_id)`` makes the rows
+    to write out of each batch and names their ``schema``, as
+    :class:`changeloom.streaming.totals.ChangingTotals` does.
     """
     spark = df.sparkSession
     out = out or shared_dir(spark, "stream-out")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        rows = batch if through is None else through(batch, batch_id)
+        rows.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     query = start(df, write, checkpoint or shared_dir(spark, "stream-checkpoint"), mode)
     query.awaitTermination()
     # add() changes a schema in place
-    schema = T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])
+    schema = T.StructType([*(df if through is None else through).schema.fields,
+                           T.StructField("_batch", T.LongType())])
     try:
         return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/_batch=*")
     except AnalysisException:       # no input, so no batch was written

@@ -1,7 +1,7 @@
-"""Stateful operators: change-flag aggregates, OVER frames and pattern matching on streams
-(STM-07..09, CEP-01 on streams).
+"""Stateful operators: aggregates whose idle keys are forgotten by the clock, and pattern
+matching on streams (STM-07, STM-09, CEP-01 on streams).
 
-All use ``transformWithStateInPandas`` on the RocksDB state store.  State is kept per
+Both use ``transformWithStateInPandas`` on the RocksDB state store.  State is kept per
 key, so a stream's hottest key bounds its rate; choose keys accordingly.
 """
 
@@ -59,7 +59,7 @@ def _clean(v: Any) -> Any:
     return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
 
 
-def _agg_fields(df: DataFrame, aggs: Mapping[str, tuple[str, str]]) -> list[T.StructField]:
+def agg_fields(df: DataFrame, aggs: Mapping[str, tuple[str, str]]) -> list[T.StructField]:
     out = []
     for alias, (function, column) in aggs.items():
         if function == "count":
@@ -75,8 +75,8 @@ def _agg_fields(df: DataFrame, aggs: Mapping[str, tuple[str, str]]) -> list[T.St
 
 
 class _RunningAgg(StatefulProcessor):
-    def __init__(self, keys, aggs, flag, idle_ms, whole):
-        self.keys, self.aggs, self.flag, self.idle_ms = keys, aggs, flag, idle_ms
+    def __init__(self, keys, aggs, idle_ms, whole):
+        self.keys, self.aggs, self.idle_ms = keys, aggs, idle_ms
         self.whole = whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -86,23 +86,16 @@ class _RunningAgg(StatefulProcessor):
                         ) -> Iterator[pd.DataFrame]:
         stored = self.state.get() if self.state.exists() else None
         acc = pickle.loads(stored[0]) if stored else None
-        out = []
         for pdf in rows:
             columns = [[None] * len(pdf) if f == "count" else
                        [None if _clean(v) is None else int(v) for v in pdf[c].tolist()]
                        if c in self.whole else pdf[c].tolist() for f, c in self.aggs]
             for values in zip(*columns):
-                if acc is not None and self.flag:
-                    out.append((*key, *self._result(acc), False))
                 if acc is None:
                     acc = [_FOLDS[f][0] for f, _ in self.aggs]
                 acc = [_FOLDS[f][1](a, _clean(v)) for (f, _), a, v in zip(self.aggs, acc, values)]
-                if self.flag:
-                    out.append((*key, *self._result(acc), True))
         self.state.update((pickle.dumps(acc),))
-        if not self.flag:
-            out = [(*key, *self._result(acc), True)]
-        yield pd.DataFrame(out, columns=self.names, dtype=object)
+        yield pd.DataFrame([(*key, *self._result(acc))], columns=self.names, dtype=object)
 
     def _result(self, acc):
         return [_FOLDS[f][2](a) for (f, _), a in zip(self.aggs, acc)]
@@ -112,35 +105,31 @@ class _RunningAgg(StatefulProcessor):
 
 
 def running_agg(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, str]],
-                message_flag: bool = False, idle_hours: float | None = None) -> DataFrame:
+                idle_hours: float | None = None) -> DataFrame:
     """STM-07, STM-09: unwindowed aggregate that emits its changes (output mode update).
 
-    ``aggs`` maps names to (count/sum/min/max/avg, column).  With ``message_flag`` each
-    input row gives the retracted old row (``message_flag`` false) and the new one
-    (true); without it each batch gives one new row per changed key, by Spark's own
-    aggregate in update mode unless idle keys are to be forgotten.
+    ``aggs`` maps names to (count/sum/min/max/avg, column).  Each batch gives one new row
+    per changed key, by Spark's own aggregate in update mode unless idle keys are to be
+    forgotten.  Old and new rows with a change flag: :class:`.totals.ChangingTotals`.
 
     With ``idle_hours`` (``MAX_IDLE_HOURS`` is the usual value) a key idle that long by
     the clock is forgotten.  Such a stream needs a processing-time trigger: clock
     timers keep an ``availableNow`` run from ending.
     """
-    if not message_flag and idle_hours is None:
-        return df.groupBy(*keys).agg(*[_spark_agg(df, f, c).alias(a)
+    if idle_hours is None:
+        return df.groupBy(*keys).agg(*[spark_agg(df, f, c).alias(a)
                                        for a, (f, c) in aggs.items()])
     frame, whole = _exact(df, keys)
-    processor = _RunningAgg(list(keys), list(aggs.values()), message_flag,
-                            None if idle_hours is None else int(idle_hours * 3_600_000),
+    processor = _RunningAgg(list(keys), list(aggs.values()), int(idle_hours * 3_600_000),
                             {df.columns[i] for i in whole})
-    schema = T.StructType([df.schema[k] for k in keys] + _agg_fields(df, aggs)
-                          + [T.StructField("message_flag", T.BooleanType())])
+    schema = T.StructType([df.schema[k] for k in keys] + agg_fields(df, aggs))
     processor.names = schema.names
     need_state_store(df.sparkSession)
-    out = frame.groupBy(*keys).transformWithStateInPandas(
-        processor, schema, "Update", "None" if idle_hours is None else "ProcessingTime")
-    return out if message_flag else out.drop("message_flag")
+    return frame.groupBy(*keys).transformWithStateInPandas(
+        processor, schema, "Update", "ProcessingTime")
 
 
-def _spark_agg(df: DataFrame, function: str, column: str):
+def spark_agg(df: DataFrame, function: str, column: str):
     if function == "count":
         return F.count(F.lit(1))
     whole = function == "sum" and isinstance(df.schema[column].dataType, T.IntegralType)
@@ -223,50 +212,6 @@ def _in_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], fold,
         processor, schema, "Append", "EventTime")
 
 
-class _OverFold:
-    def __init__(self, n_frame, aggs, columns, out_columns):
-        self.n_frame, self.aggs, self.columns = n_frame, aggs, columns
-        self.out_columns = out_columns
-
-    def __call__(self, key, state, rows, passed):
-        at = [self.columns.index(c) if c in self.columns else -1 for _, c in self.aggs]
-        out = []
-        if self.n_frame is None:
-            acc = state or [_FOLDS[f][0] for f, _ in self.aggs]
-            for row in rows:
-                acc = [_FOLDS[f][1](a, _clean(row[i]) if i >= 0 else None)
-                       for (f, _), a, i in zip(self.aggs, acc, at)]
-                out.append((*row, *[_FOLDS[f][2](a) for (f, _), a in zip(self.aggs, acc)]))
-            state = acc
-        else:
-            frame = state or []
-            for row in rows:
-                frame = [*frame, [row[i] if i >= 0 else None for i in at]][-(self.n_frame + 1):]
-                results = []
-                for j, (f, _) in enumerate(self.aggs):
-                    acc, step, result = _FOLDS[f]
-                    for values in frame:
-                        acc = step(acc, _clean(values[j]))
-                    results.append(result(acc))
-                out.append((*row, *results))
-            state = frame
-        return state, pd.DataFrame(out, columns=self.out_columns, dtype=object), None
-
-
-def running_over(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, str]],
-                 preceding: int | None = None, order_by: Sequence[str] = (TS, ID),
-                 idle_hours: float = MAX_IDLE_HOURS) -> DataFrame:
-    """STM-08: each row with aggregates over its key's rows up to it, in event order.
-
-    ``preceding`` bounds the frame in rows; ``None`` starts at the key's first row.
-    Rows come out when the watermark passes them; ``first`` and ``last`` are the frame
-    forms of AGG-05 and AGG-06.
-    """
-    schema = T.StructType(df.schema.fields + _agg_fields(df, aggs))
-    fold = _OverFold(preceding, list(aggs.values()), df.columns, schema.names)
-    return _in_order(df, keys, order_by, fold, schema, idle_hours)
-
-
 class _PatternFold:
     def __init__(self, stages, within, columns, n_conds, key_names, ts_index, timeouts):
         self.stages, self.within, self.columns = stages, within, columns

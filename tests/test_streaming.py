@@ -14,7 +14,8 @@ from changeloom.streaming.flows import FlowFailure, flows_writer
 from changeloom.streaming.hold import (gated_writer, held_store, settle, settle_stream,
                                        settling_writer, validity)
 from changeloom.streaming.run import drain, run_to_idle, start
-from changeloom.streaming.state import running_agg, running_over
+from changeloom.streaming.state import running_agg
+from changeloom.streaming.totals import ChangingTotals, RunningOver
 from changeloom.streaming.windows import window_agg, with_event_time
 
 SCHEMA = "ums_id_ long, ums_ts_ timestamp, ums_op_ string, ums_uid_ string, k long, v long"
@@ -58,16 +59,18 @@ def test_running_over_orders_late_files(spark, tmp_path):
     groups = [[(1, 5, "i", 1, 10), (4, 40, "i", 1, 40)], [(3, 30, "i", 1, 30), (2, 20, "i", 1, 20)],
               [(9, END, "i", 9, 1)]]
     path = write_files(spark, str(tmp_path / "in"), groups)
-    out = drain(running_over(stream(spark, path, 600), ["k"], {
-        "total": ("sum", "v"), "head": ("first", "v")}))
+    rows = stream(spark, path)
+    out = drain(rows, through=RunningOver(rows, str(tmp_path / "state"), ["k"], {
+        "total": ("sum", "v"), "head": ("first", "v")}, lateness=600, buckets=4))
     assert [(r["ums_id_"], r["total"], r["head"]) for r in out.filter("k = 1").orderBy("ums_id_")
             .collect()] == [(1, 10, 10), (2, 30, 10), (3, 60, 10), (4, 100, 10)]
 
 
 def test_change_flag_pairs(spark, tmp_path):
     path = write_files(spark, str(tmp_path / "in"), [[(1, 1, "i", 1, 5)], [(2, 2, "i", 1, 7)]])
-    out = drain(running_agg(stream(spark, path), ["k"], {"s": ("sum", "v"), "a": ("avg", "v")},
-                            message_flag=True), mode="update")
+    rows = stream(spark, path)
+    out = drain(rows, through=ChangingTotals(rows, str(tmp_path / "totals"), ["k"], {
+        "s": ("sum", "v"), "a": ("avg", "v")}, buckets=4))
     assert sorted((r["_batch"], r["message_flag"], r["s"]) for r in out.collect()) == \
         [(0, True, 5), (1, False, 5), (1, True, 12)]
 

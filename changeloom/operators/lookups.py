@@ -121,7 +121,8 @@ def stream_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
     A batch joins on key and time bucket: buckets are twice the retention wide, a left row is
     in one and a right row in the two it can reach, so rows far apart in time never meet.  A
     bucket of a key with more than ``hot_rows`` left rows (there are at most left rows /
-    ``hot_rows`` of those) is dealt into ``SALTS`` parts, and its right rows go to each.
+    ``hot_rows`` of those) is dealt into ``SALTS`` parts, and its right rows go to each.  Which
+    ones these are is joined to both sides without a hint, as there may be many.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"stream_join is inner or left, not {how!r}")
@@ -151,7 +152,7 @@ def stream_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
     def mark(frame: DataFrame, names: Sequence[str]) -> DataFrame:
         same = [F.col(n) == F.col(f"_h{i}") for i, n in enumerate(names)] + [
             F.col("_bucket") == F.col("_hb")]
-        return frame.join(F.broadcast(hot), same, "left")
+        return frame.join(hot, same, "left")
     placed = mark(placed, [s for s, _ in on]).withColumn("_salt", F.when(
         F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0))
     reach = int(retention_seconds) * 1_000_000

@@ -11,7 +11,9 @@ long or short, goes the same way.
 At most one key runs on from one block to the next.  What a block has to know about the rows
 before or after it is therefore one entry per block: the place where the rows to repeat
 begin, a running sum, a partial aggregate.  Such entries are computed by narrow aggregates
-with a map-side step; there are as many as blocks, and they travel with the plan.
+with a map-side step; there are as many as blocks, and they travel with the plan.  As the
+driver holds them there, a frame is cut into ``MAX_BLOCKS`` at most: beyond ``MAX_BLOCKS *
+block_rows`` rows it is the blocks that grow, not their number.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ BLOCK, OWN = "_block", "_own"
 BLOCK_ROWS = 1_000_000
 _EXACT = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
+#: blocks that a frame is cut into at most, however small ``block_rows`` is
+MAX_BLOCKS = 2048
+
 #: sampled rows per block, among which the cuts are chosen
 SAMPLES = 32
 
@@ -54,7 +59,7 @@ class Ranges:
                  block_rows: int = BLOCK_ROWS):
         self.spark, self.keys, self.order_by = df.sparkSession, list(keys), list(order_by)
         rows = df.count()
-        blocks = max(1, math.ceil(rows / block_rows))
+        blocks = min(max(1, math.ceil(rows / block_rows)), MAX_BLOCKS)
         # times as whole numbers, which pass through the driver unchanged
         self.times = [isinstance(df.schema[c].dataType, T.TimestampType)
                       for c in (*self.keys, *self.order_by)]
@@ -90,8 +95,9 @@ class Ranges:
         cuts, n = self.entries(self.cuts, self.type), len(self.cuts)
         steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
         at = self.place if place is None else place
-        return F.reduce(steps, F.lit(0), lambda low, step: F.when(
-            (low + step <= n) & (F.get(cuts, low + step - 1) <= at), low + step).otherwise(low))
+        # the place is made once per row, not once per step
+        return F.transform(F.array(at), lambda at: F.reduce(steps, F.lit(0), lambda low, step: F.when(
+            (low + step <= n) & (F.get(cuts, low + step - 1) <= at), low + step).otherwise(low)))[0]
 
     def key_of(self, cut) -> tuple:
         return tuple(cut)[:len(self.keys)]

@@ -39,3 +39,33 @@ def test_hot_rows_are_marked_without_a_forced_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" not in plan
     assert got == {(i, j) for i in range(400) for j in (i - 40, i, i + 40) if 0 <= j < 400}
+
+
+@pytest.fixture
+def few_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "MAX_BLOCKS", 7)
+
+
+def test_cuts_are_bounded_however_small_the_blocks(spark, few_blocks):
+    rows = spark.range(600).select("id", (F.col("id") % 3).alias("k"), F.when(
+        F.col("id") % 4 != 0, F.col("id")).alias("v"))
+    assert len(Ranges(rows, ["k"], ["id"], 2).cuts) == 6
+    got = {r["id"]: (r["n"], r["total"]) for r in over_rows(
+        running_total(rows, ["k"], ["id"], "v", "total", block_rows=2), ["k"], ["id"], 2,
+        {"n": F.count("v")}, block_rows=3).collect()}
+    for i in range(600):
+        own = [j for j in range(i % 3, i + 1, 3)]
+        assert got[i] == (sum(j % 4 != 0 for j in own[-3:]),
+                          sum(j for j in own if j % 4) if any(j % 4 for j in own) else None)
+
+
+@pytest.mark.parametrize("kind", ["next", "followedby"])
+def test_patterns_over_bounded_cuts(spark, few_blocks, kind):
+    rows = spark.range(300).select(
+        F.col("id").alias("ums_id_"), seconds("id").alias("ums_ts_"), (F.col("id") % 2).alias("k"),
+        F.substring(F.lit("abcab"), (F.col("id") % 5).cast("int") + 1, F.lit(1)).alias("v"))
+    for within in (-1, 5):
+        spec = PatternSpec((Stage("begin", "v = 'a'"), Stage(kind, "v = 'c'")), ("k",),
+                           within_seconds=within, output=Output("detail"))
+        cut = match_pattern(rows, spec, block_rows=3).collect()
+        assert cut and sorted(cut) == sorted(match_pattern(rows, spec).collect())

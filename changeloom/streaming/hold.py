@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.casts import default_for
 from ..model import TS, UID, Validity
 from ..session import need_state_store, shared_dir
-from .state import _clean as clean, _exact as exact, _numbers as numbers
+from .state import PART, _clean as clean, _numbers as numbers, dealt, move_timer
 
 FATE = "_fate"
 SEND, DROP, ALERT, HOLD = "send", "drop", "alert", "hold"
@@ -75,7 +75,7 @@ def settle(new: DataFrame, buffer: DataFrame | None, dedup_cols: Sequence[str],
 
 
 class _Settling(StatefulProcessor):
-    """One identity: its earliest row, until the watermark has reached that row's time.
+    """Identities of a part: each one's earliest row, until the watermark has reached its time.
 
     After that a mark without the row stays for ``keep_ms`` of event time.
     """
@@ -86,44 +86,60 @@ class _Settling(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # the row is null once it was released
-        self.held = handle.getValueState("held", "ms bigint, row binary")
+        self.held = handle.getValueState("held", "timer bigint, blob binary")
+
+    def _load(self) -> tuple:
+        """The part's timer, and by identity: milliseconds, row (null once it was released)."""
+        stored = self.held.get()
+        return (None, {}) if stored is None else (stored[0], pickle.loads(bytes(stored[1])))
+
+    def _save(self, timer, held, fired=None) -> None:
+        # a timer fires once the watermark is past it
+        after = min((ms + self.keep_ms if row is None else ms - 1
+                     for ms, row in held.values()), default=None)
+        # the timer that fired is deleted behind this call
+        after = after + 1 if after is not None and after == fired else after
+        move_timer(self.handle, None if timer == fired else timer, after)
+        if held:
+            self.held.update((after, pickle.dumps(held)))
+        else:
+            self.held.clear()
 
     def _rank(self, row: tuple) -> tuple:
         return tuple((row[i] is None, 0 if row[i] is None else row[i]) for i in self.order)
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self.held.get()
-        if before is None or before[1] is not None:
-            old = best = pickle.loads(bytes(before[1])) if before else None
-            for pdf in rows:
-                for row in pdf.itertuples(index=False, name=None):
-                    row = tuple(map(clean, numbers(row, self.whole)))
-                    if best is None or self._rank(row) < self._rank(best):
-                        best = row
-            # whole milliseconds, up: a row is not released before its time
-            ms = -(-best[self.ts_index].value // 1_000_000)
-            if before is None or before[0] != ms:
-                if before is not None:
-                    self.handle.deleteTimer(before[0] - 1)
-                # a timer fires once the watermark is past it
-                self.handle.registerTimer(ms - 1)
-            if best is not old:
-                self.held.update((ms, pickle.dumps(best)))
+        timer, held = self._load()
+        for pdf in rows:
+            for *row, identity, _ in pdf.itertuples(index=False, name=None):
+                row = tuple(map(clean, numbers(row, self.whole)))
+                before = held.get(identity)
+                if before is None or before[1] is not None and \
+                        self._rank(row) < self._rank(before[1]):
+                    # whole milliseconds, up: a row is not released before its time
+                    held[identity] = (-(-row[self.ts_index].value // 1_000_000), row)
+        self._save(timer, held)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ms, blob = self.held.get()
-        if blob is None:
-            self.held.clear()
-            yield from ()
-            return
-        if self.keep_ms:
-            self.held.update((ms, None))
-            self.handle.registerTimer(ms + self.keep_ms)
+        passed = timerValues.getCurrentWatermarkInMs()
+        timer, held = self._load()
+        left, released = {}, []
+        for identity, (ms, row) in held.items():
+            if row is None:
+                if ms + self.keep_ms >= passed:
+                    left[identity] = (ms, None)
+            elif ms > passed:
+                left[identity] = (ms, row)
+            else:
+                released.append(row)
+                if self.keep_ms:
+                    left[identity] = (ms, None)
+        self._save(timer, left, expiredTimerInfo.getExpiryTimeInMs())
+        if released:
+            yield pd.DataFrame(released, columns=self.names, dtype=object)
         else:
-            self.held.clear()
-        yield pd.DataFrame([pickle.loads(bytes(blob))], columns=self.names, dtype=object)
+            yield from ()
 
     def close(self) -> None:
         pass
@@ -131,10 +147,10 @@ class _Settling(StatefulProcessor):
 
 def settle_stream(df: DataFrame, dedup_cols: Sequence[str], duration_seconds: int,
                   ts_col: str = TS) -> DataFrame:
-    """STM-13 on a stream: the released rows of :func:`settle`, state by identity.
+    """STM-13 on a stream: the released rows of :func:`settle`, state by parts of identities.
 
-    The watermark is the greatest time minus the duration; a timer per identity releases
-    its earliest row (of equal times the least in every plain column) once the watermark
+    The watermark is the greatest time minus the duration; an identity's earliest row (of
+    equal times the least in every plain column) is released once the watermark
     reaches it.  For the duration after that, rows of the same identity are copies and
     dropped; later ones start anew, as they do in the batch form once a row has left its
     buffer.  Rows behind the watermark come too late and are dropped, as are rows without a
@@ -144,13 +160,13 @@ def settle_stream(df: DataFrame, dedup_cols: Sequence[str], duration_seconds: in
     need_state_store(df.sparkSession)
     timed = df.filter(F.col(f"`{ts_col}`").isNotNull()).withWatermark(
         ts_col, f"{duration} seconds")
-    frame, whole = exact(timed, dedup_cols)
+    frame, whole = dealt(timed, dedup_cols)
     nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
     plain = [f.name for f in df.schema.fields
              if f.name != ts_col and not isinstance(f.dataType, nested)]
     order = [df.columns.index(c) for c in (ts_col, *plain)]
     processor = _Settling(order[0], order, duration * 1000, whole, df.columns)
-    return frame.groupBy(*dedup_cols).transformWithStateInPandas(
+    return frame.groupBy(PART).transformWithStateInPandas(
         processor, df.schema, "Append", "EventTime")
 
 

@@ -1,8 +1,10 @@
 """Stateful operators: aggregates whose idle keys are forgotten by the clock, and pattern
 matching on streams (STM-07, STM-09, CEP-01 on streams).
 
-Both use ``transformWithStateInPandas`` on the RocksDB state store.  State is kept per
-key, so a stream's hottest key bounds its rate; choose keys accordingly.
+Both use ``transformWithStateInPandas`` on the RocksDB state store.  Aggregates keep an entry
+per key; patterns (and :mod:`.hold`) deal the keys into ``PARTS`` parts by their hash and keep
+an entry per part, so that calls to the store grow with parts and batches, not with keys.  A
+key lies in one part: a stream's hottest key bounds its rate; choose keys accordingly.
 """
 
 from __future__ import annotations
@@ -24,6 +26,12 @@ from ..session import need_state_store
 # Default idle-state retention.
 MIN_IDLE_HOURS, MAX_IDLE_HOURS = 12, 24
 
+#: parts of the keys that share an entry of the state store; fixed as long as a checkpoint lives
+PARTS = 1024
+PART, IDENTITY = "_part", "_identity"
+_PLAIN = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS XXXXX",
+          "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 #: aggregate name -> (start value, step, result)
 _FOLDS = {
     "count": (0, lambda a, v: a + 1, lambda a: a),
@@ -59,6 +67,29 @@ def _clean(v: Any) -> Any:
     return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """The rows with whole numbers as text (and where they are), behind them two columns: the
+    key as one text, and the part of the state it belongs to."""
+    frame, whole = _exact(df, [])
+    # adding 0 makes one zero of both
+    parts = [F.col(f"`{k}`") + F.lit(0.0).cast(df.schema[k].dataType)
+             if isinstance(df.schema[k].dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{k}`")
+             for k in keys]
+    identity = F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(parts)]), _PLAIN)
+    frame = frame.withColumn(IDENTITY, identity)
+    return frame.withColumn(PART, F.pmod(F.xxhash64(IDENTITY), F.lit(PARTS)).cast("int")), whole
+
+
+def move_timer(handle: StatefulProcessorHandle, before: int | None, after: int | None) -> None:
+    """One timer per part."""
+    if before == after:
+        return
+    if before is not None:
+        handle.deleteTimer(before)
+    if after is not None:
+        handle.registerTimer(after)
+
+
 def agg_fields(df: DataFrame, aggs: Mapping[str, tuple[str, str]]) -> list[T.StructField]:
     out = []
     for alias, (function, column) in aggs.items():
@@ -141,59 +172,103 @@ def spark_agg(df: DataFrame, function: str, column: str):
 class _InOrder(StatefulProcessor):
     """Feeds each key's rows to ``fold`` in event order once the watermark has passed them.
 
-    Rows wait in a list state; one timer per key stands at the earliest of them, or at
-    the time the fold asks to be woken.  The folded state is dropped once the key was idle
-    for ``idle_ms`` of event time.
+    The rows of a part's keys wait in a list state.  Each key is looked at when one of its
+    alarms has passed: that of the earliest waiting row, or the time the fold asks to be woken.
+    The folded state is dropped once the key was idle for ``idle_ms`` of event time.
     """
 
-    def __init__(self, fold, ts_index, order_index, idle_ms, whole):
-        self.fold, self.ts_index, self.whole = fold, ts_index, whole
-        self.order_index, self.idle_ms = order_index, idle_ms
+    def __init__(self, fold, names, ts_index, order_index, key_index, idle_ms, whole):
+        self.fold, self.names, self.ts_index, self.whole = fold, names, ts_index, whole
+        self.order_index, self.key_index, self.idle_ms = order_index, key_index, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, row binary")
-        self.folded = handle.getValueState("folded", "blob binary, last_ms bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.keys = handle.getValueState("keys", "timer bigint, blob binary")
+
+    def _load(self) -> tuple:
+        """The part's timer, and by key: alarms, key, folded state, latest time."""
+        stored = self.keys.get()
+        return (None, {}) if stored is None else (stored[0], pickle.loads(bytes(stored[1])))
+
+    def _save(self, timer, keys) -> None:
+        after = min((min(k[0]) for k in keys.values() if k[0]), default=None)
+        move_timer(self.handle, timer, after)
+        if keys:
+            self.keys.update((after, pickle.dumps(keys)))
+        else:
+            self.keys.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        new = []
+        timer, keys = self._load()
         for pdf in rows:
+            new, first = [], {}
             # by position: names that start with an underscore do not survive the transfer
-            for row in pdf.itertuples(index=False, name=None):
+            for *row, identity, _ in pdf.itertuples(index=False, name=None):
                 # released only after the whole millisecond is behind the watermark
                 ms = int(row[self.ts_index].value // 1_000_000) + 1
-                new.append((ms, pickle.dumps(_numbers(row, self.whole))))
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(ms for ms, _ in new))
+                row = _numbers(row, self.whole)
+                new.append((identity, ms, row))
+                first[identity] = min(ms, first.get(identity, ms))
+                if identity not in keys:
+                    keys[identity] = (set(), tuple(_clean(row[i]) for i in self.key_index), None, None)
+            for identity, ms in first.items():
+                keys[identity][0].add(ms)
+            if new:
+                self.waiting.appendValue((pickle.dumps(new),))
+        self._save(timer, keys)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        due, later = [], []
-        for ms, blob in self.waiting.get():
-            (due if ms <= passed else later).append((ms, bytes(blob)))
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(ms for ms, _ in later))
+        timer, keys = self._load()
+        due = {i: ([], []) for i, k in keys.items() if k[0] and min(k[0]) < passed}
+        rest = []
+        for blob, in self.waiting.get():
+            for entry in pickle.loads(bytes(blob)):
+                mine = due.get(entry[0])
+                if mine is not None and entry[1] <= passed:
+                    mine[0].append(entry)
+                else:
+                    rest.append(entry)
+                    if mine is not None:
+                        mine[1].append(entry[1])
+        if rest:
+            self.waiting.put([(pickle.dumps(rest),)])
         else:
             self.waiting.clear()
-        stored = self.folded.get() if self.folded.exists() else None
-        if not due and not stored:
-            yield from ()
-            return
-        rows = sorted((pickle.loads(b) for _, b in due),
-                      key=lambda r: tuple(r[i] for i in self.order_index))
-        last_ms = max([*[ms for ms, _ in due], *[stored[1] for _ in range(bool(stored))]])
-        state, out, wake = self.fold(key, pickle.loads(bytes(stored[0])) if stored else None,
-                                     rows, passed)
-        if not rows and not later and last_ms + self.idle_ms <= passed:
-            self.folded.clear()
-        else:
-            self.folded.update((pickle.dumps(state), last_ms))
-            self.handle.registerTimer(last_ms + self.idle_ms if wake is None else
-                                      min(wake, last_ms + self.idle_ms))
-        if out is not None and len(out):
-            yield out
+        found: list = []
+        for identity, (passing, later) in due.items():
+            alarms, values, state, last_ms = keys.pop(identity)
+            alarms_due = sum(a < passed for a in alarms)
+            alarms = {a for a in alarms if a >= passed}
+            for _ in range(alarms_due):
+                if later:
+                    alarms.add(min(later))
+                if not passing and last_ms is None:
+                    continue
+                rows = sorted((row for _, _, row in passing),
+                              key=lambda r: tuple(r[i] for i in self.order_index))
+                last_ms = max([*[ms for _, ms, _ in passing], *([] if last_ms is None else [last_ms])])
+                state, out, wake = self.fold(values, state, rows, passed)
+                found += out
+                if not rows and not later and last_ms + self.idle_ms <= passed:
+                    state = last_ms = None
+                else:
+                    idle = last_ms + self.idle_ms
+                    alarms.add(idle if wake is None else min(wake, idle))
+                passing = []
+            if alarms or last_ms is not None:
+                keys[identity] = (alarms, values, state, last_ms)
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        for alarms, *_ in keys.values():
+            # the timer that fired is deleted behind this call
+            if fired in alarms:
+                alarms.remove(fired)
+                alarms.add(fired + 1)
+        self._save(None if timer == fired else timer, keys)
+        if found:
+            yield pd.DataFrame(found, columns=self.names, dtype=object)
         else:
             yield from ()
 
@@ -205,18 +280,18 @@ def _in_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], fold,
               idle_hours: float) -> DataFrame:
     columns = df.columns
     need_state_store(df.sparkSession)
-    frame, whole = _exact(df, keys)
-    processor = _InOrder(fold, columns.index(order_by[0]),
-                         [columns.index(c) for c in order_by], int(idle_hours * 3_600_000), whole)
-    return frame.groupBy(*keys).transformWithStateInPandas(
+    frame, whole = dealt(df, keys)
+    processor = _InOrder(fold, schema.names, columns.index(order_by[0]),
+                         [columns.index(c) for c in order_by], [columns.index(k) for k in keys],
+                         int(idle_hours * 3_600_000), whole)
+    return frame.groupBy(PART).transformWithStateInPandas(
         processor, schema, "Append", "EventTime")
 
 
 class _PatternFold:
-    def __init__(self, stages, within, columns, n_conds, key_names, ts_index, timeouts):
+    def __init__(self, stages, within, columns, n_conds, ts_index, timeouts):
         self.stages, self.within, self.columns = stages, within, columns
-        self.timeouts = timeouts
-        self.n_conds, self.key_names, self.ts_index = n_conds, key_names, ts_index
+        self.n_conds, self.ts_index, self.timeouts = n_conds, ts_index, timeouts
 
     def __call__(self, key, state, rows, passed):
         nfa = Nfa(self.stages, self.within)
@@ -242,8 +317,7 @@ class _PatternFold:
             if partials:
                 wake = int((min(p.start for p in partials) + self.within) * 1000) + 1
         # plain tuples: the state must load without this package
-        return ([tuple(p) for p in partials], seq), pd.DataFrame(
-            found, columns=[*self.key_names, EVENTS, FIRST_LEN, SEQ], dtype=object), wake
+        return ([tuple(p) for p in partials], seq), found, wake
 
     @staticmethod
     def _once(partials: list) -> list:
@@ -271,7 +345,7 @@ def match_pattern_stream(df: DataFrame, spec: PatternSpec, order_by: Sequence[st
                              T.StructField(FIRST_LEN, T.IntegerType()),
                              T.StructField(SEQ, T.IntegerType())])
     fold = _PatternFold([Stage(s.kind, None, s.quantifier, s.times) for s in spec.stages],
-                        spec.within_seconds, frame.columns, len(conds), keys,
+                        spec.within_seconds, frame.columns, len(conds),
                         frame.columns.index(order_by[0]), spec.output.kind == "timeout")
     matches = _in_order(frame, keys, order_by, fold, schema, idle_hours)
     return write_matches(matches, df.schema, spec)

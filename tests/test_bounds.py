@@ -69,3 +69,43 @@ def test_patterns_over_bounded_cuts(spark, few_blocks, kind):
                            within_seconds=within, output=Output("detail"))
         cut = match_pattern(rows, spec, block_rows=3).collect()
         assert cut and sorted(cut) == sorted(match_pattern(rows, spec).collect())
+
+
+def held(spark, path, variable):
+    return spark.read.format("statestore").option("path", path).option(
+        "stateVarName", variable).load().count()
+
+
+KEYS = "k long, d double, t timestamp, ums_id_ long"
+
+
+def many_keys(spark, tmp_path, n=60):
+    """Null and long keys, two zeros."""
+    rows = [(None if k == 0 else 2 ** 53 + k, (-0.0, 0.0)[i], START + dt.timedelta(seconds=5 - i), 10 * k + i)
+            for k in range(n) for i in (0, 1)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, KEYS).coalesce(1).write.parquet(path)
+    return file_stream(spark, path, spark.read.parquet(path).schema)
+
+
+def test_settling_state_is_kept_by_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "PARTS", 8, raising=False)
+    rows, checkpoint = many_keys(spark, tmp_path), str(tmp_path / "checkpoint")
+    assert drain(settle_stream(rows, ["k", "d"], 60, "t"), checkpoint=checkpoint).count() == 0
+    assert 0 < held(spark, checkpoint, "held") <= 8
+    out = drain(settle_stream(rows, ["k", "d"], 0, "t"))
+    assert {(r["k"], r["ums_id_"]) for r in out.collect()} == {
+        (None if k == 0 else 2 ** 53 + k, 10 * k + 1) for k in range(60)}
+
+
+def test_pattern_state_is_kept_by_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "PARTS", 8, raising=False)
+    rows = many_keys(spark, tmp_path).union(many_keys(spark, tmp_path / "b")).withWatermark("t", "0 seconds")
+    spec = PatternSpec((Stage("begin", "ums_id_ % 10 = 1"), Stage("next", "ums_id_ % 10 = 1")), ("k",),
+                       output=Output("detail"))
+    checkpoint = str(tmp_path / "checkpoint")
+    out = drain(match_pattern_stream(rows, spec, ["t", "ums_id_"]), checkpoint=checkpoint)
+    # rows at 4 s are behind the watermark of 5 s: both are matched, twice the events of a key
+    assert sorted((r["k"] or 0, r["ums_id_"]) for r in out.collect()) == sorted(
+        (k and 2 ** 53 + k, 10 * k + 1) for k in range(60) for _ in (0, 1))
+    assert 0 < held(spark, checkpoint, "waiting") <= 8

@@ -21,6 +21,8 @@ PARTITIONS = "spark.sql.shuffle.partitions"
 
 #: rows of a bucket above which the next batch writes twice as many buckets
 BUCKET_ROWS = 4_000_000
+#: buckets that rows are split into at most: each is a task and a file of every batch
+MAX_BUCKETS = 512
 _POINTER = "folder string, buckets int, rows long, schema string"
 
 
@@ -55,7 +57,8 @@ class BucketedTable:
 
     Buckets split by doubling: where the stored rows outgrow ``bucket_rows`` a bucket, the
     batch writes twice as many.  A key's hash modulo 2n is its hash modulo n or n more,
-    so each task writes its bucket as two and nothing is shuffled for it.
+    so each task writes its bucket as two and nothing is shuffled for it.  A split stops short
+    of more than ``MAX_BUCKETS``; from there on the buckets grow.
 
     Each batch writes the whole table, without moving it; for batches that touch few keys
     :class:`changeloom.sinks.versions.VersionedTable` rewrites their buckets alone.
@@ -73,7 +76,7 @@ class BucketedTable:
         buckets = before.buckets if before else self.buckets
         with partitions(spark, buckets):
             out = self.after(changes, before)
-            while before and before.rows > buckets * self.bucket_rows:
+            while before and before.rows > buckets * self.bucket_rows and 2 * buckets <= MAX_BUCKETS:
                 buckets *= 2
             folder = f"{self.path}/data/n={batch_id}-{uuid.uuid4().hex}"
             name = _name()

@@ -109,3 +109,15 @@ def test_pattern_state_is_kept_by_parts(spark, tmp_path, monkeypatch):
     assert sorted((r["k"] or 0, r["ums_id_"]) for r in out.collect()) == sorted(
         (k and 2 ** 53 + k, 10 * k + 1) for k in range(60) for _ in (0, 1))
     assert 0 < held(spark, checkpoint, "waiting") <= 8
+
+
+def test_buckets_stop_splitting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bucketed, "MAX_BUCKETS", 8, raising=False)
+    table = BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=2, bucket_rows=3)
+    schema = "k long, ums_id_ long, ums_ts_ timestamp, ums_op_ string, v string"
+    for batch in range(3):
+        table.upsert(spark.createDataFrame([(k, batch + 1, START, "i", str(batch)) for k in
+                                            range(batch, 100)], schema), batch)
+    assert [table.layout(n, spark).buckets for n in range(3)] == [2, 8, 8]
+    assert {r["k"]: r["v"] for r in table.read().collect()} == {
+        k: str(min(k, 2)) for k in range(100)}

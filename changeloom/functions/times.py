@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The named output formats.
@@ -28,18 +30,63 @@ FORMATS = {
 
 _CANONICAL = "yyyy-MM-dd[ HH[:mm[:ss[.SSS]]]]"
 
-# any accepted layout to the canonical one; each step is a single pass over the text
+_DIGITS = r"^\d{4}-\d\d-\d\d(?: \d\d(?::\d\d(?::\d\d(?:\.\d{3})?)?)?)?\z"
+_FULL = "0001-01-01 00:00:00.000"
+
+
+def _digit(text: Column, at: int) -> Column:
+    return F.substring(text, at, 1).between("0", "9")
+
+
+# any accepted layout to the canonical one; each step is a single pass over the text, made
+# where it can change something
 _LAYOUT_STEPS = (
-    (r"\s*Z$", ""),
-    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),                                # undelimited date
-    (r"^(\d{4}-\d{2}-\d{2})[\sT]*(\d)", "$1 $2"),                           # one blank before the clock
-    (r"^(.{10} \d\d)(\d\d)(\d\d)(\d{0,3})$", "$1:$2:$3.$4"),                # undelimited clock
-    (r"^(.{10} \d\d:\d\d:\d\d):(\d+)$", "$1.$2"),                         # colon before the fraction
-    (r"(\.\d{3})\d+$", "$1"),                                              # fraction cut to three
-    (r"\.(\d\d)$", ".0$1"),
-    (r"\.(\d)$", ".00$1"),
-    (r"\.$", ""),
+    (r"\s*Z$", "", lambda t: t.contains("Z")),
+    # undelimited date
+    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3", lambda t: _digit(t, 5)),
+    # one blank before the clock
+    (r"^(\d{4}-\d{2}-\d{2})[\sT]*(\d)", "$1 $2",
+     lambda t: (F.length(t) > 10) & ~((F.substring(t, 11, 1) == " ") & _digit(t, 12))),
+    # undelimited clock
+    (r"^(.{10} \d\d)(\d\d)(\d\d)(\d{0,3})$", "$1:$2:$3.$4", lambda t: _digit(t, 14)),
+    # colon before the fraction
+    (r"^(.{10} \d\d:\d\d:\d\d):(\d+)$", "$1.$2", lambda t: F.substring(t, 20, 1) == ":"),
 )
+# a fraction cut to three digits, or padded
+_FRACTION_STEPS = ((r"(\.\d{3})\d+$", "$1"), (r"\.(\d\d)$", ".0$1"), (r"\.(\d)$", ".00$1"),
+                   (r"\.$", ""))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _laid_out(text: Column) -> Column:
+    """Text of any accepted layout in the canonical one."""
+    def step(pattern: str, replacement: str, needed: Callable[[Column], Column]):
+        return lambda t: F.when(needed(t), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    for rule in _LAYOUT_STEPS:
+        text = _bound(text, step(*rule))
+
+    def fraction(t: Column) -> Column:
+        cut = t
+        for pattern, replacement in _FRACTION_STEPS:
+            cut = F.regexp_replace(cut, pattern, replacement)
+        whole = (F.length(t) == 23) & (F.substring(t, 20, 1) == ".") & \
+            _digit(t, 21) & _digit(t, 22) & _digit(t, 23)
+        return F.when(t.contains(".") & ~whole, cut).otherwise(t)
+    return _bound(text, fraction)
+
+
+def _parsed(text: Column) -> Column:
+    """Canonical text as a timestamp: full digits by a cast, filled up with the beginning of the
+    year, day or hour; other text by the pattern, unless it cannot begin a year."""
+    filled = F.concat(text, F.substring(F.lit(_FULL), F.length(text) + 1, F.lit(len(_FULL))))
+    return F.when(text.rlike(_DIGITS) & ~text.startswith("0000"), filled.try_cast("timestamp")) \
+        .when(_digit(text, 1) | F.substring(text, 1, 1).isin("+", "-"),
+              F.try_to_timestamp(text, F.lit(_CANONICAL)))
 
 
 def _col(c: Column | str) -> Column:
@@ -58,14 +105,14 @@ def parse_ts(col: Column | str, z_offset_hours: int = 0) -> Column:
     Text that already looks like ``yyyy-MM-dd HH:mm:ss.SSS[SSS]`` skips the layout
     steps.
     """
+    def usual(c: Column) -> Column:
+        return F.length(c).isin(23, 26) & (F.substring(c, 5, 1) == "-") \
+            & (F.substring(c, 11, 1) == " ") & (F.substring(c, 20, 1) == ".") & ~c.endswith("Z")
+
     c = _col(col)
-    usual = F.length(c).isin(23, 26) & (F.substring(c, 5, 1) == "-") \
-        & (F.substring(c, 11, 1) == " ") & (F.substring(c, 20, 1) == ".") & ~c.endswith("Z")
-    text = F.translate(F.trim(c), "/", "-")
-    for pattern, replacement in _LAYOUT_STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
-    parsed = F.try_to_timestamp(F.when(usual, F.substring(c, 1, 23)).otherwise(text),
-                                F.lit(_CANONICAL))
+    text = _bound(c, lambda c: F.when(usual(c), F.substring(c, 1, 23)).otherwise(
+        _laid_out(F.translate(F.trim(c), "/", "-"))))
+    parsed = _bound(text, _parsed)
     if z_offset_hours:
         shift = F.when(F.trim(c).endswith("Z"), F.lit(z_offset_hours)).otherwise(F.lit(0))
         parsed = parsed + F.make_dt_interval(hours=shift)

@@ -121,3 +121,17 @@ def test_buckets_stop_splitting(spark, tmp_path, monkeypatch):
     assert [table.layout(n, spark).buckets for n in range(3)] == [2, 8, 8]
     assert {r["k"]: r["v"] for r in table.read().collect()} == {
         k: str(min(k, 2)) for k in range(100)}
+
+
+def test_layout_steps_run_where_they_are_needed(spark):
+    """Texts at the edges of the shortcuts; full digits go by a cast."""
+    texts = {"2024-02-30": None, "2024-01-01 24:00:00": None, "on 2024": None,
+             "2024-01-01\n": None, "2024-01-01 10:00:00.12\n": None, "\t2024-01-01": None,
+             "2024-1-1": None, "2024-01-01 10:00:00.1+08:00": None, "epoch": None, "": None,
+             "2024-01-01 10": START.replace(hour=10), "20240101": START, "2024/01/01 Z": START,
+             "2024/01/01 10:00:00.12": START.replace(hour=10, microsecond=12_000),
+             "2024-01-01 10:00:00.123456789Z": START.replace(hour=10, microsecond=123_000)}
+    frame = spark.createDataFrame([(t,) for t in texts], "s string")
+    parsed = frame.select("s", parse_ts("s").cast("timestamp_ntz").alias("t"))
+    assert {r["s"]: r["t"] for r in parsed.collect()} == texts
+    assert "try_cast" in parsed._jdf.queryExecution().optimizedPlan().toString().lower()

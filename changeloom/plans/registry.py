@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions import aggregates, text
 from ..model import SPARK_TYPES
 
+#: rows of a group that a registered aggregate turns into Python values at once
+SLICE_ROWS = 65_536
+
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -69,8 +72,10 @@ def register_udaf(spark: SparkSession, name: str, cls: type[Udaf]):
     def run(columns: Sequence[pd.Series]) -> Any:
         agg = cls()
         acc = agg.create_accumulator()
-        for values in zip(*[c.tolist() for c in columns]):
-            acc = agg.accumulate(acc, *values)
+        # a slice at a time: as Python objects values take several times the room of a Series
+        for start in range(0, len(columns[0]) if columns else 0, SLICE_ROWS):
+            for values in zip(*[c.iloc[start:start + SLICE_ROWS].tolist() for c in columns]):
+                acc = agg.accumulate(acc, *values)
         return agg.get_value(acc)
 
     def fn(*columns: pd.Series) -> Any:

@@ -135,3 +135,39 @@ def test_layout_steps_run_where_they_are_needed(spark):
     parsed = frame.select("s", parse_ts("s").cast("timestamp_ntz").alias("t"))
     assert {r["s"]: r["t"] for r in parsed.collect()} == texts
     assert "try_cast" in parsed._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_registered_aggregate_reads_slices(spark, monkeypatch):
+    class Spy(Udaf):
+        """Rows and sum in one number."""
+
+        return_type = "long"
+
+        def create_accumulator(self):
+            return (0, 0)
+
+        def accumulate(self, acc, value):
+            return (acc[0] + 1, acc[1] + value)
+
+        def get_value(self, acc):
+            return acc[0] * 1_000_000 + acc[1]
+
+    monkeypatch.setattr(registry, "SLICE_ROWS", 7, raising=False)
+    registry.register_udaf(spark, "spy_udaf", Spy)
+    spark.range(100).selectExpr("id % 3 AS g", "id").createOrReplaceTempView("spied")
+    got = spark.sql("SELECT g, spy_udaf(id) AS n FROM spied GROUP BY g").collect()
+    assert {r["g"]: r["n"] for r in got} == {
+        g: len(range(g, 100, 3)) * 1_000_000 + sum(range(g, 100, 3)) for g in range(3)}
+
+    class Lazy(pd.Series):
+        sizes: list = []
+
+        @property
+        def _constructor(self):
+            return Lazy
+
+        def tolist(self):
+            Lazy.sizes.append(len(self))
+            return super().tolist()
+    run = registry.register_udaf(spark, "spy_udaf", Spy).func
+    assert run(Lazy(range(20))) == 20_000_190 and max(Lazy.sizes) == 7

@@ -121,8 +121,10 @@ def stream_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
     A batch joins on key and time bucket: buckets are twice the retention wide, a left row is
     in one and a right row in the two it can reach, so rows far apart in time never meet.  A
     bucket of a key with more than ``hot_rows`` left rows (there are at most left rows /
-    ``hot_rows`` of those) is dealt into ``SALTS`` parts, and its right rows go to each.  Which
-    ones these are is joined to both sides without a hint, as there may be many.
+    ``hot_rows`` of those) is dealt into parts of about ``hot_rows`` rows, ``SALTS`` at most, and
+    its right rows go to each.  Which ones these are is joined to both sides without a hint, as
+    there may be many.  The sides themselves meet in a merge join: the planner does not see the
+    copies of right rows, takes that side for small and would gather it in the driver.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"stream_join is inner or left, not {how!r}")
@@ -144,7 +146,8 @@ def stream_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
     placed = left.withColumn("_bucket", bucket(F.col(left_ts)))
     hot = placed.groupBy(*[F.col(s).alias(f"_h{i}") for i, (s, _) in enumerate(on)],
                          F.col("_bucket").alias("_hb")).count().where(F.col("count") > hot_rows) \
-        .select(*[f"_h{i}" for i in range(len(on))], "_hb", F.lit(True).alias("_hot"))
+        .select(*[f"_h{i}" for i in range(len(on))], "_hb", F.least(
+            F.lit(SALTS), F.ceil(F.col("count") / max(hot_rows, 1))).cast("int").alias("_hot"))
 
     own = [F.col(f"`{f.name}`") for f in left.schema.fields
            if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -153,16 +156,16 @@ def stream_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
         same = [F.col(n) == F.col(f"_h{i}") for i, n in enumerate(names)] + [
             F.col("_bucket") == F.col("_hb")]
         return frame.join(hot, same, "left")
-    placed = mark(placed, [s for s, _ in on]).withColumn("_salt", F.when(
-        F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0))
+    placed = mark(placed, [s for s, _ in on]).withColumn("_salt", F.coalesce(
+        F.pmod(F.xxhash64(*own), F.col("_hot")).cast("int"), F.lit(0)))
     reach = int(retention_seconds) * 1_000_000
     r = r.withColumn("_bucket", F.explode(F.array_distinct(F.array(
         bucket(F.col("_rts"), -reach), bucket(F.col("_rts"), reach)))))
-    r = mark(r, keys).withColumn("_rsalt", F.explode(F.when(
-        F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))) \
+    r = mark(r, keys).withColumn("_rsalt", F.explode(F.sequence(
+        F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))) \
         .withColumnRenamed("_bucket", "_rb").drop("_hot", "_hb", *[f"_h{i}" for i in range(len(on))])
     meet = cond & (F.col("_bucket") == F.col("_rb")) & (F.col("_salt") == F.col("_rsalt"))
-    return placed.join(r, meet, how).select(*left.columns, *picked.values())
+    return placed.join(r.hint("merge"), meet, how).select(*left.columns, *picked.values())
 
 
 def df_low(df: DataFrame) -> list[str]:

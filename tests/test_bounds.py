@@ -41,6 +41,24 @@ def test_hot_rows_are_marked_without_a_forced_broadcast(spark):
     assert got == {(i, j) for i in range(400) for j in (i - 40, i, i + 40) if 0 <= j < 400}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_copies_of_right_rows_are_not_broadcast(spark, how):
+    rows = spark.range(400).select("id", (F.col("id") % 40).alias("k"), seconds("id").alias("ums_ts_"))
+    rows = rows.union(spark.sql("SELECT 400L, CAST(NULL AS BIGINT), TIMESTAMP '2024-01-01'"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        joined = stream_join(rows, rows, [("k", "k")], 50, how, columns={"id": "other"}, hot_rows=1)
+        got = sorted(((r["id"], r["other"]) for r in joined.collect()), key=str)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    meets = [line for line in plan.splitlines() if "Join" in line and "_rsalt" in line]
+    assert meets and all("SortMergeJoin" in line for line in meets)
+    want = [(i, j) for i in range(400) for j in (i - 40, i, i + 40) if 0 <= j < 400]
+    assert got == sorted(want + [(400, None)] * (how == "left"), key=str)
+
+
 @pytest.fixture
 def few_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "MAX_BLOCKS", 7)

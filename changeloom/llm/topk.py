@@ -4,6 +4,10 @@ A node's bound for a query q is q.c + |q| r.  Nodes are taken by rising bound lo
 bound first) for a block of queries; a query drops out of a node whose bound is below its
 k-th score.  A first pass looks into the best leaf of every shard; the k-th best of all those
 scores is shared with all shards before the second, full pass.
+
+Each block of queries goes to every shard.  These copies travel by a shuffle; a task reads the
+vectors of a shard, builds their tree and then takes its blocks in passing, so it holds one tree
+and one block, and the driver none.
 """
 
 from __future__ import annotations
@@ -51,12 +55,12 @@ def ball_tree(points: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
             "children": np.array(children)}
 
 
-def dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where that is exact."""
+def multipliable(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as floating point numbers where their inner products are exact in it."""
     most = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0))
     if most * max(1, left.shape[1]) < 2.0 ** 53:
-        return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
-    return left @ right.T
+        return left.astype(np.float64), right.astype(np.float64)
+    return left, right
 
 
 class Best:
@@ -71,6 +75,10 @@ class Best:
         return np.maximum(self.scores[:, -1], self.floor)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        gains = (scores >= self.kth()[rows, None]).any(axis=1)  # the others keep what they have
+        if not gains.any():
+            return
+        rows, scores = rows[gains], scores[gains].astype(np.int64)
         ids = np.broadcast_to(ids, scores.shape)
         scores = np.where(ids == self.own[rows, None], _NONE, scores)
         scores = np.concatenate([self.scores[rows], scores], axis=1)
@@ -83,6 +91,7 @@ class Best:
 def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, best: Best,
            first_leaf: bool) -> None:
     """Branch and bound over one tree; ``first_leaf``: stop each query after its best leaf."""
+    asked, points = multipliable(queries, tree["points"])
     norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     bounds = queries.astype(np.float64) @ tree["centers"].T + norms[:, None] * tree["radii"]
     most = np.abs(tree["centers"]).max(initial=0)
@@ -100,7 +109,7 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, be
         for leaf in np.unique(node):
             a, b = tree["spans"][leaf]
             mine = np.flatnonzero(node == leaf)
-            best.add(mine, dot(queries[mine], tree["points"][a:b]), ids[a:b])
+            best.add(mine, asked[mine] @ points[a:b].T, ids[a:b])
         return
     heap = [(-bounds[:, 0].max(initial=0), 0, np.arange(len(queries)))]
     while heap:
@@ -111,58 +120,81 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, be
         a, b = tree["spans"][number]
         children = tree["children"][number].tolist()
         if children[0] == number:
-            best.add(rows, dot(queries[rows], tree["points"][a:b]), ids[a:b])
+            best.add(rows, asked[rows] @ points[a:b].T, ids[a:b])
             continue
         for child in children:
             heapq.heappush(heap, (-bounds[rows, child].max(), child, rows))
 
 
-_PACKED = pa.schema([("dim", pa.int32()), ("part", pa.int64()), ("body", pa.binary())])
+_PACKED = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("body", pa.binary())])
+
+
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest integers that hold them."""
+    least, most = vectors.min(initial=0), vectors.max(initial=0)
+    return vectors.astype(next(kind for kind in (np.int8, np.int16, np.int32, np.int64)
+                               if np.iinfo(kind).min <= least and most <= np.iinfo(kind).max))
 
 
-def _pack(with_tree: bool):
-    """All rows of each (dim, part) as one value: ids with vectors, or ids with a tree."""
-    def one(dim, part, ids, vectors):
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All queries of each (dim, block) as one value: ids with vectors."""
+    def one(dim, block, ids, vectors):
         ids, vectors = np.array(ids, np.int64), np.array(vectors, np.int64).reshape(len(ids), dim)
-        body = (ids, vectors)
-        if with_tree:
-            tree = ball_tree(vectors)
-            body = (ids[tree["order"]], tree)
-        return dim, part, pickle.dumps(body)
+        return dim, block, pickle.dumps((ids, _narrow(vectors)))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vectors = None, [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["dim"], row["part"]) != now:
-                    if ids:
-                        yield table(_PACKED, *zip(one(*now, ids, vectors)))
-                    now, ids, vectors = (row["dim"], row["part"]), [], []
-                ids.append(row["id"])
-                vectors.append(row["vector"])
-        if ids:
-            yield table(_PACKED, *zip(one(*now, ids, vectors)))
-    return of
+    now, ids, vectors = None, [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["dim"], row["block"]) != now:
+                if ids:
+                    yield table(_PACKED, *zip(one(*now, ids, vectors)))
+                now, ids, vectors = (row["dim"], row["block"]), [], []
+            ids.append(row["id"])
+            vectors.append(row["vector"])
+    if ids:
+        yield table(_PACKED, *zip(one(*now, ids, vectors)))
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+#: in place of a block's number: a vector of the shard; it sorts before the blocks
+_VECTOR = -1
+
+
 def _searched(k: int, first_leaf: bool):
+    """Of each (dim, shard), the vectors and then the blocks of queries that meet them."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, tree = None, [], [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, tree = pickle.loads(row["tree"])
-                own, queries = pickle.loads(row["queries"])
-                floor = np.full(len(own), _NONE)
-                if not first_leaf:
-                    known = dict(row["floors"])
+            at = np.stack([batch.column(c).to_numpy().astype(np.int64)
+                           for c in ("dim", "shard", "block")], axis=1)
+            cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(at)]):
+                if low == high:
+                    continue
+                dim, shard, block = at[low].tolist()
+                if block == _VECTOR:
+                    if (dim, shard) != now:
+                        now, ids, vectors, tree = (dim, shard), [], [], None
+                    ids.append(batch.column("id").slice(low, high - low).to_numpy())
+                    flat = batch.column("vector").slice(low, high - low).flatten().to_numpy()
+                    vectors.append(flat.reshape(high - low, dim))
+                    continue
+                if (dim, shard) != now:  # a shard without vectors of this length
+                    continue
+                if tree is None:
+                    tree, vectors = ball_tree(np.concatenate(vectors)), []
+                    ids = np.concatenate(ids)[tree["order"]]
+                for n in range(low, high):
+                    own, queries = pickle.loads(batch.column("body")[n].as_py())
+                    known = dict(batch.column("floors")[n].as_py() or ())
                     floor = np.array([known.get(int(q), _NONE) for q in own], dtype=np.int64)
-                best = Best(own, k, floor)
-                search(tree, ids, queries, best, first_leaf)
-                keep = (best.scores > _NONE) & (best.scores >= floor[:, None])
-                yield table(_FOUND, np.repeat(own, k)[keep.ravel()], best.ids[keep],
-                            best.scores[keep])
+                    best = Best(own, k, floor)
+                    search(tree, ids, queries.astype(np.int64), best, first_leaf)
+                    keep = (best.scores > _NONE) & (best.scores >= floor[:, None])
+                    yield table(_FOUND, np.repeat(own, k)[keep.ravel()], best.ids[keep],
+                                best.scores[keep])
     return of
 
 
@@ -185,33 +217,38 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     given = given.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine).select(
         "id", "asks", F.size("v").alias("dim"),
         F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
+    given = cut_lineage(given)
     n, n_asking = given.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = n // shard_rows + 1, n_asking // block_rows + 1
 
-    def packed(frame: DataFrame, parts: int, with_tree: bool) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.lit(parts))
-        dealt = frame.select("dim", part.alias("part"), "id", "vector").repartition("dim", "part")
-        return dealt.sortWithinPartitions("dim", "part", "id").mapInArrow(
-            _pack(with_tree), "dim int, part long, body binary")
-    trees = cut_lineage(packed(given, shards, True)).select(
-        "dim", F.col("part").alias("shard"), F.col("body").alias("tree"))
-    asking = cut_lineage(packed(given.where("asks"), blocks, False)).select(
-        "dim", F.col("part").alias("block"), F.col("body").alias("queries"))
-    # each block of queries goes to every shard of its length
+    def part(column: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(parts))
+    asking = given.where("asks").select("dim", part("id", blocks).alias("block"), "id", "vector")
+    asking = cut_lineage(asking.repartition("dim", "block").sortWithinPartitions(
+        "dim", "block", "id").mapInArrow(_pack, "dim int, block long, body binary"))
+    no_body, no_floors = F.lit(None).cast("binary"), F.lit(None).cast("map<bigint,bigint>")
+    shard_vectors = given.select(
+        "dim", part("id", shards).alias("shard"), F.lit(_VECTOR).cast("long").alias("block"), "id",
+        "vector", no_body.alias("body"), no_floors.alias("floors"))
+    no_id, no_vector = F.lit(None).cast("long"), F.lit(None).cast("array<bigint>")
     every = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-    sent = asking.withColumn("shard", F.explode(every))
-    pairs = trees.join(sent, ["dim", "shard"])
+
+    def met(asked: DataFrame) -> DataFrame:
+        """Each block goes to every shard of its length.  A join would be planned by the size of
+        the blocks before they are copied, and gather the copies in the driver."""
+        sent = asked.select("dim", F.explode(every).alias("shard"), "block", no_id.alias("id"),
+                            no_vector.alias("vector"), "body", "floors")
+        return shard_vectors.union(sent).repartition("dim", "shard").sortWithinPartitions(
+            "dim", "shard", "block", "id")
     found = "query_id long, vec_id long, score long"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pilot = pairs.select("tree", "queries").mapInArrow(_searched(k, True), found)
+    pilot = met(asking.withColumn("floors", no_floors)).mapInArrow(_searched(k, True), found)
     ranked = pilot.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-    floors = ranked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
+    floors = ranked.select(part("query_id", blocks).alias("block"),
                            F.struct("query_id", "score").alias("one"))
     floors = floors.groupBy("block").agg(F.map_from_entries(F.collect_list("one"))
                                          .alias("floors"))
-    full = pairs.join(floors, "block", "left").select(
-        "tree", "queries", F.coalesce("floors", F.create_map().cast("map<bigint,bigint>"))
-        .alias("floors"))
+    full = met(asking.join(floors.hint("merge"), "block", "left"))
     scored = full.mapInArrow(_searched(k, False), found)
     return scored.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

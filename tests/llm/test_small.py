@@ -174,6 +174,31 @@ def test_top_k_of_empty_vectors_and_repeated_rows(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+
+def test_top_k_gathers_no_blocks_in_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-99, 99, 3)]) for i in range(600)]
+    rows += [(700 + i, [2.0 ** 20 + i, -3.0]) for i in range(3)]  # beyond exact floating point
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = set()
+    for q, x in rows:
+        if q % 50 == 0:
+            scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(x, y)), i)
+                            for i, y in rows if i != q and len(y) == len(x))
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])}
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "10m")
+    try:
+        best = topk.top_k(table, F.col("vec_id") % 50 == 0, shard_rows=100, block_rows=3)
+        got = best.collect()
+        plan = best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 def test_shards_are_whole_even_and_gapless(spark, docs, rows):
     got = sharding.shard_by_bytes(docs, 3).select("row.doc_id", "row.text", "size", "shard",
                                                   "slot").collect()
